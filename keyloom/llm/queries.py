@@ -5,13 +5,26 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, jaccard, packing
+from keyloom.llm import decontaminate, jaccard, packing, toxicity
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(divisor: int):
+    """crc32 of the id as text, by which rows are held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op1_toxicity(spark, sf_dir):
+    """See ``toxicity``; learns from labelled rows of two folds of three, and scores every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    scored = toxicity.score(docs, model, bits=18)
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     """See ``jaccard.join``: 4-word shingles, Jaccard of 0.85 or more; one row per document."""
     return jaccard.join(table(spark, sf_dir, "documents"))
@@ -29,7 +42,7 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op6_best_fit_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op6_best_fit_packing, op10_benchmark_decontamination)}
 
 WORDS10 = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
