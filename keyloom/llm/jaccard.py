@@ -130,8 +130,11 @@ def could_match(num: int, den: int):
     return f"{length} and (least(pos, c_pos) + 1 + least(n - 1 - pos, c_n - 1 - c_pos)) * {num + den} >= {num} * (n + c_n)"
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, broadcast_ids: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Sets outside all pairs aren't shuffled if the ids inside are few."""
+    inside = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    if inside.count() <= broadcast_ids:
+        sets = sets.join(F.broadcast(inside), "id", "left_semi")
     one = sets.select(F.col("id").alias("a"), F.col("ranges").alias("ra"), F.col("grams").alias("ga"))
     two = sets.select(F.col("id").alias("b"), F.col("ranges").alias("rb"), F.col("grams").alias("gb"))
     both = pairs.join(one, "a").join(two, "b")
@@ -162,6 +165,8 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
     postings = classes.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
     shared = postings.groupBy("gram").count().where("count > 1").select("gram")
     postings = checkpointed(postings.join(shared, "gram"))  # only those whose shingle some other set has in its prefix
+    del shared
+    textops.free_shuffles(spark)
     step = math.log(den / num)
     postings = postings.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step))
 
@@ -197,8 +202,9 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
-        new = checkpointed(verified(pairs, sets, num, den))
+        new = checkpointed(verified(pairs, sets, num, den, broadcast_ids))
         grew = bool(new.head(1))
+        textops.free_shuffles(spark)
         tested = pairs if tested is None else tested.union(pairs)
         links = new if links is None else links.union(new)
         if grew:

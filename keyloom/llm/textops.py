@@ -149,3 +149,14 @@ def checkpointed(df, eager: bool = True):
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager)
+
+
+def free_shuffles(spark) -> None:
+    """Lets Spark's cleaner delete shuffle files that nothing refers to any more, rather than at the driver's next full collection.
+
+    To be called after a checkpoint that ends a large shuffle; without it a driver that needs little memory keeps all of them on disk.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
