@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, jaccard, packing, toxicity
+from keyloom.llm import decontaminate, jaccard, language, packing, toxicity
 
 
 def table(spark, sf_dir: str, name: str):
@@ -30,6 +30,13 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark, sf_dir):
+    """See ``language``; learns from three folds of four, and predicts every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, remainder(4) != 2)
+    return language.predict(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_best_fit_packing(spark, sf_dir):
     """See ``packing.pack``; one row per piece."""
     rank_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -42,7 +49,7 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op6_best_fit_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_language_id, op6_best_fit_packing, op10_benchmark_decontamination)}
 
 WORDS10 = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
