@@ -130,14 +130,20 @@ def could_match(num: int, den: int):
     return f"{length} and (least(pos, c_pos) + 1 + least(n - 1 - pos, c_n - 1 - c_pos)) * {num + den} >= {num} * (n + c_n)"
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, broadcast_ids: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Sets outside all pairs aren't shuffled if the ids inside are few."""
-    inside = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if inside.count() <= broadcast_ids:
-        sets = sets.join(F.broadcast(inside), "id", "left_semi")
-    one = sets.select(F.col("id").alias("a"), F.col("ranges").alias("ra"), F.col("grams").alias("ga"))
-    two = sets.select(F.col("id").alias("b"), F.col("ranges").alias("rb"), F.col("grams").alias("gb"))
-    both = pairs.join(one, "a").join(two, "b")
+def within(rows: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """The rows whose id is in ``ids`` (distinct). Up to ``most`` ids are broadcast, so that rows stay where they are; more are joined by shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, "id", "left_semi")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, kind: str, most: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Whole sets are made, and shuffled, only for texts in pairs."""
+
+    def sets(side: str) -> DataFrame:
+        ids = pairs.select(F.col(side).alias("id")).distinct()
+        made = full_sets(within(texts, ids, most), n, kind)
+        return made.select(F.col("id").alias(side), F.col("ranges").alias(f"r{side}"), F.col("grams").alias(f"g{side}"))
+
+    both = pairs.join(sets("b"), "b").join(sets("a"), "a")
     total = F.size("ga") + F.size("gb")
     apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     may = (total - apart) / 2 * (num + den) >= num * total
@@ -159,21 +165,20 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(shingle_counts(texts, n, sketch_bits))
-    base = checkpointed(described(texts, counts, sketch_bits, n, num, den, kind))
+    scratch = textops.Scratch(spark)
+    made = scratch.save(described(texts, counts, sketch_bits, n, num, den, kind), "described")
     key = ["n", "sig1", "sig2"]
-    classes = checkpointed(base.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix")))
-    postings = classes.select(F.col("rep").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
+    base = made.select("id", *key)
+    classes = checkpointed(base.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep")))
+    postings = within(made, classes.select(F.col("rep").alias("id")).distinct(), broadcast_ids)
+    postings = postings.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
     shared = postings.groupBy("gram").count().where("count > 1").select("gram")
-    postings = checkpointed(postings.join(shared, "gram"))  # only those whose shingle some other set has in its prefix
+    postings = scratch.save(postings.join(shared, "gram"), "postings")  # only those whose shingle some other set has in its prefix
     del shared
     textops.free_shuffles(spark)
     step = math.log(den / num)
     postings = postings.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step))
-
     total = postings.count()
-    members = postings.select("id").distinct()
-    few = members.count() <= broadcast_ids
-    sets = checkpointed(full_sets(texts.join(F.broadcast(members) if few else members, "id"), n, kind)) if total else None
 
     labelled = postings.withColumn("comp", F.col("id"))
     links = tested = None
@@ -181,7 +186,7 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
     round_no = 0
     while total:
         if round_no:
-            labelled = checkpointed(postings.join(labels, postings["id"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component"))
+            labelled = scratch.save(postings.join(labels, postings["id"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component"), f"labelled{round_no}")
             per_gram = labelled.groupBy("gram", "comp").count().groupBy("gram").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("comps")).where("comps > 1")
             open_grams = checkpointed(per_gram.select("gram", F.col("top.comp").alias("top"), ((F.col("all") - F.col("top.count")) * F.col("all")).alias("work")))
             work = open_grams.agg(F.sum("work")).first()[0] or 0
@@ -202,11 +207,12 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
-        new = checkpointed(verified(pairs, sets, num, den, broadcast_ids))
+        new = checkpointed(verified(pairs, texts, n, num, den, kind, broadcast_ids))
         grew = bool(new.head(1))
         textops.free_shuffles(spark)
         tested = pairs if tested is None else tested.union(pairs)
         links = new if links is None else links.union(new)
+        scratch.drop(f"labelled{round_no}")
         if grew:
             labels = checkpointed(components(links))
         round_no += 1

@@ -135,12 +135,9 @@ def sliced(batches, column: str, limit: int = 4 << 20):
             a = b
 
 
-def checkpointed(df, eager: bool = True):
-    """``df`` read back from the shared checkpoint folder: executors may be lost, and nothing is computed twice.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in local tests) one is chosen here.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) one is chosen here."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -148,13 +145,38 @@ def checkpointed(df, eager: bool = True):
 
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df, eager: bool = True):
+    """``df`` read back from the shared folder: executors may be lost, and nothing is computed twice. For small frames."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
+class Scratch:
+    """Tables written to the shared folder, compressed, and deleted when they have served. What a lazy result still reads stays."""
+
+    def __init__(self, spark):
+        import uuid
+
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def save(self, df, name: str):
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+
+
 def free_shuffles(spark) -> None:
     """Lets Spark's cleaner delete shuffle files that nothing refers to any more, rather than at the driver's next full collection.
 
-    To be called after a checkpoint that ends a large shuffle; without it a driver that needs little memory keeps all of them on disk.
+    To be called after a written table ends a large shuffle; without it a driver that needs little memory keeps all of them on disk.
     """
     import gc
 
