@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, jaccard, language, packing, preference, toxicity, urls
+from keyloom.llm import decontaminate, jaccard, language, media, packing, preference, secrets, toxicity, urls, wordpiece
 
 
 def table(spark, sf_dir: str, name: str):
@@ -48,6 +48,12 @@ def op4_preference_formatting(spark, sf_dir):
     return preference.format_pairs(pairs).select(F.col("id").alias("conv_id"), "prompt_turns", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
 
 
+def op5_secret_scans(spark, sf_dir):
+    """See ``secrets.scan``; one row per document."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op6_best_fit_packing(spark, sf_dir):
     """See ``packing.pack``; one row per piece."""
     rank_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,6 +66,11 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_token_counts(spark, sf_dir):
+    """See ``wordpiece.counts``; one row per document."""
+    return wordpiece.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
@@ -68,7 +79,12 @@ def op8_url_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "ratio")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_language_id, op4_preference_formatting, op6_best_fit_packing, op8_url_filter, op10_benchmark_decontamination)}
+def op9_media_columns(spark, sf_dir):
+    """See ``media.media_rows``; one row per document."""
+    return media.media_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_language_id, op4_preference_formatting, op5_secret_scans, op6_best_fit_packing, op7_token_counts, op8_url_filter, op9_media_columns, op10_benchmark_decontamination)}
 
 WORDS10 = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
