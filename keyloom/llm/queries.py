@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -84,7 +85,12 @@ def op9_media_columns(spark, sf_dir):
     return media.media_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_language_id, op4_preference_formatting, op5_secret_scans, op6_best_fit_packing, op7_token_counts, op8_url_filter, op9_media_columns, op10_benchmark_decontamination)}
+def pipeline(spark, sf_dir):
+    """See ``corpus_pipeline``: five stages over documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_language_id, op4_preference_formatting, op5_secret_scans, op6_best_fit_packing, op7_token_counts, op8_url_filter, op9_media_columns, op10_benchmark_decontamination, pipeline)}
 
 WORDS10 = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
