@@ -3,14 +3,15 @@
 Method. A document's set is its distinct n-word shingles as 64-bit hashes. Shingles have a global order, rarest
 first: by a bounded table of counts over all documents (``2 ** sketch_bits`` buckets, 4 MB by default), then by hash.
 Two sets can be similar only if their prefixes in that order share a shingle. Candidates come from joins on prefix
-shingles, then pass the length filter and the positional filter; each pair is verified once, by a suffix filter (both
-sets are counted in 16 ranges of hashes, and the differences bound the overlap) and then by the exact overlap.
+shingles, then pass the length filter, the positional filter and, where many pairs share a shingle, a suffix filter: sets are cut into 512
+parts by hash, and each part whose sizes differ in parity holds a shingle that only one of the two has, so counting such parts bounds the
+overlap. Each pair that is left is verified once, by its exact overlap.
 
 Equal sets are one class from the start. Within the documents that share a prefix shingle, a star round tests all against one
 centre per shingle and length class. What those links connect needs no more tests; all further pairs of different
 components are then tested: per shingle, the members outside its largest component against all its members. So no
 link between two components is lost, while a group of k near copies costs about k tests rather than k squared.
-Star rounds repeat, with other centres, while they still connect much and the exact rest would be large.
+Star rounds repeat, with other centres, while they still save much of the exact rest.
 
 Null, empty and wordless texts have an empty set and are linked with nothing; with fewer than n words the whole
 sequence is the one shingle. Rows that share an id are one node. A null id is its own component (null). Repeated rows
@@ -31,7 +32,7 @@ from keyloom.llm.components import components
 from keyloom.llm.textops import checkpointed
 
 BLOCKS = 64
-RANGES = 16
+PARITY_WORDS = 8
 
 
 def shingle_sets(col, n: int) -> list[np.ndarray]:
@@ -88,13 +89,13 @@ def shingle_counts(texts: DataFrame, n: int, bits: int) -> np.ndarray:
 
 
 def described(texts: DataFrame, counts, bits: int, n: int, num: int, den: int, kind: str) -> DataFrame:
-    """Per row: id, n (set size), sig1, sig2 (equal for equal sets) and prefix, rarest first."""
+    """Per row: id, n (set size), sig1, sig2 (equal for equal sets), parity (of the sizes of 512 parts, as bits) and prefix, rarest first."""
 
     def run(batches):
         table = counts.value
         for batch in textops.sliced(batches, "text"):
             sets = shingle_sets(batch["text"], n)
-            prefix, sig = [], np.zeros((len(sets), 2), np.uint64)
+            prefix, sig, parity = [], np.zeros((len(sets), 2), np.uint64), np.zeros((len(sets), PARITY_WORDS), np.uint64)
             for i, g in enumerate(sets):
                 if not len(g):
                     prefix.append(g)
@@ -107,21 +108,22 @@ def described(texts: DataFrame, counts, bits: int, n: int, num: int, den: int, k
                 else:
                     prefix.append(g[np.argsort(rare, kind="stable")])
                 sig[i] = g.sum(), textops.mix(g).sum()
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(g) for g in sets], pa.int64()), *(pa.array(sig[:, k].view(np.int64)) for k in (0, 1)), lists(prefix)], ["id", "n", "sig1", "sig2", "prefix"])
+                odd = np.bincount((g & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+                parity[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(g) for g in sets], pa.int64()), *(pa.array(np.ascontiguousarray(sig[:, k]).view(np.int64)) for k in (0, 1)), lists(list(parity)), lists(prefix)], ["id", "n", "sig1", "sig2", "parity", "prefix"])
 
-    return texts.mapInArrow(run, f"id {kind}, n bigint, sig1 bigint, sig2 bigint, prefix array<bigint>")
+    return texts.mapInArrow(run, f"id {kind}, n bigint, sig1 bigint, sig2 bigint, parity array<bigint>, prefix array<bigint>")
 
 
 def full_sets(texts: DataFrame, n: int, kind: str) -> DataFrame:
-    """Per row: id, ranges (counts of the set in 16 ranges of hashes) and the whole set."""
+    """Per row: id and the whole set."""
 
     def run(batches):
         for batch in textops.sliced(batches, "text"):
             sets = shingle_sets(batch["text"], n)
-            ranges = [np.bincount((g >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32) for g in sets]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(ranges, pa.list_(pa.int32())), lists(sets)], ["id", "ranges", "grams"])
+            yield pa.RecordBatch.from_arrays([batch["id"], lists(sets)], ["id", "grams"])
 
-    return texts.mapInArrow(run, f"id {kind}, ranges array<int>, grams array<bigint>")
+    return texts.mapInArrow(run, f"id {kind}, grams array<bigint>")
 
 
 def could_match(num: int, den: int):
@@ -130,6 +132,12 @@ def could_match(num: int, den: int):
     return f"{length} and (least(pos, c_pos) + 1 + least(n - 1 - pos, c_n - 1 - c_pos)) * {num + den} >= {num} * (n + c_n)"
 
 
+def few_odd_parts(num: int, den: int) -> str:
+    """Suffix filter: no more parts differ in parity than similar sets of these sizes can have shingles apart."""
+    odd = " + ".join(f"bit_count(parity[{k}] ^ c_parity[{k}])" for k in range(PARITY_WORDS))
+    return f"({odd}) * {num + den} <= {den - num} * (n + c_n)"
+
+
 def within(rows: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     """The rows whose id is in ``ids`` (distinct). Up to ``most`` ids are broadcast, so that rows stay where they are; more are joined by shuffle."""
     return rows.join(F.broadcast(ids) if ids.count() <= most else ids, "id", "left_semi")
@@ -141,13 +149,11 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, kin
     def sets(side: str) -> DataFrame:
         ids = pairs.select(F.col(side).alias("id")).distinct()
         made = full_sets(within(texts, ids, most), n, kind)
-        return made.select(F.col("id").alias(side), F.col("ranges").alias(f"r{side}"), F.col("grams").alias(f"g{side}"))
+        return made.select(F.col("id").alias(side), F.col("grams").alias(f"g{side}"))
 
     both = pairs.join(sets("b"), "b").join(sets("a"), "a")
     total = F.size("ga") + F.size("gb")
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    may = (total - apart) / 2 * (num + den) >= num * total
-    return both.where(F.when(may, F.size(F.array_intersect("ga", "gb")) * (num + den) >= num * total).otherwise(False)).select("a", "b")
+    return both.where(F.size(F.array_intersect("ga", "gb")) * (num + den) >= num * total).select("a", "b")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -157,9 +163,9 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=100, sketch_bits=20, broadcast_ids=2_000_000, rest_factor=4) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the least id reachable by links, its own included).
 
-    ``num / den`` is the least similarity. ``sketch_bits`` bounds the table of counts. Up to ``broadcast_ids`` candidate
-    ids are broadcast to pick their texts; more are joined by shuffle. Star rounds go on while the exact rest would test over
-    ``rest_factor`` pairs per candidate posting and the last round still linked something.
+    ``num / den`` is the least similarity. ``sketch_bits`` bounds the table of counts. Up to ``broadcast_ids`` ids
+    are broadcast to pick their rows; more are joined by shuffle. Star rounds end when the exact rest has at most
+    ``rest_factor`` pairs per candidate posting before any filter, or when the last round saved less than a third of it.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -183,22 +189,23 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
     labelled = postings.withColumn("comp", F.col("id"))
     links = tested = None
     labels = spark.createDataFrame([], f"node {kind}, component {kind}")
-    round_no = 0
+    round_no, work, grew = 0, None, False
     while total:
+        final = False
         if round_no:
             labelled = scratch.save(postings.join(labels, postings["id"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component"), f"labelled{round_no}")
             per_gram = labelled.groupBy("gram", "comp").count().groupBy("gram").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("comps")).where("comps > 1")
             open_grams = checkpointed(per_gram.select("gram", F.col("top.comp").alias("top"), ((F.col("all") - F.col("top.count")) * F.col("all")).alias("work")))
-            work = open_grams.agg(F.sum("work")).first()[0] or 0
+            before, work = work, open_grams.agg(F.sum("work")).first()[0] or 0
             if not work:
                 break
             labelled = labelled.join(open_grams.select("gram", "top"), "gram")
-            final = work <= rest_factor * total or not grew
-        else:
-            final = False
+            final = work <= rest_factor * total or not grew or (before is not None and 3 * work > 2 * before)
         if final:
-            centres = labelled.select("gram", *(F.col(c).alias(f"c_{c}") for c in ("id", "n", "pos", "comp")))
-            pairs = labelled.where("comp <> top").join(centres, "gram").where("comp <> c_comp").where(could_match(num, den))
+            parity = within(made.select("id", "parity"), labelled.select("id").distinct(), broadcast_ids)
+            rows = labelled.join(parity, "id").select("gram", "id", "n", "pos", "comp", "top", "parity")
+            others = rows.select("gram", *(F.col(c).alias(f"c_{c}") for c in ("id", "n", "pos", "comp", "parity")))
+            pairs = rows.where("comp <> top").join(others, "gram").where("comp <> c_comp").where(could_match(num, den)).where(few_odd_parts(num, den))
         else:
             pick = F.min(F.struct(F.xxhash64("comp", F.lit(round_no)), "comp", F.xxhash64("id", F.lit(round_no)), "id", "n", "pos")) if round_no else F.min(F.struct("id", "n", "pos", "comp"))
             centres = labelled.groupBy("gram", "size").agg(pick.alias("c"), F.count("*").alias("k")).where("k > 1").select("gram", "size", *(F.col(f"c.{c}").alias(f"c_{c}") for c in ("id", "n", "pos", "comp")))
@@ -212,12 +219,14 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
         textops.free_shuffles(spark)
         tested = pairs if tested is None else tested.union(pairs)
         links = new if links is None else links.union(new)
-        scratch.drop(f"labelled{round_no}")
+        if round_no:
+            scratch.drop(f"labelled{round_no}")
         if grew:
             labels = checkpointed(components(links))
         round_no += 1
         if final:
             break
+    scratch.drop("postings")
     named = classes.select(*key, "rep").join(labels, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     result = base.select("id", *key).join(named, key, "left")
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
