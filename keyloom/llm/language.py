@@ -4,7 +4,7 @@ First a linear support vector machine for each language family (against the othe
 linear machines separate the languages within it, by votes and, on a tie, by the sum of margins. Features are the
 relative frequencies of byte trigrams of the whole lower-cased text (everything but letters is a space), hashed to
 ``2 ** bits``. Machines are fitted on the driver to a bounded sample: ``per_language`` texts of each language, the least by
-a hash of the text, of ``most_chars`` characters at most each; every text is then scored whole, in place.
+a hash of the text, of ``most_chars`` characters at most each, for the ``most_languages`` commonest languages; every text is then scored whole, in place.
 
 Texts that are null or have no letter are ``und`` with score 0; so are all texts if there was nothing to learn from. With a
 single language that language is the answer. Repeated rows get equal results. An empty table gives an empty result.
@@ -145,17 +145,25 @@ def decide(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, np.clip(np.round(sure, 6), 0, 1)
 
 
-def sample(docs: DataFrame, allowed: Column, *, text_col: str, lang_col: str, per_language: int, most_chars: int) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, allowed: Column, *, text_col: str, lang_col: str, per_language: int, most_chars: int, most_languages: int) -> tuple[list[str], list[str]]:
+    """(texts, languages). Counts come first, so that each language sends about twice what it may keep, however large it is."""
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.length("text") <= most_chars).withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not sizes:
+        return [], []
+    rate = F.lit(None).cast("double")
+    for r in sizes:
+        rate = F.when(F.col("lang") == r["lang"], 2.0 * per_language / r["count"] + 50.0 / r["count"]).otherwise(rate)
+    rows = rows.where(F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30))
     picked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_language)
     got = sorted((r.lang, r.text) for r in picked.select("lang", "text").collect())
     return [t for _, t in got], [x for x, _ in got]
 
 
-def train(docs: DataFrame, allowed: Column, *, text_col="text", lang_col="lang", per_language=800, most_chars=20_000, bits=13) -> Model:
+def train(docs: DataFrame, allowed: Column, *, text_col="text", lang_col="lang", per_language=800, most_chars=20_000, most_languages=200, bits=13) -> Model:
     """A model from the rows where ``allowed`` holds and the language is known."""
-    return fit(*sample(docs, allowed, text_col=text_col, lang_col=lang_col, per_language=per_language, most_chars=most_chars), bits=bits)
+    return fit(*sample(docs, allowed, text_col=text_col, lang_col=lang_col, per_language=per_language, most_chars=most_chars, most_languages=most_languages), bits=bits)
 
 
 def predict(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", bits=13, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -109,13 +109,17 @@ def fit(texts: list[str], labels: np.ndarray, *, bits: int, rounds: int, rate: f
 def sample(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str, text_col: str, label_col: str, sample_docs: int, sample_chars: int):
     """(texts, labels) of a bounded share of the labelled rows, the same whatever their order. Half the rows at most are of one class."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    rows = docs.where(allowed).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("length(text) > 0").join(marks, "id")
-    ordered = rows.select("text", "y", F.xxhash64("text").alias("h"), F.length("text").cast("bigint").alias("n"))
-    picked = []
+    texts = docs.where(allowed).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("length(text) > 0")
+    rows = texts.select("id", F.xxhash64("text").alias("h"), F.length("text").cast("bigint").alias("n")).join(marks, "id")  # no text is shuffled
+    least = Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
+    ids = []
     for y in (1, 0):
-        some = ordered.where((F.col("y") > 0) == F.lit(y == 1)).orderBy("h", "text").limit(sample_docs // 2)
-        within = some.withColumn("sum", F.sum("n").over(Window.orderBy("h", "text").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= sample_chars // 2)
-        picked += [(r.text, y) for r in within.select("text").collect()]
+        some = rows.where((F.col("y") > 0) == F.lit(y == 1)).orderBy("h", "id").limit(sample_docs // 2)
+        ids += [(r.id, y) for r in some.withColumn("sum", F.sum("n").over(least)).where(F.col("sum") <= sample_chars // 2).select("id").distinct().collect()]
+    if not ids:
+        return [], np.zeros(0)
+    chosen = docs.sparkSession.createDataFrame(ids, f"id {docs.schema[id_col].dataType.simpleString()}, y int")  # at most sample_docs ids
+    picked = sorted((r.text, r.y) for r in texts.join(F.broadcast(chosen), "id").select("text", "y").collect())
     return [t for t, _ in picked], np.array([y for _, y in picked], float)
 
 
