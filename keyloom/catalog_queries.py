@@ -1,8 +1,570 @@
-"""Registered queries of the ordered-table operators."""
+"""Registered queries of the ordered-table operators, each with DuckDB SQL for the same rows where SQL can say it.
 
-QUERIES = {}
-ORACLE = {}
+Tables: orders is a map by o_orderkey; events a multimap user_id -> event_id (in order of ts); lineitem a multimap l_orderkey -> (l_linenumber,
+l_partkey, l_suppkey); nation, customer, part and region serve as probes and small maps. Probe and mutation batches are derived from
+the tables without random numbers.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(0)
+from pyspark.sql import functions as F
+
+from keyloom.functions import codecs as C
+from keyloom.operators import check, mutate
+from keyloom.operators.table import OrderedTable
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def read(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE[key] = sql
+        return f
+
+    return register
+
+
+def orders(spark, d, value=("o_custkey", "o_orderstatus"), **kw):
+    return OrderedTable(read(spark, d, "orders"), ["o_orderkey"], list(value), **kw)
+
+
+def events(spark, d, **kw):
+    return OrderedTable(read(spark, d, "events"), ["user_id"], ["event_id"], value_mode="multi_ordinal", **kw)
+
+
+LINE = ["l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def lines(spark, d, **kw):
+    return OrderedTable(read(spark, d, "lineitem"), ["l_orderkey"], LINE, value_mode="multi", **kw)
+
+
+def order_probes(spark, d):
+    """Present and absent order keys: three for each customer."""
+    c = read(spark, d, "customer").select("c_custkey")
+    return c.select("c_custkey", F.explode(F.array(*(F.col("c_custkey") * k + a for k, a in ((7, -3), (11, 1), (13, 5))))).alias("pk"))
+
+
+PROBES = "(SELECT c_custkey, unnest([c_custkey * 7 - 3, c_custkey * 11 + 1, c_custkey * 13 + 5]) AS pk FROM customer)"
+
+
+# The flagship: each customer's latest order at or before a date, joined back through the primary table
+
+
+def flagship(spark, d):
+    o = read(spark, d, "orders")
+    by_customer = OrderedTable(o.select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"], value_mode="multi")
+    cut = F.lit("1997-06-30").cast("timestamp_ntz")
+    probes = read(spark, d, "customer").select("c_custkey", cut.alias("day"), F.lit((1 << 63) - 1).alias("top"))
+    found = by_customer.nearest(probes, ["c_custkey"], "le", ["day", "top"], within=True)
+    primary = orders(spark, d, ("o_totalprice", "o_orderstatus"))
+    keyed = found.where("found is not null").select("c_custkey", F.col("found.o_orderkey").alias("o_orderkey"), F.col("found.o_orderdate").alias("o_orderdate"))
+    got = primary.get(keyed, ["o_orderkey"], name="o")
+    return got.select("c_custkey", "o_orderkey", "o_orderdate", F.col("o.o_totalprice").alias("o_totalprice"), F.col("o.o_orderstatus").alias("o_orderstatus"))
+
+
+query("""SELECT c_custkey, o_orderkey, o_orderdate, o_totalprice, o_orderstatus FROM (SELECT c_custkey, o.*, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r
+  FROM customer JOIN orders o ON o_custkey = c_custkey WHERE o_orderdate <= TIMESTAMP '1997-06-30') WHERE r = 1""", "flagship")(flagship)
+
+
+# Scans
+
+
+@query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS position FROM nation")
+def scan_forward(spark, d):
+    return OrderedTable(read(spark, d, "nation"), ["n_nationkey"], ["n_name"]).positions()
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 100")
+def scan_backward_top(spark, d):
+    return orders(spark, d).scan(backward=True, limit=100)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 3000")
+def range_scan(spark, d):
+    return orders(spark, d).scan(F.col("o_orderkey") < 3000, start=(1000,))
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 40 ORDER BY p_partkey LIMIT 1")
+def scan_predicate(spark, d):
+    return OrderedTable(read(spark, d, "part"), ["p_partkey"], ["p_name", "p_size"]).scan(F.col("p_size") > 40, limit=1)
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey <= 150 AND p_size > 40 ORDER BY p_partkey DESC LIMIT 1")
+def scan_from_predicate(spark, d):
+    return OrderedTable(read(spark, d, "part"), ["p_partkey"], ["p_name", "p_size"]).scan(F.col("p_size") > 40, start=(150,), backward=True, limit=1)
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def scan_nodup_backward(spark, d):
+    return events(spark, d).scan(backward=True, nodup=True)
+
+
+@query("SELECT p_partkey, p_size, CASE WHEN p_size < 3 THEN 'EINVAL' ELSE 'TRUE' END AS verdict FROM part WHERE p_size < 3 OR p_size > 48 ORDER BY p_partkey LIMIT 1")
+def scan_status(spark, d):
+    verdict = F.when(F.col("p_size") < 3, "EINVAL").when(F.col("p_size") > 48, "TRUE").otherwise("FALSE")
+    return OrderedTable(read(spark, d, "part"), ["p_partkey"], ["p_size"]).scan_status(verdict)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 500")
+def get_batch(spark, d):
+    return orders(spark, d).batch((700,), 500)
+
+
+@query("SELECT 'first' AS side, * FROM (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1) UNION ALL SELECT 'last', * FROM (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 1)")
+def first_and_last(spark, d):
+    t = orders(spark, d)
+    return t.first().select(F.lit("first").alias("side"), "*").unionByName(t.last().select(F.lit("last").alias("side"), "*"))
+
+
+# Lookups
+
+
+@query(f"SELECT c_custkey, pk, o_custkey FROM {PROBES} JOIN orders ON o_orderkey = pk")
+def get_exact(spark, d):
+    found = orders(spark, d).get(order_probes(spark, d), ["pk"])
+    return found.where("found is not null").select("c_custkey", "pk", F.col("found.o_custkey").alias("o_custkey"))
+
+
+@query(f"SELECT c_custkey, pk, o_custkey, o_orderstatus, o_orderkey IS NULL AS absent FROM {PROBES} LEFT JOIN orders ON o_orderkey = pk")
+def get_many(spark, d):
+    found = orders(spark, d).get(order_probes(spark, d), ["pk"])
+    return found.select("c_custkey", "pk", "found.o_custkey", "found.o_orderstatus", F.col("found").isNull().alias("absent"))
+
+
+@query(f"SELECT c_custkey, pk, coalesce(o_custkey, -1) AS found FROM {PROBES} LEFT JOIN orders ON o_orderkey = pk")
+def get_default(spark, d):
+    return orders(spark, d).get_default(order_probes(spark, d), ["pk"], F.lit(-1))
+
+
+@query(f"SELECT c_custkey, pk, count(l_orderkey) AS values, min(l_linenumber) AS first_line FROM {PROBES} LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) ON l_orderkey = pk GROUP BY c_custkey, pk")
+def get_ex_count(spark, d):
+    found = lines(spark, d).get(order_probes(spark, d).distinct(), ["pk"], count=True)
+    return found.select("c_custkey", "pk", "values", F.col("found.l_linenumber").alias("first_line"))
+
+
+@query("SELECT n_nationkey, pk, k, CASE WHEN k IS NULL THEN 'NOTFOUND' WHEN k = pk THEN 'SUCCESS' ELSE 'RESULT_TRUE' END AS status FROM (SELECT n_nationkey, n_nationkey * 600 - 1 AS pk, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey >= n_nationkey * 600 - 1) AS k FROM nation)")
+def get_equal_or_great(spark, d):
+    probes = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 600 - 1).alias("pk"))
+    return orders(spark, d).lower_bound(probes, ["pk"]).select("n_nationkey", "pk", F.col("found.o_orderkey").alias("k"), "status")
+
+
+@query(f"SELECT c_custkey, pk FROM {PROBES} WHERE pk IN (SELECT o_orderkey FROM orders)")
+def seek_present(spark, d):
+    return orders(spark, d).seek(order_probes(spark, d), ["pk"])
+
+
+@query(f"SELECT c_custkey, pk FROM {PROBES} WHERE pk NOT IN (SELECT o_orderkey FROM orders)")
+def seek_absent(spark, d):
+    return orders(spark, d).seek(order_probes(spark, d), ["pk"], absent=True)
+
+
+OPS = {"lt": ("<", "max"), "le": ("<=", "max"), "eq": ("=", "min"), "ge": (">=", "min"), "gt": (">", "min")}
+
+
+def _sparse(spark, d):
+    """Orders without some keys, so that neighbours differ from probes."""
+    return OrderedTable(read(spark, d, "orders").where("o_orderkey % 3 <> 1 and o_orderkey % 97 > 4"), ["o_orderkey"], ["o_custkey"], rows_per_bucket=50_000)
+
+
+for _op, (_sign, _agg) in OPS.items():
+
+    def _key(spark, d, op=_op):
+        found = _sparse(spark, d).nearest(order_probes(spark, d), ["pk"], op)
+        return found.select("c_custkey", "pk", F.col("found.o_orderkey").alias("k"), "found.o_custkey")
+
+    _dir = "DESC" if _agg == "max" else "ASC"
+    _asof = f"SELECT p.c_custkey, p.pk, o_orderkey AS k, o_custkey FROM {PROBES} p ASOF LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderkey % 97 > 4) o ON p.pk {{}} o.o_orderkey"
+    _flip = {"<": ">", "<=": ">=", ">=": "<=", ">": "<"}
+    query(_asof.format(_flip[_sign]) if _op != "eq" else f"SELECT c_custkey, pk, o_orderkey AS k, o_custkey FROM {PROBES} LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderkey % 97 > 4) ON o_orderkey = pk", f"key_{_op}")(_key)
+
+    def _within(spark, d, op=_op):
+        e = read(spark, d, "events")
+        t = OrderedTable(e.select("user_id", "event_id").where("event_id % 2 = 0"), ["user_id"], ["event_id"], value_mode="multi", rows_per_bucket=50_000)
+        probes = e.select(F.col("event_id").alias("probe"), F.col("user_id").alias("u"), (F.col("event_id") - F.col("event_id") % 4).alias("v"))
+        return t.nearest(probes, ["u"], op, ["v"], within=True).select("probe", "u", "v", F.col("found.event_id").alias("hit"))
+
+    query(f"SELECT e.event_id AS probe, e.user_id AS u, e.event_id - e.event_id % 4 AS v, {_agg}(h.event_id) AS hit FROM events e LEFT JOIN events h ON h.user_id = e.user_id AND h.event_id % 2 = 0 AND h.event_id {_sign} e.event_id - e.event_id % 4 GROUP BY ALL", f"exact_key_value_{_op}")(_within)
+
+    def _pair(spark, d, op=_op):
+        probes = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 55 + 1).alias("pk"), F.lit(3).alias("pl"), F.lit(0).cast("bigint").alias("pp"), F.lit(0).cast("bigint").alias("ps"))
+        if op == "eq":
+            probes = read(spark, d, "lineitem").where("l_orderkey < 50").select(F.col("l_orderkey").alias("n_nationkey"), F.col("l_orderkey").alias("pk"), F.col("l_linenumber").alias("pl"), F.col("l_partkey").alias("pp"), (F.col("l_suppkey") - F.col("l_linenumber") % 2).alias("ps"))
+        t = lines(spark, d, rows_per_bucket=50_000)
+        return t.nearest(probes, ["pk"], op, ["pl", "pp", "ps"]).select("n_nationkey", "pk", "pl", *(F.col(f"found.{c}").alias(c) for c in ["l_orderkey", *LINE]))
+
+    _row = "(l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+    if _op == "eq":
+        _sql = "SELECT p.l_orderkey AS n_nationkey, p.l_orderkey AS pk, p.l_linenumber AS pl, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey FROM lineitem p LEFT JOIN lineitem l ON l.l_orderkey = p.l_orderkey AND l.l_linenumber = p.l_linenumber AND l.l_partkey = p.l_partkey AND l.l_suppkey = p.l_suppkey - p.l_linenumber % 2 WHERE p.l_orderkey < 50"
+    else:
+        _sql = f"SELECT n_nationkey, CAST(n_nationkey * 55 + 1 AS BIGINT) AS pk, 3 AS pl, x.a AS l_orderkey, x.b AS l_linenumber, x.c AS l_partkey, x.e AS l_suppkey FROM (SELECT n_nationkey, (SELECT {_agg}({{'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'e': l_suppkey}}) FROM lineitem WHERE {_row} {_sign} (n_nationkey * 55 + 1, 3, 0, 0)) AS x FROM nation)"
+    query(_sql, f"pair_{_op}")(_pair)
+
+
+@query("SELECT n_nationkey, n_nationkey * 613 AS pk, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey > n_nationkey * 613) AS k FROM nation")
+def upper_bound(spark, d):
+    probes = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 613).alias("pk"))
+    return orders(spark, d).upper_bound(probes, ["pk"]).select("n_nationkey", "pk", F.col("found.o_orderkey").alias("k"))
+
+
+@query("SELECT e.user_id AS u, e.event_id + 1 AS v, min(h.event_id) AS hit, CASE WHEN min(h.event_id) = e.event_id + 1 THEN 'SUCCESS' ELSE 'RESULT_TRUE' END AS status, true AS found_any FROM events e JOIN events h ON h.user_id = e.user_id AND h.event_id >= e.event_id + 1 GROUP BY e.user_id, e.event_id")
+def lower_bound_within(spark, d):
+    t = events(spark, d)
+    probes = read(spark, d, "events").select(F.col("user_id").alias("u"), (F.col("event_id") + 1).alias("v"))
+    found = t.nearest(probes, ["u"], "ge", ["v"], within=True)
+    hit = F.col("found.event_id")
+    return found.select("u", "v", hit.alias("hit"), F.when(hit.isNull(), "NOTFOUND").when(hit == F.col("v"), "SUCCESS").otherwise("RESULT_TRUE").alias("status"), hit.isNotNull().alias("found_any")).where("found_any")
+
+
+@query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def secondary_index_lookup(spark, d):
+    o = read(spark, d, "orders")
+    index = o.select(F.col("o_custkey").alias("alt"), F.col("o_orderkey").alias("pk"))
+    picked = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    keys = picked.join(index, F.col("alt") == F.col("c_custkey")).select("c_custkey", F.col("pk").alias("o_orderkey"))
+    return orders(spark, d, ("o_totalprice",)).get(keys, ["o_orderkey"]).select("c_custkey", "o_orderkey", "found.o_totalprice")
+
+
+# Moves
+
+
+def _move(name, sql, f):
+    query(sql, name)(f)
+
+
+_move("next", "SELECT user_id, event_id, lead(user_id) OVER w AS next_user, lead(event_id) OVER w AS next_event FROM events WINDOW w AS (ORDER BY user_id, event_id)", lambda s, d: events(s, d, rows_per_bucket=30_000).next("n").select("user_id", "event_id", F.col("n.user_id").alias("next_user"), F.col("n.event_id").alias("next_event")))
+_move("prev", "SELECT user_id, event_id, lag(user_id) OVER w AS prev_user, lag(event_id) OVER w AS prev_event FROM events WINDOW w AS (ORDER BY user_id, event_id)", lambda s, d: events(s, d, rows_per_bucket=30_000).previous("n").select("user_id", "event_id", F.col("n.user_id").alias("prev_user"), F.col("n.event_id").alias("prev_event")))
+_move("next_dup", "SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events", lambda s, d: events(s, d, rows_per_bucket=30_000).next_dup("n").select("user_id", "event_id", "n.event_id").toDF("user_id", "event_id", "n"))
+_move("prev_dup", "SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events", lambda s, d: events(s, d, rows_per_bucket=30_000).previous_dup("n").select("user_id", "event_id", "n.event_id").toDF("user_id", "event_id", "n"))
+_move("first_dup", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id", lambda s, d: events(s, d).first_values())
+_move("last_dup", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id", lambda s, d: events(s, d).first_values(last=True))
+_move("next_nodup", "SELECT user_id, lead(user_id) OVER w AS k, lead(e) OVER w AS v FROM (SELECT user_id, min(event_id) AS e FROM events GROUP BY user_id) WINDOW w AS (ORDER BY user_id)", lambda s, d: events(s, d).next_nodup("n").select("user_id", F.col("n.user_id").alias("k"), F.col("n.event_id").alias("v")))
+_move("prev_nodup", "SELECT user_id, lag(user_id) OVER w AS k, lag(e) OVER w AS v FROM (SELECT user_id, max(event_id) AS e FROM events GROUP BY user_id) WINDOW w AS (ORDER BY user_id)", lambda s, d: events(s, d).previous_nodup("n").select("user_id", F.col("n.user_id").alias("k"), F.col("n.event_id").alias("v")))
+
+
+@query("SELECT user_id, (row_number() OVER w - 1) // 8 AS page, (row_number() OVER w - 1) % 8 AS place, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def get_multiple(spark, d):
+    p = events(spark, d, rows_per_bucket=30_000).pages(8)
+    return p.select("user_id", "page", F.posexplode("values").alias("place", "v")).select("user_id", "page", F.col("place").cast("bigint").alias("place"), "v.event_id")
+
+
+@query("SELECT user_id, event_id, next_first FROM (SELECT user_id, event_id, lead(event_id, 8) OVER w AS next_first, (row_number() OVER w - 1) % 8 AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE r = 0")
+def next_multiple(spark, d):
+    p = events(spark, d).pages(8).select("user_id", "page", F.col("values")[0]["event_id"].alias("event_id"))
+    following = p.select("user_id", (F.col("page") - 1).alias("page"), F.col("event_id").alias("next_first"))
+    return p.join(following, ["user_id", "page"], "left").select("user_id", "event_id", "next_first")
+
+
+@query("SELECT user_id, event_id, rn = 1 AS on_first, rn = n AS on_last, event_id = min(event_id) OVER (PARTITION BY user_id) AS on_first_dup, event_id = max(event_id) OVER (PARTITION BY user_id) AS on_last_dup FROM (SELECT user_id, event_id, row_number() OVER (ORDER BY user_id, event_id) AS rn, count(*) OVER () AS n FROM events)")
+def on_ends(spark, d):
+    return events(spark, d).ends()
+
+
+@query("SELECT a.c_custkey, a.pk AS ak, b.pk AS bk, sign(a.pk - b.pk)::INTEGER AS ord FROM (SELECT c_custkey, c_custkey * 7 - 3 AS pk FROM customer) a JOIN (SELECT c_custkey, (c_custkey * 5) % 900 AS pk FROM customer) b USING (c_custkey)")
+def compare_positions(spark, d):
+    c = read(spark, d, "customer").select("c_custkey")
+    t = OrderedTable(c.select("c_custkey", (F.col("c_custkey") * 7 - 3).alias("pk")), ["pk"], [])
+    a = c.select("c_custkey", (F.col("c_custkey") * 7 - 3).alias("pk"))
+    b = c.select("c_custkey", ((F.col("c_custkey") * 5) % 900).alias("pk"))
+    return t.compare(a, b, ["c_custkey"], name="ord").select("c_custkey", F.col("a.pk").alias("ak"), F.col("b.pk").alias("bk"), "ord")
+
+
+# Counts and places
+
+
+@query("SELECT count(*) AS pairs FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900")
+def distance(spark, d):
+    return spark.createDataFrame([(orders(spark, d).distance((100,), (900,)),)], "pairs bigint")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, 700::BIGINT AS position FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 700")
+def scroll(spark, d):
+    return orders(spark, d, rows_per_bucket=30_000).scroll(600, 100)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, position, slot FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS position, count(*) OVER () AS n FROM orders) JOIN (SELECT unnest(range(8))::INTEGER AS slot) ON position = slot * n // 8")
+def distribute(spark, d):
+    return orders(spark, d, rows_per_bucket=30_000).distribute(8)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS position FROM lineitem")
+def positions(spark, d):
+    return lines(spark, d, rows_per_bucket=100_000).positions()
+
+
+@query("SELECT l_orderkey, count(*) AS values FROM lineitem GROUP BY l_orderkey")
+def value_count(spark, d):
+    return lines(spark, d).df.groupBy("l_orderkey").agg(F.count("*").alias("values"))
+
+
+@query()
+def estimate_range(spark, d):
+    t = orders(spark, d)
+    return spark.createDataFrame([(t.estimate((100,), (9000,)), t.distance((100,), (9000,)))], "estimate bigint, exact bigint")
+
+
+# Mutations: a batch of new and present order keys, each twice
+
+BATCH = "(SELECT o_orderkey * 2 AS seq, o_orderkey + 1000 AS o_orderkey, o_custkey + 1 AS o_custkey FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey * 2 + 1, o_orderkey + 1000, o_custkey + 2 FROM orders WHERE o_orderkey % 10 = 0)"
+
+
+def _batch(spark, d):
+    o = read(spark, d, "orders")
+    one = o.where("o_orderkey % 5 = 0").select((F.col("o_orderkey") * 2).alias("seq"), (F.col("o_orderkey") + 1000).alias("o_orderkey"), (F.col("o_custkey") + 1).alias("o_custkey"))
+    two = o.where("o_orderkey % 10 = 0").select((F.col("o_orderkey") * 2 + 1).alias("seq"), (F.col("o_orderkey") + 1000).alias("o_orderkey"), (F.col("o_custkey") + 2).alias("o_custkey"))
+    return one.unionByName(two)
+
+
+def _map(spark, d):
+    return orders(spark, d, ("o_custkey",))
+
+
+_LAST = f"(SELECT o_orderkey, arg_max(o_custkey, seq) AS o_custkey FROM {BATCH} GROUP BY o_orderkey)"
+_FIRST = f"(SELECT o_orderkey, arg_min(o_custkey, seq) AS o_custkey, min(seq) AS seq FROM {BATCH} GROUP BY o_orderkey)"
+
+
+@query(f"SELECT o_orderkey, coalesce(b.o_custkey, o.o_custkey) AS o_custkey FROM (SELECT o_orderkey, o_custkey FROM orders) o FULL JOIN {_LAST} b USING (o_orderkey)")
+def upsert(spark, d):
+    return mutate.put(_map(spark, d), _batch(spark, d), "upsert")[0].df
+
+
+@query(f"SELECT o_orderkey, coalesce(o.o_custkey, b.o_custkey) AS o_custkey FROM (SELECT o_orderkey, o_custkey FROM orders) o FULL JOIN {_FIRST} b USING (o_orderkey)")
+def insert_unique(spark, d):
+    return mutate.put(_map(spark, d), _batch(spark, d), "insert")[0].df
+
+
+@query(f"SELECT b.seq, o_orderkey, CASE WHEN o.o_custkey IS NULL AND f.seq = b.seq THEN 'SUCCESS' ELSE 'KEYEXIST' END AS code, o.o_custkey AS existing FROM {BATCH} b JOIN {_FIRST} f USING (o_orderkey) LEFT JOIN orders o USING (o_orderkey)")
+def insert_status(spark, d):
+    said = mutate.put(_map(spark, d), _batch(spark, d), "insert")[1]
+    return said.withColumn("existing", F.col("existing.o_custkey"))
+
+
+@query(f"SELECT o_orderkey, coalesce(b.o_custkey, o.o_custkey) AS o_custkey FROM orders o LEFT JOIN {_LAST} b USING (o_orderkey)")
+def update_only(spark, d):
+    return mutate.put(_map(spark, d), _batch(spark, d), "update")[0].df
+
+
+@query(f"SELECT code, count(*) AS n FROM (SELECT CASE WHEN o.o_orderkey IS NULL THEN 'NOTFOUND' ELSE 'SUCCESS' END AS code FROM {BATCH} b LEFT JOIN orders o USING (o_orderkey)) GROUP BY code")
+def update_status(spark, d):
+    return mutate.put(_map(spark, d), _batch(spark, d), "update")[1].groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {BATCH})")
+def del_key(spark, d):
+    return mutate.delete(_map(spark, d), _batch(spark, d))[0].df
+
+
+@query(f"SELECT code, count(*) AS n FROM (SELECT CASE WHEN o.o_orderkey IS NOT NULL AND row_number() OVER (PARTITION BY b.o_orderkey ORDER BY seq) = 1 THEN 'SUCCESS' ELSE 'NOTFOUND' END AS code FROM {BATCH} b LEFT JOIN orders o USING (o_orderkey)) GROUP BY code")
+def del_status(spark, d):
+    return mutate.delete(_map(spark, d), _batch(spark, d))[1].groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT seq, o_orderkey, CASE WHEN o.o_custkey IS NOT NULL AND r = 1 THEN 'SUCCESS' ELSE 'NOTFOUND' END AS code, CASE WHEN r = 1 THEN o.o_custkey END AS value FROM (SELECT seq, o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq) AS r FROM {BATCH}) LEFT JOIN orders o USING (o_orderkey)")
+def extract(spark, d):
+    return mutate.extract(_map(spark, d), _batch(spark, d))[1].withColumn("value", F.col("value.o_custkey"))
+
+
+PAIRS = "(SELECT event_id AS seq, user_id, event_id + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1000000 END AS event_id FROM events WHERE event_id % 3 = 0)"
+
+
+def _pairs(spark, d):
+    e = read(spark, d, "events").where("event_id % 3 = 0")
+    return e.select(F.col("event_id").alias("seq"), "user_id", (F.col("event_id") + F.when(F.col("event_id") % 2 == 0, 0).otherwise(1000000)).alias("event_id"))
+
+
+@query(f"SELECT user_id, event_id FROM events UNION SELECT user_id, event_id FROM {PAIRS}")
+def multi_upsert(spark, d):
+    return mutate.put_multi(events(spark, d), _pairs(spark, d), "upsert")[0].df
+
+
+@query(f"SELECT seq, user_id, p.event_id, CASE WHEN e.event_id IS NULL THEN 'SUCCESS' ELSE 'KEYEXIST' END AS code FROM {PAIRS} p LEFT JOIN (SELECT user_id, event_id FROM events) e USING (user_id, event_id)")
+def nodup_insert(spark, d):
+    return mutate.put_multi(events(spark, d), _pairs(spark, d), "nodup")[1]
+
+
+@query(f"SELECT user_id, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM {PAIRS}) UNION ALL SELECT user_id, arg_max(event_id, seq) FROM {PAIRS} GROUP BY user_id")
+def replace_all_values(spark, d):
+    return mutate.put_multi(events(spark, d), _pairs(spark, d), "replace_all")[0].df
+
+
+@query("SELECT user_id, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 1 THEN event_id + 1000000 ELSE event_id END AS event_id FROM events")
+def replace_multi(spark, d):
+    e = read(spark, d, "events").where("event_id % 3 = 0 and event_id % 2 = 1")
+    batch = e.select(F.col("event_id").alias("seq"), "user_id", F.col("event_id").alias("old_event_id"), (F.col("event_id") + 1000000).alias("event_id"))
+    return mutate.replace_value(events(spark, d), batch)[0].df
+
+
+@query(f"SELECT user_id, event_id FROM events EXCEPT SELECT user_id, event_id FROM {PAIRS}")
+def del_pair(spark, d):
+    return mutate.delete(events(spark, d), _pairs(spark, d), pairs=True)[0].df
+
+
+@query("SELECT user_id, event_id FROM events UNION SELECT 3, event_id FROM events WHERE event_id < 400")
+def put_multiple(spark, d):
+    values = read(spark, d, "events").where("event_id < 400").select("event_id")
+    return mutate.put_multiple(events(spark, d), (3,), values)[0].df
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT (SELECT max(o_orderkey) FROM orders) + 1 + o_orderkey, o_custkey FROM orders WHERE o_orderkey < 300")
+def append_sorted(spark, d):
+    t = _map(spark, d)
+    top = t.last().first()[0]
+    new = t.df.where("o_orderkey < 300").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") + 1 + top).alias("o_orderkey"), "o_custkey")
+    return mutate.append(t, new).df
+
+
+@query("""SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, o_custkey + 9 FROM orders WHERE o_orderkey % 14 = 0)""")
+def mixed_batch(spark, d):
+    o = read(spark, d, "orders").where("o_orderkey % 7 = 0")
+    seq = F.col("o_orderkey") * 4
+    gone = o.select(seq.alias("seq"), F.lit("delete").alias("op"), "o_orderkey", "o_custkey")
+    late = o.select((seq + 1).alias("seq"), F.lit("update").alias("op"), "o_orderkey", (F.col("o_custkey") + 5).alias("o_custkey"))
+    back = o.where("o_orderkey % 14 = 0").select((seq + 2).alias("seq"), F.lit("insert").alias("op"), "o_orderkey", (F.col("o_custkey") + 9).alias("o_custkey"))
+    return mutate.apply_mixed(_map(spark, d), gone.unionByName(late).unionByName(back))[0].df
+
+
+# Range deletion
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE NOT (l_orderkey >= 200 AND l_orderkey < 800)")
+def delete_range(spark, d):
+    return lines(spark, d).delete_range((200,), (800,))[0].df
+
+
+_P = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+_AT = "(SELECT l_orderkey AS a, l_linenumber AS b, l_partkey AS c, l_suppkey AS e FROM lineitem WHERE l_orderkey > 50 ORDER BY 1, 2, 3, 4 LIMIT 1 OFFSET 2)"
+_BUNCH = {
+    "current_value": "({r} = ({p}))", "multival_before_excluding": "(l_orderkey = a AND {r} < ({p}))", "multival_before_including": "(l_orderkey = a AND {r} <= ({p}))",
+    "multival_after_including": "(l_orderkey = a AND {r} >= ({p}))", "multival_after_excluding": "(l_orderkey = a AND {r} > ({p}))", "multival_all": "(l_orderkey = a)",
+    "before_excluding": "({r} < ({p}))", "before_including": "({r} <= ({p}))", "after_including": "({r} >= ({p}))", "after_excluding": "({r} > ({p}))", "whole": "(1 = 1)",
+}
+
+for _what, _cond in _BUNCH.items():
+
+    def _bunch(spark, d, what=_what):
+        t = lines(spark, d)
+        at = t.df.where("l_orderkey > 50").orderBy(*_P).offset(2).limit(1).collect()
+        return t.bunch_delete(what, tuple(at[0]))[0].df
+
+    query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem, {_AT} WHERE NOT {_cond.format(r='(l_orderkey, l_linenumber, l_partkey, l_suppkey)', p='a, b, c, e')}", f"bunch_{_what}")(_bunch)
+
+
+# Modes, keys and codecs
+
+
+@query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY reverse(c_name), c_custkey) - 1 AS position FROM customer")
+def reverse_key_order(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_name").cast("binary").alias("k"), "c_custkey")
+    t = OrderedTable(c, ["k"], ["c_custkey"], key_mode="reverse", value_mode="multi")
+    return t.positions().select("c_custkey", F.col("k").cast("string").alias("c_name"), "position")
+
+
+@query("SELECT o_orderkey - 5000 AS n, upper(printf('%016x', xor(o_orderkey - 5000, (-9223372036854775807-1)::BIGINT))) AS k, o_orderkey - 5000 AS back FROM orders")
+def key_i64(spark, d):
+    n = F.col("o_orderkey") - 5000
+    k = C.key_from_i64(n)
+    return read(spark, d, "orders").select(n.alias("n"), F.hex(k).alias("k"), C.i64_from_key(k).alias("back"))
+
+
+@query("SELECT n_nationkey - 12 AS n, upper(printf('%08x', (n_nationkey - 12)::BIGINT + 2147483648)) AS k, n_nationkey - 12 AS back FROM nation")
+def key_i32(spark, d):
+    n = F.col("n_nationkey") - 12
+    k = C.key_from_i32(n)
+    return read(spark, d, "nation").select(n.alias("n"), F.hex(k).alias("k"), C.i32_from_key(k).alias("back"))
+
+
+@query("SELECT c_custkey, lower(hex(encode(c_name))) AS h, true AS ok, c_name AS back FROM customer")
+def hex_roundtrip(spark, d):
+    h = C.to_hex(F.col("c_name").cast("binary"))
+    return read(spark, d, "customer").select("c_custkey", h.alias("h"), C.is_hex(h).alias("ok"), C.from_hex(h).cast("string").alias("back"))
+
+
+@query("SELECT c_custkey, rtrim(regexp_replace(lower(hex(encode(c_name))), '(.{8})', '\\1' || chr(10), 'g'), chr(10)) AS h FROM customer")
+def hex_wrapped(spark, d):
+    return read(spark, d, "customer").select("c_custkey", C.to_hex(F.col("c_name").cast("binary"), wrap=8).alias("h"))
+
+
+@query("SELECT p_partkey, to_base64(encode(p_name)) AS b, true AS ok, p_name AS back FROM part")
+def base64_roundtrip(spark, d):
+    b = C.to_base64(F.col("p_name").cast("binary"))
+    return read(spark, d, "part").select("p_partkey", b.alias("b"), C.is_base64(b).alias("ok"), C.from_base64(b).cast("string").alias("back"))
+
+
+@query("SELECT p_partkey, p_name AS back, true AS ok FROM part")
+def base58_roundtrip(spark, d):
+    t = C.to_base58(F.col("p_name").cast("binary"))
+    return read(spark, d, "part").select("p_partkey", C.from_base58(t).cast("string").alias("back"), C.is_base58(t).alias("ok"))
+
+
+@query("SELECT o_orderkey, o_totalprice - 100000 AS x, rank() OVER (ORDER BY o_totalprice) AS r FROM orders")
+def key_from_double(spark, d):
+    from pyspark.sql import Window
+
+    x = F.col("o_totalprice") - 100000
+    o = read(spark, d, "orders").select("o_orderkey", x.alias("x"), C.key_from_double(x).alias("k"))
+    return o.select("o_orderkey", C.double_from_key(F.col("k")).alias("x"), F.rank().over(Window.orderBy("k")).cast("bigint").alias("r"))
+
+
+@query("SELECT p_partkey, starts_with(p_name, 'a') AS starts, ends_with(p_name, 'e') AS ends, substr(p_name, 1, 4) AS head, right(p_name, 3) AS tail, substr(p_name, 3, 5) AS middle, substr(p_name, 3) AS no_prefix, left(p_name, greatest(length(p_name) - 2, 0)) AS no_suffix, CASE WHEN length(p_name) >= 12 THEN substr(p_name, 1, 12) END AS safe_head, strlen(p_name) AS size FROM part")
+def slice_functions(spark, d):
+    b = F.col("p_name").cast("binary")
+    text = lambda c, name: c.cast("string").alias(name)
+    return read(spark, d, "part").select("p_partkey", b.startswith(F.lit(b"a")).alias("starts"), b.endswith(F.lit(b"e")).alias("ends"), text(C.head(b, 4), "head"), text(C.tail(b, 3), "tail"), text(C.middle(b, 2, 5), "middle"), text(C.remove_prefix(b, 2), "no_prefix"), text(C.remove_suffix(b, 2), "no_suffix"), text(C.safe(C.head(b, 12), b, 12), "safe_head"), F.octet_length(b).cast("bigint").alias("size"))
+
+
+@query("SELECT o_orderkey, o_orderkey AS u, -o_orderkey AS i FROM orders")
+def integer_views(spark, d):
+    k = F.col("o_orderkey")
+    return read(spark, d, "orders").select("o_orderkey", C.uint_of(C.little_endian(k, 4), 4).cast("bigint").alias("u"), C.int_of(C.little_endian(-k, 8), 8).alias("i"))
+
+
+@query("SELECT doc_id, regexp_full_match(text, '[^\\x00-\\x1F\\x7F-\\x{9F}]+', 's') AS printable FROM documents")
+def is_printable(spark, d):
+    return read(spark, d, "documents").select("doc_id", C.is_printable(F.col("text").cast("binary")).alias("printable"))
+
+
+@query("SELECT count(*) FILTER (l_discount > 0.05) AS part, count(*) AS whole, CAST(CAST(round(count(*) FILTER (l_discount > 0.05) * 100.0::DOUBLE / count(*), 2) AS DECIMAL(18, 2)) AS VARCHAR) || '%' AS share FROM lineitem")
+def ratio_text(spark, d):
+    c = read(spark, d, "lineitem").agg(F.count(F.when(F.col("l_discount") > 0.05, 1)).alias("part"), F.count("*").alias("whole"))
+    return c.withColumn("share", C.ratio_percent(F.col("part"), F.col("whole")))
+
+
+# Checks and statistics
+
+
+@query("SELECT 'orders' AS tab, count(*) AS entries, count(*) AS keys FROM orders UNION ALL SELECT 'events', count(*), count(DISTINCT user_id) FROM events UNION ALL SELECT 'lineitem', count(*), count(DISTINCT l_orderkey) FROM lineitem")
+def stat_entries(spark, d):
+    one = lambda name, t: check.stat(t).select(F.lit(name).alias("tab"), "entries", "keys")
+    return one("orders", orders(spark, d)).unionByName(one("events", events(spark, d))).unionByName(one("lineitem", lines(spark, d)))
+
+
+_LOW = "CASE WHEN {0} = 0 THEN 0 ELSE CAST(pow(2, floor(log2({0}))) AS BIGINT) END"
+
+
+@query(f"SELECT {_LOW.format('strlen(text)')} AS bucket, count(*) AS rows, CAST(sum(strlen(text)) AS BIGINT) AS total FROM documents GROUP BY 1")
+def length_histogram(spark, d):
+    return check.length_histogram(read(spark, d, "documents"), F.octet_length("text"))
+
+
+@query(f"SELECT {_LOW.format('n')} AS bucket, count(*) AS rows, CAST(sum(n) AS BIGINT) AS total FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY 1")
+def value_histogram(spark, d):
+    return check.value_histogram(lines(spark, d))
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, o_orderdate, lag(o_orderdate) OVER (ORDER BY o_orderkey) AS p FROM orders) WHERE p > o_orderdate")
+def order_check(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return check.order_violations(o, [F.col("o_orderdate")], "o_orderkey", strict=False, rows_per_bucket=30_000).select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def unique_check(spark, d):
+    return check.duplicates(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
