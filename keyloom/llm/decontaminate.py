@@ -168,6 +168,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="te
             yield pa.RecordBatch.from_arrays(out, [*(f"k{i}" for i in range(width)), *(["text"] if with_text else []), *RESULT])
 
     kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)] + (["text string"] if with_text else [])
-    found = base.mapInArrow(run, ", ".join(kinds + [f"{k} {v}" for k, v in RESULT.items()]))
+    found = textops.in_small_batches(base).mapInArrow(run, ", ".join(kinds + [f"{k} {v}" for k, v in RESULT.items()]))
     names = [*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), *([F.col("text").alias(text_col)] if with_text else [])]
     return found.select(*names, *RESULT)

@@ -81,7 +81,7 @@ def shingle_counts(texts: DataFrame, n: int, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype("<u4").tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
-    rows = texts.select("text").mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect()
+    rows = textops.in_small_batches(texts.select("text")).mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect()
     out = np.zeros((BLOCKS, (1 << bits) // BLOCKS), np.uint32)
     for r in rows:
         out[r.block] = np.frombuffer(r.counts, "<u4")
@@ -112,7 +112,7 @@ def described(texts: DataFrame, counts, bits: int, n: int, num: int, den: int, k
                 parity[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(g) for g in sets], pa.int64()), *(pa.array(np.ascontiguousarray(sig[:, k]).view(np.int64)) for k in (0, 1)), lists(list(parity)), lists(prefix)], ["id", "n", "sig1", "sig2", "parity", "prefix"])
 
-    return texts.mapInArrow(run, f"id {kind}, n bigint, sig1 bigint, sig2 bigint, parity array<bigint>, prefix array<bigint>")
+    return textops.in_small_batches(texts).mapInArrow(run, f"id {kind}, n bigint, sig1 bigint, sig2 bigint, parity array<bigint>, prefix array<bigint>")
 
 
 def full_sets(texts: DataFrame, n: int, kind: str) -> DataFrame:
@@ -123,7 +123,7 @@ def full_sets(texts: DataFrame, n: int, kind: str) -> DataFrame:
             sets = shingle_sets(batch["text"], n)
             yield pa.RecordBatch.from_arrays([batch["id"], lists(sets)], ["id", "grams"])
 
-    return texts.mapInArrow(run, f"id {kind}, grams array<bigint>")
+    return textops.in_small_batches(texts).mapInArrow(run, f"id {kind}, grams array<bigint>")
 
 
 def could_match(num: int, den: int):
@@ -160,12 +160,13 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).where("a <> b").distinct()
 
 
-def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=100, sketch_bits=20, broadcast_ids=2_000_000, rest_factor=4) -> DataFrame:
+def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=100, sketch_bits=20, broadcast_ids=2_000_000, rest_factor=4, crowd=400) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the least id reachable by links, its own included).
 
     ``num / den`` is the least similarity. ``sketch_bits`` bounds the table of counts. Up to ``broadcast_ids`` ids
     are broadcast to pick their rows; more are joined by shuffle. Star rounds end when the exact rest has at most
-    ``rest_factor`` pairs per candidate posting before any filter, or when the last round saved less than a third of it.
+    ``rest_factor`` pairs per candidate posting before any filter, or when the last round saved less than a third of it. In the exact
+    rest, the suffix filter is for shingles with more than ``crowd`` such pairs.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -193,19 +194,24 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
     while total:
         final = False
         if round_no:
-            labelled = scratch.save(postings.join(labels, postings["id"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component"), f"labelled{round_no}")
+            known = F.broadcast(labels) if labels.count() <= broadcast_ids else labels
+            labelled = scratch.save(postings.join(known, postings["id"] == known["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component"), f"labelled{round_no}")
             per_gram = labelled.groupBy("gram", "comp").count().groupBy("gram").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("comps")).where("comps > 1")
             open_grams = checkpointed(per_gram.select("gram", F.col("top.comp").alias("top"), ((F.col("all") - F.col("top.count")) * F.col("all")).alias("work")))
             before, work = work, open_grams.agg(F.sum("work")).first()[0] or 0
             if not work:
                 break
-            labelled = labelled.join(open_grams.select("gram", "top"), "gram")
+            labelled = labelled.join(open_grams.select("gram", "top", (F.col("work") > crowd).alias("crowded")), "gram")
             final = work <= rest_factor * total or not grew or (before is not None and 3 * work > 2 * before)
         if final:
-            parity = within(made.select("id", "parity"), labelled.select("id").distinct(), broadcast_ids)
-            rows = labelled.join(parity, "id").select("gram", "id", "n", "pos", "comp", "top", "parity")
-            others = rows.select("gram", *(F.col(c).alias(f"c_{c}") for c in ("id", "n", "pos", "comp", "parity")))
-            pairs = rows.where("comp <> top").join(others, "gram").where("comp <> c_comp").where(could_match(num, den)).where(few_odd_parts(num, den))
+            def tests(rows: DataFrame, *more: str) -> DataFrame:
+                others = rows.select("gram", *(F.col(c).alias(f"c_{c}") for c in ("id", "n", "pos", "comp", *more)))
+                both = rows.where("comp <> top").join(others, "gram").where("comp <> c_comp").where(could_match(num, den))
+                return (both.where(few_odd_parts(num, den)) if more else both).select("id", "c_id")
+
+            busy = labelled.where("crowded")
+            parity = within(made.select("id", "parity"), busy.select("id").distinct(), broadcast_ids)
+            pairs = tests(labelled.where("not crowded")).union(tests(busy.join(parity, "id"), "parity"))
         else:
             pick = F.min(F.struct(F.xxhash64("comp", F.lit(round_no)), "comp", F.xxhash64("id", F.lit(round_no)), "id", "n", "pos")) if round_no else F.min(F.struct("id", "n", "pos", "comp"))
             centres = labelled.groupBy("gram", "size").agg(pick.alias("c"), F.count("*").alias("k")).where("k > 1").select("gram", "size", *(F.col(f"c.{c}").alias(f"c_{c}") for c in ("id", "n", "pos", "comp")))

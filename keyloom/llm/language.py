@@ -193,5 +193,5 @@ def predict(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text",
 
     kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)] + (["text string"] if with_text else []) + ["lang_pred string", "score double"]
     base = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(kept)), F.col(text_col).alias("text"))
-    found = base.mapInArrow(run, ", ".join(kinds))
+    found = textops.in_small_batches(base).mapInArrow(run, ", ".join(kinds))
     return found.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), *([F.col("text").alias(text_col)] if with_text else []), "lang_pred", "score")

@@ -165,7 +165,7 @@ def media_rows(docs: DataFrame, *, id_col="doc_id", text_col="text", keep_media=
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
-        for batch in textops.sliced(batches, "text", 16 << 20):
+        for batch in textops.sliced(batches, "text", 4 << 20):
             rows, files = [], []
             buf, off = textops.string_buffer(batch["text"])
             for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
@@ -178,7 +178,7 @@ def media_rows(docs: DataFrame, *, id_col="doc_id", text_col="text", keep_media=
             yield pa.RecordBatch.from_arrays(out + ([pa.array(files, pa.binary())] if keep_media else []), ["id", *names] + (["media"] if keep_media else []))
 
     schema = f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + (", media binary" if keep_media else "")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return textops.in_small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def features(media: DataFrame, *, id_col="doc_id", media_col="media") -> DataFrame:
@@ -197,4 +197,4 @@ def features(media: DataFrame, *, id_col="doc_id", media_col="media") -> DataFra
                     bad.append(str(e) or "unreadable")
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(got, pa.string()), pa.array(bad, pa.string())], ["id", "feature", "error"])
 
-    return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, feature string, error string").withColumnRenamed("id", id_col)
+    return textops.in_small_batches(media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))).mapInArrow(run, f"id {kind}, feature string, error string").withColumnRenamed("id", id_col)

@@ -68,7 +68,7 @@ def token_pieces(docs: DataFrame, rank_file: str, *, id_col="doc_id", text_col="
             yield pa.RecordBatch.from_arrays(out, names)
 
     schema = PIECES.format(id=kind) + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return textops.in_small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
 
 
 class OpenBins:

@@ -122,8 +122,8 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def sliced(batches, column: str, limit: int = 4 << 20):
-    """Re-cut record batches so that each holds about ``limit`` bytes of ``column`` (one row at least)."""
+def sliced(batches, column: str, limit: int = 1 << 20):
+    """Re-cut record batches so that each holds about ``limit`` bytes of ``column`` (one row at least), which bounds a task's arrays."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -135,6 +135,12 @@ def sliced(batches, column: str, limit: int = 4 << 20):
             a = b
 
 
+def in_small_batches(df):
+    """``df``, whose session from now on hands texts to Python in batches of at most 4 MB (Spark's own bound is 64 MB a task, and 10,000 rows)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return df
+
+
 def shared_folder(spark) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) one is chosen here."""
     context = spark.sparkContext

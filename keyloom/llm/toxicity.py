@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", bi
             yield pa.RecordBatch.from_arrays(out, names)
 
     schema = f"id {kind}, score double, predicted int" + (", sentences array<struct<start:bigint,end:bigint,p:double>>" if sentences else "")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return textops.in_small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col="doc_id", text_col="text", label_col="toxic", sample_docs=6000, sample_chars=30_000_000, bits=18, rounds=120, rate=0.1, l1=0.002, evidence=20.0) -> Model:

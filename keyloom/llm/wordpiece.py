@@ -149,4 +149,4 @@ def counts(docs: DataFrame, vocab_file: str, *, id_col="doc_id", text_col="text"
             tokens = np.bincount(doc, pieces, n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(words), pa.array(tokens), pa.array(longest)], ["id", "n_words", "n_tokens", "longest"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_words bigint, n_tokens bigint, longest bigint").withColumnRenamed("id", id_col)
+    return textops.in_small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, n_words bigint, n_tokens bigint, longest bigint").withColumnRenamed("id", id_col)
