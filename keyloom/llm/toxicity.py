@@ -5,7 +5,7 @@ score = 1 - product over sentences of (1 - p), the noisy-or. Weights are fitted
 document likelihood, which reaches each sentence through the noisy-or, so the model learns which sentences offend.
 
 Words are hashed to ``2 ** bits`` weights. The fit uses a bounded sample of labelled rows (``sample_docs``, the least by a hash
-of the text, so it doesn't depend on order) with at most ``sample_chars`` characters in all; everything is scored.
+of the text, so it doesn't depend on order) of at most ``most_chars`` characters each and ``sample_chars`` in all; everything is scored, whole.
 
 Null and empty texts have no sentence: score 0. Rows that repeat score alike. Labels that are null are no labels; a document with several
 labels is toxic if one says so. With no positive or no negative label every score is 0. An empty table gives an empty result.
@@ -106,10 +106,10 @@ def fit(texts: list[str], labels: np.ndarray, *, bits: int, rounds: int, rate: f
     return Model(weights, float(bias))
 
 
-def sample(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str, text_col: str, label_col: str, sample_docs: int, sample_chars: int):
-    """(texts, labels) of a bounded share of the labelled rows, the same whatever their order. Half the rows at most are of one class."""
+def sample(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str, text_col: str, label_col: str, sample_docs: int, sample_chars: int, most_chars: int):
+    """(texts, labels) of a bounded share of the labelled rows, the same whatever their order. Half the rows at most are of one class; longer ones than ``most_chars`` aren't taken, so that none fills the sample alone."""
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    texts = docs.where(allowed).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("length(text) > 0")
+    texts = docs.where(allowed).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text").between(1, most_chars))
     rows = texts.select("id", F.xxhash64("text").alias("h"), F.length("text").cast("bigint").alias("n")).join(marks, "id")  # no text is shuffled
     least = Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
     ids = []
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", bi
     return textops.in_small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col="doc_id", text_col="text", label_col="toxic", sample_docs=6000, sample_chars=30_000_000, bits=18, rounds=120, rate=0.1, l1=0.002, evidence=20.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col="doc_id", text_col="text", label_col="toxic", sample_docs=6000, sample_chars=30_000_000, most_chars=200_000, bits=18, rounds=120, rate=0.1, l1=0.002, evidence=20.0) -> Model:
     """A model from the labelled rows where ``allowed`` holds."""
-    texts, y = sample(docs, labels, allowed, id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs, sample_chars=sample_chars)
+    texts, y = sample(docs, labels, allowed, id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs, sample_chars=sample_chars, most_chars=most_chars)
     return fit(texts, y, bits=bits, rounds=rounds, rate=rate, l1=l1, evidence=evidence)
