@@ -3,9 +3,10 @@
 Method. A document's set is its distinct n-word shingles as 64-bit hashes. Shingles have a global order, rarest
 first: by a bounded table of counts over all documents (``2 ** sketch_bits`` buckets, 4 MB by default), then by hash.
 Two sets can be similar only if their prefixes in that order share a shingle. Candidates come from joins on prefix
-shingles, then pass the length filter, the positional filter and, where many pairs share a shingle, a suffix filter: sets are cut into 512
-parts by hash, and each part whose sizes differ in parity holds a shingle that only one of the two has, so counting such parts bounds the
-overlap. Each pair that is left is verified once, by its exact overlap.
+shingles, then pass the length filter, the positional filter and a suffix filter: sets are cut into parts by hash; where the sizes of a
+part differ, some shingle is in one of the two sets only, so the differences of all parts bound the overlap. Where many pairs share a shingle only the parities
+of 512 parts are compared at first; every pair then by the sizes of 1024 parts, for which 1 KB a set is shuffled and no whole set.
+Each pair that is left is verified once, by its exact overlap.
 
 Equal sets are one class from the start. Within the documents that share a prefix shingle, a star round tests all against one
 centre per shingle and length class. What those links connect needs no more tests; all further pairs of different
@@ -33,6 +34,7 @@ from keyloom.llm.textops import checkpointed
 
 BLOCKS = 64
 PARITY_WORDS = 8
+PARTS = 1024
 
 
 def shingle_sets(col, n: int) -> list[np.ndarray]:
@@ -126,6 +128,32 @@ def full_sets(texts: DataFrame, n: int, kind: str) -> DataFrame:
     return textops.in_small_batches(texts).mapInArrow(run, f"id {kind}, grams array<bigint>")
 
 
+def part_sizes(texts: DataFrame, n: int, kind: str) -> DataFrame:
+    """Per row: id, n (set size) and parts, the sizes of ``PARTS`` parts of the set as bytes. Sizes over 255 count as 255, which can only make differences smaller."""
+
+    def run(batches):
+        for batch in textops.sliced(batches, "text"):
+            sets = shingle_sets(batch["text"], n)
+            parts = [np.minimum(np.bincount((g & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for g in sets]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(g) for g in sets], pa.int64()), pa.array(parts, pa.binary())], ["id", "n", "parts"])
+
+    return textops.in_small_batches(texts).mapInArrow(run, f"id {kind}, n bigint, parts binary")
+
+
+def few_apart(pairs: DataFrame, num: int, den: int, kind: str) -> DataFrame:
+    """Suffix filter by part sizes: of rows (a, b, na, nb, pa, pb), the distinct (a, b) whose parts differ by no more than similar sets may."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("pa", "pb"))
+                total = batch["na"].to_numpy() + batch["nb"].to_numpy()
+                near = pa.array(np.abs(x - y).sum(1, dtype=np.int64) * (num + den) <= (den - num) * total)
+                yield pa.RecordBatch.from_arrays([batch[c].filter(near) for c in ("a", "b")], ["a", "b"])
+
+    return textops.in_small_batches(pairs).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def could_match(num: int, den: int):
     """Length and positional filter of a pair that shares a shingle at places pos and c_pos of sets of n and c_n."""
     length = f"n * {den} >= c_n * {num} and c_n * {den} >= n * {num}"
@@ -144,16 +172,23 @@ def within(rows: DataFrame, ids: DataFrame, most: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, kind: str, most: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Whole sets are made, and shuffled, only for texts in pairs."""
+    """The pairs (a, b) whose sets are similar. Whole sets are made, and shuffled, only for texts in pairs that part sizes allow."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    parts = checkpointed(part_sizes(within(texts, ids, most), n, kind))
+
+    def side(s: str) -> DataFrame:
+        return parts.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("parts").alias(f"p{s}"))
+
+    near = few_apart(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb"), num, den, kind)
+    near = checkpointed(near)
 
-    def sets(side: str) -> DataFrame:
-        ids = pairs.select(F.col(side).alias("id")).distinct()
-        made = full_sets(within(texts, ids, most), n, kind)
-        return made.select(F.col("id").alias(side), F.col("grams").alias(f"g{side}"))
+    def sets(s: str) -> DataFrame:
+        made = full_sets(within(texts, near.select(F.col(s).alias("id")).distinct(), most), n, kind)
+        return made.select(F.col("id").alias(s), F.col("grams").alias(f"g{s}"))
 
-    both = pairs.join(sets("b"), "b").join(sets("a"), "a")
+    both = near.join(sets("b"), "b").join(sets("a"), "a")
     total = F.size("ga") + F.size("gb")
-    return both.where(F.size(F.array_intersect("ga", "gb")) * (num + den) >= num * total).select("a", "b")
+    return both.where(F.size(F.array_intersect("ga", "gb")) * (num + den) >= num * total).select("a", "b").distinct()
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
