@@ -1,0 +1,98 @@
+"""The corpus pipeline against a brute-force version of its stages, and on planted cases."""
+
+import random
+import zlib
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from keyloom.llm import language, secrets
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A folder of planted documents and test items."""
+    d, r = tmp_path_factory.mktemp("sf"), random.Random(12)
+    sounds = {"de": ["schaft", "ung", "keit", "der"], "en": ["the", "thing", "with", "ought"], "fr": ["ement", "eau", "les", "quoi"]}
+
+    def prose(lang, n):
+        return " ".join("".join(r.choices(sounds[lang], k=r.randint(1, 3))) for _ in range(n))
+
+    rows = [(i, prose(lang := sorted(sounds)[i % 3], r.randint(20, 80)), lang) for i in range(150)]
+    item = prose("en", 20)
+    rows += [(1000, rows[7][1], rows[7][2]), (1001, rows[8][1] + " end", rows[8][2]), (1002, item, "en"), (1003, prose("en", 40) + " api_key = 'abcdef123456'", "en"), (1004, None, "en"), (1005, "", None), (1006, "12 34", "de"), (1007, item + " " + prose("en", 500), "en")]
+    rows += [(1003, rows[-5][1], "en")]
+    docs = spark.createDataFrame([(*x, "s", len(x[1] or ""), "extra") for x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, lang_pred string")
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(5, item)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d)
+
+
+def brute_force(spark, sf_dir):
+    """(doc_id, crc32 of all ids) of each document that ends up packed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    train = [(r.text, r.lang) for r in docs.collect() if r.lang and r.text and any(c.isalpha() for c in r.text) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    model = language.fit(*(list(x) for x in zip(*sorted(train, key=lambda x: (x[1], x[0])), strict=True)), bits=13)
+    found = language.predict(docs, model).collect()
+    good = {r.doc_id for r in found if r.lang_pred != "und" and r.score >= 0.3}
+    rows = [x for x in rows if x[0] in good]
+    comp = {i: c for i, _, c in brute.components(rows, 5, 80, 100)}
+    rows = list({i: (i, t) for i, t in rows if comp[i] == i}.values())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rows = [(i, t) for i, t in rows if not brute.contamination(t, items)[3]]
+    tokens, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for i, t in rows:
+        spans = brute.base_secrets(t)
+        spans = sorted(spans + secrets.novel_spans(t, spans, 0.9))
+        out[i] = len(tokens.encode(secrets.redacted(t, spans, corpus_pipeline.SECRET_MARK), add_special_tokens=False).ids) + 1
+    return out
+
+
+@pytest.mark.parametrize("where", ["planted", SF])
+def test_equals_brute_force(spark, small, where):
+    sf_dir = small if where == "planted" else where
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    total: dict[int, int] = {}
+    for r in rows:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    assert total == brute_force(spark, sf_dir)
+
+
+def test_planted_cases(spark, small):
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, small).select("doc_id").distinct().collect()}
+    assert set(range(150)) <= kept  # clean documents stay
+    assert kept & set(range(1000, 1008)) == {1003, 1007}  # copies, the test item, and what has no language go; little of 1007 is the item
+
+
+def test_stages_keep_columns_and_mask_secrets(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == columns and out.schema == docs.schema, name
+        assert stage(spark, docs.limit(0), small).collect() == [], name
+    text = corpus_pipeline.secret_scan(spark, docs, small).where("doc_id = 1003").first()
+    assert "abcdef123456" not in text.text and corpus_pipeline.SECRET_MARK in text.text and text.n_chars == len(text.text) and text.lang_pred == "extra"
+
+
+def test_stage_list():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "best-fit packing"]
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_scratch_folder_is_the_sessions(spark):
+    from keyloom.llm import textops
+
+    assert textops.shared_folder(spark).startswith("file:" + spark.conf.get("spark.checkpoint.dir"))
