@@ -17,12 +17,23 @@ from keyloom.llm.textops import Scratch
 SECRET_MARK = "[SECRET]"
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns in0, in1, ..., which clash with no column of an operator's result, and the new name of each old one."""
+    names = {c: f"in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def back(found: DataFrame, names: dict[str, str]) -> DataFrame:
+    return found.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least_score=0.3) -> DataFrame:
     """Learns from the labelled rows of three folds of four; documents without a language, or hardly likely in any, go."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     model = language.train(docs, fold != 2)
-    found = language.predict(docs, model, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*docs.columns)
+    rows, names = aside(docs)
+    found = language.predict(rows, model, id_col=names["doc_id"], text_col=names["text"], keep=tuple(names.values()))
+    return back(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, *, most_ids=2_000_000) -> DataFrame:
@@ -46,17 +57,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, *, most_i
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which windows of 13 words of test items cover a twentieth or more go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.scan(docs, benchmark, keep=tuple(docs.columns))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    rows, names = aside(docs)
+    found = decontaminate.scan(rows, benchmark, id_col=names["doc_id"], text_col=names["text"], keep=tuple(names.values()))
+    return back(found.where(~F.col("contaminated")), names)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document goes. n_chars, where there is such a column, follows the text."""
-    others = tuple(c for c in docs.columns if c != "text")
-    found = secrets.scan(docs, keep=others, mark=SECRET_MARK).withColumnRenamed("redacted", "text")
-    if "n_chars" in others:
-        found = found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    rows, names = aside(docs)
+    text = names["text"]
+    found = secrets.scan(rows, id_col=names["doc_id"], text_col=text, keep=tuple(n for n in names.values() if n != text), mark=SECRET_MARK).withColumnRenamed("redacted", text)
+    if "n_chars" in names:
+        found = found.withColumn(names["n_chars"], F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return back(found, names)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

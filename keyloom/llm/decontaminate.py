@@ -127,10 +127,10 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
 def scan(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", window=13, block_words=4_000_000, share=20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: id, ``keep`` columns, n_words, n_hit, n_items, items_sha256, contaminated, spans of hit words, items.
 
-    A document is contaminated when ``share`` times its hit words reach its words.
+    A document is contaminated when ``share`` times its hit words reach its words. A column to keep that has the name of a result gives way to it.
     """
     context = docs.sparkSession.sparkContext
-    kept = [c for c in dict.fromkeys([id_col, *keep]) if c != text_col]
+    kept = [c for c in dict.fromkeys([id_col, *keep]) if c != text_col and c not in RESULT]
     base = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(kept)), F.col(text_col).alias("text"))
     tables = []
     for block in item_blocks(benchmark, item_col, item_text, block_words):

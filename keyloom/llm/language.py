@@ -167,9 +167,9 @@ def train(docs: DataFrame, allowed: Column, *, text_col="text", lang_col="lang",
 
 
 def predict(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", bits=13, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, ``keep`` columns, lang_pred and score."""
+    """Per row: id, ``keep`` columns, lang_pred and score. A column to keep that has the name of a result gives way to it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in dict.fromkeys([id_col, *keep]) if c != text_col]
+    kept = [c for c in dict.fromkeys([id_col, *keep]) if c not in (text_col, "lang_pred", "score")]
     with_text = text_col in keep
 
     def run(batches):

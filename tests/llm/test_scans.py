@@ -51,6 +51,8 @@ def test_secret_scan_passes_columns_on(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh", "u", 5)], "doc_id bigint, text string, spans string, n_hex int")
     out = secrets.scan(df.withColumnRenamed("spans", "other").withColumnRenamed("n_hex", "k0"), keep=("other", "k0")).collect()[0]
     assert (out.other, out.k0, out.n_assign) == ("u", 5, 1)
+    (clash,) = secrets.scan(df, keep=("spans", "n_hex")).collect()
+    assert (clash.spans, clash.n_hex) == ("assign:0:14", 0)
 
 
 def found(spark, docs, items, **how):
