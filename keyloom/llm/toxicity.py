@@ -61,6 +61,18 @@ def distinct_words(feature: np.ndarray, sentence: np.ndarray, bits: int):
     return both & ((1 << bits) - 1), both >> bits
 
 
+def blocks(texts: list[str], most_chars: int = 1_000_000):
+    """Slices of the list with about ``most_chars`` characters each, and one text at least."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > most_chars:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(t)
+    if texts:
+        yield slice(start, len(texts))
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -71,13 +83,23 @@ def fit(texts: list[str], labels: np.ndarray, *, bits: int, rounds: int, rate: f
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(weights, -np.inf)
-    buf, off = textops.string_buffer(pa.array(texts, pa.large_string()))
-    feature, sentence, doc, _ = instances(buf, off, bits)
-    feature, sentence = distinct_words(feature, sentence, bits)
-    n_docs, n_sent = len(y), len(doc)
-    word_doc = np.unique((doc[sentence] << bits) | feature)
-    in_docs = np.bincount(word_doc & ((1 << bits) - 1), minlength=1 << bits)
-    in_toxic = np.bincount((word_doc & ((1 << bits) - 1))[y[word_doc >> bits] > 0], minlength=1 << bits)
+    n_docs, n_sent, parts = len(y), 0, []
+    in_docs, in_toxic = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for at in blocks(texts):  # so that the arrays of all texts never exist at once
+        buf, off = textops.string_buffer(pa.array(texts[at], pa.large_string()))
+        feature, sentence, doc, _ = instances(buf, off, bits)
+        if not len(doc):
+            continue
+        feature, sentence = distinct_words(feature, sentence, bits)
+        word_doc = np.unique((doc[sentence] << bits) | feature)
+        word = word_doc & ((1 << bits) - 1)
+        in_docs += np.bincount(word, minlength=1 << bits)
+        in_toxic += np.bincount(word[y[at][word_doc >> bits] > 0], minlength=1 << bits)
+        parts.append((feature.astype(np.int32), (sentence + n_sent).astype(np.int32), (doc + at.start).astype(np.int32)))
+        n_sent += len(doc)
+    if not parts:
+        return Model(weights, -np.inf)
+    doc = np.concatenate([x[2] for x in parts])
     # a feature has a weight if toxic documents have it significantly more often than others (a likelihood-ratio test)
     pos, neg = y.sum(), (1 - y).sum()
     rate_all, in_clean = pos / (pos + neg), in_docs - in_toxic
@@ -86,8 +108,8 @@ def fit(texts: list[str], labels: np.ndarray, *, bits: int, rounds: int, rate: f
     odds = np.log((in_toxic + 0.5) / (pos + 1)) - np.log((in_clean + 0.5) / (neg + 1))
     live = (odds > 0) & (np.nan_to_num(gain) >= evidence)
     weights = np.where(live, np.clip(odds, 0, 4), 0.0)
-    used = live[feature]
-    feature, sentence = feature[used], sentence[used]
+    feature, sentence = (np.concatenate([x[k][live[x[0]]] for x in parts]) for k in (0, 1))
+    del parts
     bias, cost = start_bias, np.where(y > 0, 0.5 / pos, 0.5 / neg) * n_docs
     m = np.zeros(len(weights) + 1)
     v = np.zeros(len(weights) + 1)
