@@ -1,29 +1,33 @@
 """Batches of mutations: a table and numbered operations in, the new table and a status for every operation out.
 
-A batch means its operations one after the other, by ``seq``. Batches of one kind of operation are joins and windows over keys; mixed batches fold the
-operations of each key, which needs the rows of one key's batch together (not of one key's values, for maps).
+A batch means its operations one after the other, by ``seq``, whose numbers differ. What an operation meets follows from aggregates of its key's operations
+(the first and the last number, summed before rows are shuffled) or, in mixed batches, from an ordered lookup that cuts keys with many
+operations into ranges. So no key's operations are gathered in one task, however many there are. Operations with a null in a key do nothing.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom import status
 from keyloom.operators.table import OrderedTable
-from keyloom.plans.ordered import key_struct, with_neighbour
+from keyloom.plans.ordered import key_struct, lookup, with_neighbour
 
 UPSERT, INSERT, UPDATE, DELETE = "upsert", "insert", "update", "delete"
 
 
-def _marked(table: OrderedTable, batch: DataFrame, cols: list[str]) -> DataFrame:
-    """The batch with ``_old`` (the table's values, or null) by the given columns, each key's operations numbered by seq."""
-    old = table.df.select(*cols, F.struct(F.lit(True).alias("_here"), *(F.col(c) for c in table.value)).alias("_old"))
-    if table.multi and cols == table.key:
-        old = table.first_values().select(*cols, F.struct(F.lit(True).alias("_here"), *(F.col(c) for c in table.value)).alias("_old"))
-    w = Window.partitionBy(*cols)
-    return batch.join(old, cols, "left").withColumn("_up", F.row_number().over(w.orderBy("seq"))).withColumn("_down", F.row_number().over(w.orderBy(F.desc("seq"))))
+def _marked(batch: DataFrame, cols: list[str], *known: DataFrame) -> DataFrame:
+    """The batch with ``_is_first`` and ``_is_last`` among the operations of the same ``cols``, and the columns of ``known`` tables (one row for each ``cols``)."""
+    ends = batch.groupBy(*cols).agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"))
+    for k in known:
+        ends = ends.join(k, cols, "left")
+    rows = batch.join(ends, cols, "left")
+    return rows.withColumn("_is_first", F.coalesce(F.col("seq") == F.col("_first"), F.lit(False))).withColumn("_is_last", F.coalesce(F.col("seq") == F.col("_last"), F.lit(False)))
+
+
+def _there(table: OrderedTable, cols: list[str]) -> DataFrame:
+    return table.df.select(*cols).distinct().withColumn("_here", F.lit(True))
 
 
 def put(table: OrderedTable, batch: DataFrame, kind: str) -> tuple[OrderedTable, DataFrame]:
@@ -34,15 +38,16 @@ def put(table: OrderedTable, batch: DataFrame, kind: str) -> tuple[OrderedTable,
     """
     if table.multi:
         raise status.StoreError(status.INCOMPATIBLE, "use put_multi")
-    rows = _marked(table, batch, table.key)
+    old = table.df.select(*table.key, F.struct(F.lit(True).alias("_here"), *(F.col(c) for c in table.value)).alias("_old"))
+    rows = _marked(batch, table.key, old)
     here = F.col("_old").isNotNull()
     if kind == UPSERT:
-        code, wins = F.lit(status.SUCCESS), F.col("_down") == 1
+        code, wins = F.lit(status.SUCCESS), F.col("_is_last")
     elif kind == INSERT:
-        wins = ~here & (F.col("_up") == 1)
+        wins = ~here & F.col("_is_first")
         code = F.when(wins, status.SUCCESS).otherwise(status.KEYEXIST)
     elif kind == UPDATE:
-        wins = here & (F.col("_down") == 1)
+        wins = here & F.col("_is_last")
         code = F.when(here, status.SUCCESS).otherwise(status.NOTFOUND)
     else:
         raise status.StoreError(status.EINVAL, kind)
@@ -55,41 +60,37 @@ def put(table: OrderedTable, batch: DataFrame, kind: str) -> tuple[OrderedTable,
 def put_multi(table: OrderedTable, batch: DataFrame, kind: str) -> tuple[OrderedTable, DataFrame]:
     """(new table, status) on a multimap. upsert: adds the pair if it isn't there. nodup: as upsert, but KEYEXIST for a pair that is there or
     came before. insert: only for absent keys; the first pair of a key wins. replace_all: the batch's last value becomes the key's only one.
+    update: the last value replaces the one value of a key; EMULTIVAL if it has more, NOTFOUND if it has none.
     """
     pair = table.key + table.value
     if kind in (UPSERT, "nodup"):
-        rows = _marked(table, batch, pair)
-        new = rows.where("_old is null and _up = 1").select(*pair)
-        late = F.col("_old").isNotNull() | (F.col("_up") > 1)
-        code = F.when(late, status.KEYEXIST if kind == "nodup" else status.SUCCESS).otherwise(status.SUCCESS)
-        return table._like(table.df.unionByName(new)), rows.select("seq", *pair, code.alias("code"))
-    keyed = table.df.select(*table.key).distinct().withColumn("_here", F.lit(True))
-    w = Window.partitionBy(*table.key)
-    rows = batch.join(keyed, table.key, "left").withColumn("_up", F.row_number().over(w.orderBy("seq"))).withColumn("_down", F.row_number().over(w.orderBy(F.desc("seq"))))
+        rows = _marked(batch, pair, _there(table, pair))
+        fresh = F.col("_here").isNull() & F.col("_is_first")
+        code = F.lit(status.SUCCESS) if kind == UPSERT else F.when(fresh, status.SUCCESS).otherwise(status.KEYEXIST)
+        return table._like(table.df.unionByName(rows.where(fresh).select(*pair))), rows.select("seq", *pair, code.alias("code"))
     if kind == INSERT:
-        wins = F.col("_here").isNull() & (F.col("_up") == 1)
-        new = rows.where(wins).select(*pair)
-        return table._like(table.df.unionByName(new)), rows.select("seq", *pair, F.when(wins, status.SUCCESS).otherwise(status.KEYEXIST).alias("code"))
+        rows = _marked(batch, table.key, _there(table, table.key))
+        wins = F.col("_here").isNull() & F.col("_is_first")
+        return table._like(table.df.unionByName(rows.where(wins).select(*pair))), rows.select("seq", *pair, F.when(wins, status.SUCCESS).otherwise(status.KEYEXIST).alias("code"))
     if kind == "replace_all":
-        new = rows.where("_down = 1").select(*pair)
-        kept = table.df.join(new.select(*table.key), table.key, "left_anti")
-        return table._like(kept.unionByName(new)), rows.select("seq", *pair, F.lit(status.SUCCESS).alias("code"))
-    if kind == UPDATE:
-        counts = table.df.groupBy(*table.key).agg(F.count("*").alias("_n"))
-        rows = rows.join(counts, table.key, "left")
+        rows = _marked(batch, table.key)
+        code, wins = F.lit(status.SUCCESS), F.col("_is_last")
+    elif kind == UPDATE:
+        rows = _marked(batch, table.key, table.df.groupBy(*table.key).agg(F.count("*").alias("_n")))
         code = F.when(F.col("_n").isNull(), status.NOTFOUND).when(F.col("_n") > 1, status.EMULTIVAL).otherwise(status.SUCCESS)
-        new = rows.where("_n = 1 and _down = 1").select(*pair)
-        kept = table.df.join(new.select(*table.key), table.key, "left_anti")
-        return table._like(kept.unionByName(new)), rows.select("seq", *pair, code.alias("code"))
-    raise status.StoreError(status.EINVAL, kind)
+        wins = F.col("_is_last") & (F.col("_n") == 1)
+    else:
+        raise status.StoreError(status.EINVAL, kind)
+    new = rows.where(wins).select(*pair)
+    kept = table.df.join(new.select(*table.key), table.key, "left_anti")
+    return table._like(kept.unionByName(new)), rows.select("seq", *pair, code.alias("code"))
 
 
 def delete(table: OrderedTable, batch: DataFrame, *, pairs: bool = False) -> tuple[OrderedTable, DataFrame]:
     """(new table, status) for keys, with all their values, or with ``pairs`` for single pairs. The first deletion succeeds, later ones are NOTFOUND."""
     cols = table.key + (table.value if pairs else [])
-    there = table.df.select(*cols).distinct().withColumn("_here", F.lit(True))
-    rows = batch.select("seq", *cols).join(there, cols, "left").withColumn("_up", F.row_number().over(Window.partitionBy(*cols).orderBy("seq")))
-    ok = F.col("_here").isNotNull() & (F.col("_up") == 1)
+    rows = _marked(batch.select("seq", *cols), cols, _there(table, cols))
+    ok = F.col("_here").isNotNull() & F.col("_is_first")
     return table._like(table.df.join(batch.select(*cols).distinct(), cols, "left_anti")), rows.select("seq", *cols, F.when(ok, status.SUCCESS).otherwise(status.NOTFOUND).alias("code"))
 
 
@@ -105,10 +106,8 @@ def replace_value(table: OrderedTable, batch: DataFrame) -> tuple[OrderedTable,
     old = [f"old_{c}" for c in table.value]
     a = table.df.select(*table.key, *(F.col(c).alias(o) for c, o in zip(table.value, old, strict=True))).withColumn("_a", F.lit(True))
     b = table.df.select(*table.key, *table.value).withColumn("_b", F.lit(True))
-    rows = batch.join(a, table.key + old, "left").join(b, table.key + table.value, "left")
-    w = Window.partitionBy(*table.key, *old).orderBy("seq")
-    rows = rows.withColumn("_up", F.row_number().over(w))
-    code = F.when(F.col("_a").isNull() | (F.col("_up") > 1), status.NOTFOUND).when(F.col("_b").isNotNull(), status.KEYEXIST).otherwise(status.SUCCESS)
+    rows = _marked(batch, table.key + old, a).join(b, table.key + table.value, "left")
+    code = F.when(F.col("_a").isNull() | ~F.col("_is_first"), status.NOTFOUND).when(F.col("_b").isNotNull(), status.KEYEXIST).otherwise(status.SUCCESS)
     rows = rows.withColumn("code", code)
     done = rows.where(F.col("code") == status.SUCCESS)
     gone = done.select(*table.key, *(F.col(o).alias(c) for c, o in zip(table.value, old, strict=True)))
@@ -140,40 +139,23 @@ def append(table: OrderedTable, batch: DataFrame) -> OrderedTable:
 
 
 def apply_mixed(table: OrderedTable, batch: DataFrame) -> tuple[OrderedTable, DataFrame]:
-    """A mixed batch (seq, op, key columns, value columns) on a map: op is upsert, insert, update or delete, in any order and on the same keys.
+    """A mixed batch (seq, op, key columns, value columns) on a map: op is upsert, insert, update or delete, in any order and on the same keys; another op is EINVAL.
 
-    Each key's operations are folded in order by one pandas call; keys run in parallel. Only keys in the batch are touched.
+    Whether an operation meets its key follows from the nearest operation before it that decides so: after an upsert or insert the key is there, after a
+    delete it isn't, and an update changes nothing about it. That is an ordered lookup by (key, seq). The last operation of a key that succeeds gives its value.
     """
     if table.multi:
         raise status.StoreError(status.INCOMPATIBLE, "mixed batches are for maps")
-    kinds = {f.name: f.dataType.simpleString() for f in table.df.schema}
-    old = table.df.join(batch.select(*table.key).distinct(), table.key, "left_semi").select(F.lit(-1).cast("bigint").alias("seq"), F.lit("now").alias("op"), *table.key, *table.value)
-    ops = old.unionByName(batch.select(F.col("seq").cast("bigint").alias("seq"), "op", *table.key, *table.value))
-    values = list(table.value)
-    schema = ", ".join(["seq bigint", "code string", *(f"`{c}` {kinds[c]}" for c in table.key + values), "final boolean"])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        now, out = None, []
-        for r in rows.to_dict("records"):
-            op, code = r["op"], "SUCCESS"
-            if op == "now":
-                now = r
-                continue
-            if op == "insert" and now is not None:
-                code = "KEYEXIST"
-            elif op in ("update", "delete") and now is None:
-                code = "NOTFOUND"
-            elif op == "delete":
-                now = None
-            else:
-                now = r
-            out.append({**r, "code": code, "final": False})
-        if now is not None:
-            out.append({**now, "code": None, "final": True})
-        return pd.DataFrame(out, columns=["seq", "code", *table_key, *values, "final"])
-
-    table_key = list(table.key)
-    done = ops.groupBy(*table.key).applyInPandas(fold, schema)
-    kept = table.df.join(batch.select(*table.key).distinct(), table.key, "left_anti")
-    return table._like(kept.unionByName(done.where("final").select(*table.key, *table.value))), done.where("not final").select("seq", *table.key, "code")
+    key = list(table.key)
+    batch = batch.select(F.col("seq").cast("bigint").alias("seq"), "op", *key, *table.value)
+    before = table.df.join(batch.select(*key).distinct(), key, "left_semi").select(F.lit(-(2**63)).cast("bigint").alias("seq"), *key, F.lit(True).alias("_live"))
+    decide = batch.where(F.col("op").isin(UPSERT, INSERT, DELETE)).select("seq", *key, (F.col("op") != DELETE).alias("_live"))
+    order = [(F.col(c), F.col(c)) for c in [*key, "seq"]]
+    met = lookup(before.unionByName(decide), batch, order, F.col("_live"), "_met", floor=True, strict=True, prefix=len(key), rows_per_bucket=table.rows_per_bucket)
+    here = F.coalesce("_met", F.lit(False))
+    code = F.when(F.col("op").isin(UPDATE, DELETE), F.when(here, status.SUCCESS).otherwise(status.NOTFOUND)).when(F.col("op") == INSERT, F.when(here, status.KEYEXIST).otherwise(status.SUCCESS)).when(F.col("op") == UPSERT, status.SUCCESS).otherwise(status.EINVAL)
+    done = met.withColumn("code", code)
+    last = done.where(F.col("code") == status.SUCCESS).dropna(subset=key).groupBy(*key).agg(F.max_by(F.struct("op", *table.value), "seq").alias("_w"))
+    kept = table.df.join(last.select(*key), key, "left_anti")
+    new = last.where(F.col("_w.op") != DELETE).select(*key, *(F.col(f"_w.{c}").alias(c) for c in table.value))
+    return table._like(kept.unionByName(new)), done.select("seq", *key, "code")
