@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from keyloom.functions import codecs as C
 from keyloom.operators import check, mutate
 from keyloom.operators.table import OrderedTable
+from keyloom.plans import ordered
+from keyloom.sources import dump
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -56,6 +58,12 @@ def order_probes(spark, d):
 PROBES = "(SELECT c_custkey, unnest([c_custkey * 7 - 3, c_custkey * 11 + 1, c_custkey * 13 + 5]) AS pk FROM customer)"
 
 
+def ranked(df, key, tie):
+    """Adds ``r``, the rank of ``key``: places come from the ordered plan, so no task sorts all rows."""
+    placed = ordered.with_position(df, [F.col(key), F.col(tie)], "_at", rows_per_bucket=30_000)
+    return placed.join(placed.groupBy(key).agg((F.min("_at") + 1).alias("r")), key)
+
+
 # The flagship: each customer's latest order at or before a date, joined back through the primary table
 
 
@@ -263,6 +271,21 @@ def next_multiple(spark, d):
     return p.join(following, ["user_id", "page"], "left").select("user_id", "event_id", "next_first")
 
 
+@query("SELECT user_id, event_id, prev_first FROM (SELECT user_id, event_id, lag(event_id, 8) OVER w AS prev_first, (row_number() OVER w - 1) % 8 AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE r = 0")
+def prev_multiple(spark, d):
+    p = events(spark, d).pages(8).select("user_id", "page", F.col("values")[0]["event_id"].alias("event_id"))
+    preceding = p.select("user_id", (F.col("page") + 1).alias("page"), F.col("event_id").alias("prev_first"))
+    return p.join(preceding, ["user_id", "page"], "left").select("user_id", "event_id", "prev_first")
+
+
+@query("SELECT user_id, place, event_id FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, event_id FROM events WHERE user_id IN (SELECT n_nationkey FROM nation)) WHERE place < 8")
+def seek_and_get_multiple(spark, d):
+    t = events(spark, d)
+    sought = t._like(t.df.join(read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("user_id")).distinct(), "user_id", "left_semi"))
+    p = sought.pages(8).where("page = 0").select("user_id", F.posexplode("values").alias("place", "v"))
+    return p.select("user_id", F.col("place").cast("bigint").alias("place"), "v.event_id")
+
+
 @query("SELECT user_id, event_id, rn = 1 AS on_first, rn = n AS on_last, event_id = min(event_id) OVER (PARTITION BY user_id) AS on_first_dup, event_id = max(event_id) OVER (PARTITION BY user_id) AS on_last_dup FROM (SELECT user_id, event_id, row_number() OVER (ORDER BY user_id, event_id) AS rn, count(*) OVER () AS n FROM events)")
 def on_ends(spark, d):
     return events(spark, d).ends()
@@ -506,11 +529,21 @@ def base58_roundtrip(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice - 100000 AS x, rank() OVER (ORDER BY o_totalprice) AS r FROM orders")
 def key_from_double(spark, d):
-    from pyspark.sql import Window
-
     x = F.col("o_totalprice") - 100000
     o = read(spark, d, "orders").select("o_orderkey", x.alias("x"), C.key_from_double(x).alias("k"))
-    return o.select("o_orderkey", C.double_from_key(F.col("k")).alias("x"), F.rank().over(Window.orderBy("k")).cast("bigint").alias("r"))
+    return ranked(o, "k", "o_orderkey").select("o_orderkey", C.double_from_key(F.col("k")).alias("x"), "r")
+
+
+@query("SELECT p_partkey, (p_size - 25)::DOUBLE AS x, rank() OVER (ORDER BY p_size) AS r FROM part")
+def key_from_json_integer(spark, d):
+    o = read(spark, d, "part").select("p_partkey", C.key_from_json_integer(F.col("p_size") - 25).alias("k"))
+    return ranked(o, "k", "p_partkey").select("p_partkey", C.double_from_key(F.col("k")).alias("x"), "r")
+
+
+@query("SELECT c_custkey, c_acctbal::FLOAT::DOUBLE AS x, rank() OVER (ORDER BY c_acctbal::FLOAT) AS r FROM customer")
+def key_from_float(spark, d):
+    o = read(spark, d, "customer").select("c_custkey", C.key_from_float(F.col("c_acctbal").cast("float")).alias("k"))
+    return ranked(o, "k", "c_custkey").select("c_custkey", C.double_from_key(F.col("k")).alias("x"), "r")
 
 
 @query("SELECT p_partkey, starts_with(p_name, 'a') AS starts, ends_with(p_name, 'e') AS ends, substr(p_name, 1, 4) AS head, right(p_name, 3) AS tail, substr(p_name, 3, 5) AS middle, substr(p_name, 3) AS no_prefix, left(p_name, greatest(length(p_name) - 2, 0)) AS no_suffix, CASE WHEN length(p_name) >= 12 THEN substr(p_name, 1, 12) END AS safe_head, strlen(p_name) AS size FROM part")
@@ -568,3 +601,44 @@ def order_check(spark, d):
 @query("SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def unique_check(spark, d):
     return check.duplicates(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+# Sequences and the text interchange format
+
+
+@query("SELECT o_orderkey, 1000 + row_number() OVER (ORDER BY o_orderkey) - 1 AS id FROM orders WHERE o_orderstatus = 'O'")
+def sequence_alloc(spark, d):
+    """New rows take consecutive numbers of a table's sequence, in key order."""
+    o = read(spark, d, "orders").where("o_orderstatus = 'O'").select("o_orderkey")
+    return ordered.with_position(o, [F.col("o_orderkey")], "_at", rows_per_bucket=30_000).select("o_orderkey", (F.col("_at") + 1000).alias("id"))
+
+
+def raw_nations(spark, d):
+    n = read(spark, d, "nation").select(F.col("n_name").cast("binary").alias("key"), F.col("n_regionkey").cast("string").cast("binary").alias("value"))
+    return OrderedTable(n, ["key"], ["value"])
+
+
+def raw_segments(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_mktsegment").cast("binary").alias("key"), F.col("c_name").cast("binary").alias("value"))
+    return OrderedTable(c, ["key"], ["value"], value_mode="multi", rows_per_bucket=30_000)
+
+
+@query("SELECT position, unnest([0, 1]) AS place, unnest([' ' || lower(hex(n_name)), ' ' || lower(hex(n_regionkey::VARCHAR))]) AS line FROM (SELECT n_name, n_regionkey, row_number() OVER (ORDER BY n_name) - 1 AS position FROM nation)")
+def dump_rows(spark, d):
+    return dump.records(raw_nations(spark, d)).select("position", F.posexplode("lines").alias("place", "line"))
+
+
+_CONCISE = "SELECT position, i::INTEGER AS place, l[i + 1] AS line FROM (SELECT position, l, unnest(range(len(l))) AS i FROM (SELECT row_number() OVER (ORDER BY c_mktsegment, c_name) - 1 AS position, CASE WHEN row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) = 1 THEN [' ' || c_mktsegment, ' ' || c_name] ELSE ['  ' || c_name] END AS l FROM customer))"
+
+
+@query(_CONCISE)
+def dump_concise(spark, d):
+    """Printable lines; further values of a key have a second space and no key line."""
+    return dump.records(raw_segments(spark, d), "print", concise=True).select("position", F.posexplode("lines").alias("place", "line"))
+
+
+@query("SELECT c_mktsegment AS key, c_name AS value FROM customer")
+def dump_load_roundtrip(spark, d):
+    lines_ = dump.records(raw_segments(spark, d), "print", concise=True).select("position", F.posexplode("lines").alias("place", "line"))
+    back = dump.parsed(lines_.select((F.col("position") * 2 + F.col("place")).alias("line_no"), "line"), "print")
+    return back.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))

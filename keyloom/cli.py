@@ -64,7 +64,7 @@ def load_into(store: Store, path: str, *, table: str | None = None, keep=False,
             now = w.sequence(name)
             if now > s.sequence:
                 raise status.StoreError(status.RESULT_TRUE, f"{name}: its sequence {now} is above the dump's")
-            batch = t.df.withColumn("seq", F.monotonically_increasing_id())
+            batch = s.rows  # a line's number is the same however often the rows are made
             if purge:
                 old = old._like(old.df.limit(0))
             put = mutate.put_multi if t.multi else mutate.put

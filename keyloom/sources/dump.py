@@ -104,6 +104,7 @@ class Section:
     warnings: list[str] = field(default_factory=list)
     first: int = 0
     last: int = 0
+    rows: DataFrame | None = None  # (seq, key, value): pairs with the number of their line
 
     @property
     def key_mode(self) -> str:
@@ -175,12 +176,13 @@ def load(spark: SparkSession, path: str, *, rescue: bool = False) -> list[tuple[
         if not s.last:
             raise StoreError(status.EINVAL, "a table has no DATA=END")
         rows = lines.where((F.col("line_no") >= s.first) & (F.col("line_no") < s.last) & F.col("line").startswith(" "))
-        out.append((s, _pairs(rows, s, rescue)))
+        s.rows = parsed(rows, s.form, rescue)
+        out.append((s, OrderedTable(s.rows, ["key"], ["value"], s.key_mode, s.value_mode)))
     return out
 
 
-def _pairs(rows: DataFrame, s: Section, rescue: bool) -> OrderedTable:
-    """Pairs from record lines. Concise lines make the role of a line depend on those before: a key line is one whose count of plain lines so far is even."""
+def parsed(rows: DataFrame, form: str, rescue: bool = False) -> DataFrame:
+    """(seq, key, value) from record lines (line_no, line). Concise lines make the role of a line depend on those before: a key line is one whose count of plain lines so far is even."""
     again = F.col("line").startswith("  ")
     # windows run in stretches of lines; what a stretch needs from before it (a count, the last key) is one row a stretch
     inside = Window.partitionBy("_b").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -194,10 +196,10 @@ def _pairs(rows: DataFrame, s: Section, rescue: bool) -> OrderedTable:
     carried = told.groupBy("_b").agg(F.max_by(text, F.when(is_key, F.col("line_no"))).alias("_k")).select("_b", F.last("_k", True).over(before).alias("_carry"))
     told = told.join(F.broadcast(carried), "_b").withColumn("_key", F.coalesce(F.last(text, True).over(inside), F.col("_carry")))
     body = F.when(F.col("_again"), F.substring("line", 3, 1 << 30)).otherwise(F.substring("line", 2, 1 << 30))
-    pairs = told.where(~is_key).select(unescaped(F.col("_key"), s.form).alias("key"), unescaped(body, s.form).alias("value"))
+    pairs = told.where(~is_key).select(F.col("line_no").alias("seq"), unescaped(F.col("_key"), form).alias("key"), unescaped(body, form).alias("value"))
     bad = pairs.where("key is null or value is null")
     if rescue:
         pairs = pairs.dropna()
     elif bad.head(1):
         raise StoreError(status.EINVAL, "a record is malformed")
-    return OrderedTable(pairs, ["key"], ["value"], s.key_mode, s.value_mode)
+    return pairs

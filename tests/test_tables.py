@@ -145,3 +145,26 @@ def test_number_keys_keep_the_order(spark):
     ns = [-(2**63), -1, 0, 1, 2**63 - 1]
     rows = spark.createDataFrame([(n,) for n in ns], "n bigint").select("n", C.key_from_i64(F.col("n")).alias("k"), C.i64_from_key(C.key_from_i64(F.col("n"))).alias("m"), C.int_of(C.little_endian(F.col("n"), 8), 8).alias("j")).collect()
     assert [r.n for r in sorted(rows, key=lambda r: bytes(r.k))] == ns and all(r.n == r.m == r.j for r in rows)
+
+
+def test_a_key_with_most_operations(spark):
+    """Half of all operations are on one key; ranges of its operations are folded apart."""
+    rnd = random.Random(3)
+    start = {k: 0 for k in range(5)}
+    ops = [(i, rnd.choice(["upsert", "insert", "update", "delete", "what"]), 7 if rnd.random() < 0.5 else rnd.randrange(10), i) for i in range(2000)]
+    t = OrderedTable(spark.createDataFrame(list(start.items()), "k bigint, v bigint"), ["k"], ["v"], rows_per_bucket=100)
+    new, said = mutate.apply_mixed(t, spark.createDataFrame([*ops, (5000, "upsert", None, 1)], "seq bigint, op string, k bigint, v bigint"))
+    now, codes = model(start, [o for o in ops if o[1] != "what"])
+    got = {r.seq: r.code for r in said.collect()}
+    assert {r.k: r.v for r in new.df.collect()} == now
+    assert {s: got[s] for s in codes} == codes and {got[o[0]] for o in ops if o[1] == "what"} == {"EINVAL"} and len(got) == 2001
+
+
+def test_empty_batches_and_tables(spark):
+    t = OrderedTable(spark.createDataFrame([(1, 2)], "k bigint, v bigint"), ["k"], ["v"])
+    none = spark.createDataFrame([], "seq bigint, op string, k bigint, v bigint")
+    for out in (mutate.apply_mixed(t, none), mutate.put(t, none.drop("op"), "upsert"), mutate.put(t, none.drop("op"), "insert"), mutate.delete(t, none)):
+        assert [tuple(r) for r in out[0].df.collect()] == [(1, 2)] and out[1].collect() == []
+    batch = spark.createDataFrame([(1, "upsert", 4, 5), (2, "delete", 4, None), (3, "insert", 4, 6)], "seq bigint, op string, k bigint, v bigint")
+    new, said = mutate.apply_mixed(t._like(t.df.limit(0)), batch)
+    assert [tuple(r) for r in new.df.collect()] == [(4, 6)] and {r.code for r in said.collect()} == {"SUCCESS"}
