@@ -6,6 +6,8 @@ compares them). A text longer than one sequence is cut into full pieces, of whic
 shorter. Pieces are then dealt at random to packers of about ``pieces_per_packer`` pieces; each runs a
 bounded-space online best-fit: a fixed number of open bins, in a bitset keyed by free space; a piece
 goes to the open bin it fills best, and when no bin has room and all are open, the fullest closes.
+A packer's stream brings longer pieces first, so that short ones fill what is left. That needs as many open bins
+as long pieces: with 8192 for packers of 8192 pieces about 0.1 % of the tokens' places stay empty; with far fewer, bins close too early.
 
 Null and empty texts have the end token alone. Repeated rows are packed as often as they occur. An empty
 table gives an empty result. Columns other than the id and the text are ignored.
@@ -105,17 +107,17 @@ class OpenBins:
         return number, self.capacity - free
 
 
-def place_pieces(pieces: DataFrame, *, capacity=1024, open_bins=256, pieces_per_packer=16384, total: int | None = None, deal: Column | None = None) -> DataFrame:
+def place_pieces(pieces: DataFrame, *, capacity=1024, open_bins=8192, pieces_per_packer=8192, total: int | None = None, deal: Column | None = None) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of at most ``capacity``.
 
-    Packers get equal random shares by a hash of all columns, and take them in the order of that hash, so a lost
+    Packers get equal random shares by a hash of all columns, and take them by length, longest first, and that hash, so a lost
     task gives the same bins again.
     """
     total = pieces.count() if total is None else total
     packers = max(1, math.ceil(total / pieces_per_packer))
     plain = [f.name for f in pieces.schema if f.dataType.typeName() != "array"]
     key = F.xxhash64(*plain) if deal is None else deal
-    dealt = pieces.withColumn("_key", key).repartition(packers, "_key").sortWithinPartitions("_key", *plain)
+    dealt = pieces.withColumn("_key", key).repartition(packers, "_key").sortWithinPartitions(F.desc("length"), "_key", *plain)
     dealt = dealt.withColumn("_packer", F.spark_partition_id().cast("bigint"))
     names = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
@@ -131,7 +133,7 @@ def place_pieces(pieces: DataFrame, *, capacity=1024, open_bins=256, pieces_per_
     return dealt.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, rank_file: str, *, id_col="doc_id", text_col="text", capacity=1024, end_id=2, open_bins=256, pieces_per_packer=16384, keep_ids=False) -> DataFrame:
+def pack(docs: DataFrame, rank_file: str, *, id_col="doc_id", text_col="text", capacity=1024, end_id=2, open_bins=8192, pieces_per_packer=8192, keep_ids=False) -> DataFrame:
     """All documents as placed pieces. Pieces are checkpointed, so texts are tokenised once."""
     pieces = textops.checkpointed(token_pieces(docs, rank_file, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, keep_ids=keep_ids))
     placed = place_pieces(pieces, capacity=capacity, open_bins=open_bins, pieces_per_packer=pieces_per_packer)

@@ -47,6 +47,16 @@ def check_layout(rows, capacity):
     return len(bins)
 
 
+def best_fit_decreasing(sizes, capacity=1024):
+    free = []
+    for n in sorted(sizes, reverse=True):
+        fits = [f for f in free if f >= n]
+        if fits:
+            free.remove(min(fits))
+        free.append((min(fits) if fits else capacity) - n)
+    return len(free)
+
+
 @pytest.mark.parametrize("how", [{}, {"pieces_per_packer": 60, "open_bins": 4}])
 def test_whole_round_trip(spark, tokenizer, how):
     rows = documents()
@@ -66,7 +76,7 @@ def test_whole_round_trip(spark, tokenizer, how):
             assert [p[0] for p in pieces] == list(range(len(pieces))) and [p[1] for p in pieces] == [sum(len(x[2]) for x in pieces[:k]) for k in range(len(pieces))]
             assert len(pieces) == 1 or all(len(p[2]) == 1024 for p in pieces[1:])
     least = -(-sum(r.length for r in out) // 1024)
-    assert used <= (1.05 if not how else 1.3) * least + 2
+    assert used == best_fit_decreasing([r.length for r in out]) if not how else used <= 1.3 * least + 2
 
 
 def test_sequences(spark):
