@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into fixed-length training sequences.
 
 Token ids follow a published byte-level BPE vocabulary; its rank file is read by ``tiktoken``, which
-gives the ids of the ``tokenizers`` file of the same vocabulary about four times faster (a test
+gives the same ids as the ``tokenizers`` file of that vocabulary in less time (a test
 compares them). A text longer than one sequence is cut into full pieces, of which the first may be
 shorter. Pieces are then dealt at random to packers of about ``pieces_per_packer`` pieces; each runs a
 bounded-space online best-fit: a fixed number of open bins, in a bitset keyed by free space; a piece
