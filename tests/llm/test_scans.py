@@ -36,6 +36,18 @@ def test_novelty(spark):
     assert out[6].n_assign == 1
 
 
+@pytest.mark.parametrize("letters", ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_random_keys_of_all_lengths_are_novel(letters):
+    r = random.Random(len(letters))
+    for n in (20, 24, 32, 40, 48, 63, 64, 65, 96, 128, 200, 400, 800, 1200, 2000):
+        for _ in range(10):
+            key = "A1" + "".join(r.choices(letters, k=n - 2))
+            for text in (f"key: {key}\n", f"key: {key}\nother words\nbearer {key} and auth: {key}\n", f"key: {key}\n{'x y ' * 400}\nauth: {key}\n", f"token = {key}\nauth: {key}\n"):
+                spans = [(a, b) for a, _, b in secrets.find(text, True, True, 0.9)]
+                at = [a for a in range(len(text)) if text.startswith(key, a)]
+                assert all(any(s <= a and a + n <= e for s, e in spans) for a in at), (n, text)
+
+
 def test_secret_edges_and_redaction(spark):
     rows = [(None, None), (1, ""), (2, "password = hunter22 and é token:abcdefg"), (2, "password = hunter22 and é token:abcdefg"), (3, "x" * 3_000_000 + " secret=abcdef")]
     out = scan(spark, rows, mark="[S]")
