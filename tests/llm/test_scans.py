@@ -48,6 +48,24 @@ def test_random_keys_of_all_lengths_are_novel(letters):
                 assert all(any(s <= a and a + n <= e for s, e in spans) for a in at), (n, text)
 
 
+def test_values_of_assignments_and_words_between(spark):
+    lead = ["PRIVATE_KEY=", "auth=", "export SESSION_SALT=", "https://a.example/?x=1&signature=", "--auth-key=", "auth header value: ", "signing_key_id = '", "key:", "cookie: id=", "key" + "." * 40]
+    pad = ["", "=", "==", "'", "\n", "&next=1"]
+    rows = [(100 * i + j, f"{x}{KEY}{y}") for i, x in enumerate(lead) for j, y in enumerate(pad)]
+    rows += [(5001, "key" + "." * 41 + KEY), (5002, f"key\n{KEY}"), (5003, f"{KEY}=1 key"), (5004, f"id={KEY}")]
+    out = {r.doc_id: r for r in scan(spark, rows, mark="[S]")}
+    for i, text in rows:
+        if i < 5000:
+            at = text.index(KEY)
+            (a, b) = map(int, out[i].spans.split(":")[1:])
+            assert out[i].n_novel == 1 and a <= at and at + len(KEY) <= b and KEY not in out[i].redacted, text
+            assert text[:at].endswith(text[a:at]) and (a == at or text.startswith("cookie")), text
+        else:
+            assert out[i].n_novel == 0 and out[i].redacted == text, text
+    two = f"auth: {KEY}=={KEY[::-1]}=="
+    assert KEY not in secrets.redacted(two, secrets.find(two, True, True, 0.9), "[S]") and KEY[::-1] not in secrets.redacted(two, secrets.find(two, True, True, 0.9), "[S]")
+
+
 def test_secret_edges_and_redaction(spark):
     rows = [(None, None), (1, ""), (2, "password = hunter22 and é token:abcdefg"), (2, "password = hunter22 and é token:abcdefg"), (3, "x" * 3_000_000 + " secret=abcdef")]
     out = scan(spark, rows, mark="[S]")
