@@ -454,6 +454,76 @@ def mixed_batch(spark, d):
     return mutate.apply_mixed(_map(spark, d), gone.unionByName(late).unionByName(back))[0].df
 
 
+# The same questions and batches over whole tables: a probe near every row, keys with gaps, and batches as large as the table
+
+
+def _tripled(spark, d, **kw):
+    """Lineitem by three times the order key, so that most keys near a row are absent."""
+    rows = read(spark, d, "lineitem").select((F.col("l_orderkey") * 3).alias("l_orderkey"), *LINE)
+    return OrderedTable(rows, ["l_orderkey"], LINE, value_mode="multi", **kw)
+
+
+def _near_lines(spark, d):
+    """For every line a probe from two keys before it to two after it, at its own values or with the next line number."""
+    pk, pl = F.col("l_orderkey") * 3 + F.col("l_partkey") % 5 - 2, F.col("l_linenumber") + (F.col("l_suppkey") % 2).cast("int")
+    return read(spark, d, "lineitem").select(pk.alias("pk"), pl.alias("pl"), F.col("l_partkey").alias("pp"), F.col("l_suppkey").alias("ps"))
+
+
+def _near_orders(spark, d):
+    """For every order a probe from two keys before three times its key to two after it."""
+    return read(spark, d, "orders").select((F.col("o_orderkey") * 3 + F.col("o_custkey") % 5 - 2).alias("pk"))
+
+
+def _tripled_orders(spark, d, **kw):
+    return OrderedTable(read(spark, d, "orders").select((F.col("o_orderkey") * 3).alias("o_orderkey"), "o_custkey"), ["o_orderkey"], ["o_custkey"], **kw)
+
+
+NEAR_LINES = "(SELECT l_orderkey * 3 + l_partkey % 5 - 2 AS pk, CAST(l_linenumber + l_suppkey % 2 AS INTEGER) AS pl, l_partkey AS pp, l_suppkey AS ps FROM lineitem)"
+NEAR_ORDERS = "(SELECT o_orderkey * 3 + o_custkey % 5 - 2 AS pk FROM orders)"
+
+for _op, (_sign, _agg) in OPS.items():
+
+    def _whole_pair(spark, d, op=_op, rows_per_bucket=50_000):
+        found = _tripled(spark, d, rows_per_bucket=rows_per_bucket).nearest(_near_lines(spark, d), ["pk"], op, ["pl", "pp", "ps"])
+        return found.select("pk", "pl", "pp", "ps", *(F.col(f"found.{c}").alias(c) for c in ["l_orderkey", *LINE]))
+
+    if _op == "eq":
+        _sql = f"SELECT pk, pl, pp, ps, l_orderkey * 3 AS l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {NEAR_LINES} LEFT JOIN lineitem ON l_orderkey * 3 = pk AND l_linenumber = pl AND l_partkey = pp AND l_suppkey = ps"
+    else:
+        # rows and probes in one order; a probe stands before the rows equal to it if these aren't to be found, else behind them
+        _way, _last = "ASC" if _agg == "max" else "DESC", 1 if "=" in _sign else -1
+        _sql = f"""SELECT pk, pl, pp, ps, x.a AS l_orderkey, x.b AS l_linenumber, x.c AS l_partkey, x.e AS l_suppkey FROM (
+  SELECT *, last_value(r IGNORE NULLS) OVER (ORDER BY pk {_way}, pl {_way}, pp {_way}, ps {_way}, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x FROM (
+    SELECT pk, pl, pp, ps, {_last} AS side, NULL AS r FROM {NEAR_LINES} UNION ALL
+    SELECT l_orderkey * 3, l_linenumber, l_partkey, l_suppkey, 0, {{'a': l_orderkey * 3, 'b': l_linenumber, 'c': l_partkey, 'e': l_suppkey}} FROM lineitem)) WHERE side <> 0"""
+    query(_sql, f"whole_pair_{_op}")(_whole_pair)
+
+
+@query(f"SELECT pk, k, CASE WHEN k IS NULL THEN 'NOTFOUND' WHEN k = pk THEN 'SUCCESS' ELSE 'RESULT_TRUE' END AS status FROM {NEAR_ORDERS} p ASOF LEFT JOIN (SELECT o_orderkey * 3 AS k FROM orders) ON p.pk <= k")
+def whole_get_equal_or_great(spark, d, rows_per_bucket=50_000):
+    found = _tripled_orders(spark, d, rows_per_bucket=rows_per_bucket).lower_bound(_near_orders(spark, d), ["pk"])
+    return found.select("pk", F.col("found.o_orderkey").alias("k"), "status")
+
+
+@query(f"SELECT pk, k FROM {NEAR_ORDERS} p ASOF LEFT JOIN (SELECT o_orderkey * 3 AS k FROM orders) ON p.pk < k")
+def whole_upper_bound(spark, d, rows_per_bucket=50_000):
+    found = _tripled_orders(spark, d, rows_per_bucket=rows_per_bucket).upper_bound(_near_orders(spark, d), ["pk"])
+    return found.select("pk", F.col("found.o_orderkey").alias("k"))
+
+
+@query("SELECT user_id, event_id FROM events UNION SELECT 3, event_id FROM events")
+def whole_put_multiple(spark, d):
+    return mutate.put_multiple(events(spark, d), (3,), read(spark, d, "events").select("event_id"))[0].df
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT (SELECT max(o_orderkey) FROM orders) + 1 + o_orderkey, o_custkey FROM orders")
+def whole_append_sorted(spark, d):
+    t = _map(spark, d)
+    top = t.last().first()[0]
+    new = t.df.select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") + 1 + top).alias("o_orderkey"), "o_custkey")
+    return mutate.append(t, new).df
+
+
 # Range deletion
 
 
