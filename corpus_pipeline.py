@@ -37,21 +37,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, *, least_scor
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, *, most_ids=2_000_000) -> DataFrame:
-    """Of each group of documents that 5-word shingle sets with a Jaccard of 0.8 or more link, the one with the least id stays; of rows with the same id, one."""
-    groups = jaccard.join(docs, n=5, num=80, den=100).select("doc_id", "component_id")
-    # a row stays if its id is its component; ids that occur more than once keep one row
-    ids = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")).where("doc_id is not null")
-    ids = Scratch(spark).save(ids.where("rows > 1 or doc_id <> component_id"), "decided")
-    gone = ids.where("doc_id <> component_id").select("doc_id")
-    twice = ids.where("doc_id = component_id").select("doc_id")
-    few = ids.count() <= most_ids  # a checked size; beyond it, a join by shuffle
-    small = F.broadcast if few else (lambda x: x)
-    kept = docs.join(small(gone), "doc_id", "left_anti")
-    if not twice.head(1):
-        return kept.select(*docs.columns)
-    once = kept.join(small(twice), "doc_id", "left_anti")
-    one = kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(one.select(*docs.columns))
+    """Of each group of documents that 5-word shingle sets with a Jaccard of 0.8 or more link, the one with the least id stays, then that with the least hash of its text.
+
+    A document is an id and its text: different texts under one id, or without one, are decided apart. Of rows with the same id and text, one stays.
+    """
+    how = {"n": 5, "num": 80, "den": 100}
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= most_ids else ids  # a checked size; beyond it, a join by shuffle
+
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").head(1):
+        groups = jaccard.join(docs, **how)
+        # a row stays if its id is its component
+        gone = Scratch(spark).save(groups.where("doc_id <> component_id").select("doc_id"), "decided")
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+    rows, names = aside(docs)
+    rows = rows.withColumn("node", F.xxhash64(names["doc_id"], names["text"]))
+    scratch = Scratch(spark)
+    groups = jaccard.join(rows, id_col="node", text_col=names["text"], **how).groupBy("node").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
+    ids = rows.select("node", F.col(names["doc_id"]).alias("id")).distinct()
+    groups = scratch.save(groups.join(ids, "node"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "node"))["node"].alias("first"))
+    decided = scratch.save(groups.join(first, "component_id").select("node", "rows", (F.col("node") != F.col("first")).alias("gone")).where("gone or rows > 1"), "decided")
+    kept = rows.join(small(decided.where("gone").select("node")), "node", "left_anti")
+    twice = small(decided.where("not gone").select("node"))
+    # which of several rows stays hangs on their columns, not on the order of tasks
+    told = F.xxhash64(*(c for c, kind in rows.dtypes if "map<" not in kind))
+    one = kept.join(twice, "node", "left_semi").groupBy("node").agg(F.min_by(F.struct(*names.values()), told).alias("row")).select("row.*")
+    return back(kept.join(twice, "node", "left_anti").select(*names.values()).unionByName(one), names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,3 +96,19 @@ def test_scratch_folder_is_the_sessions(spark):
     from keyloom.llm import textops
 
     assert textops.shared_folder(spark).startswith("file:" + spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_near_duplicates_decide_by_id_and_text(spark, small):
+    r = random.Random(21)
+    a, b, c, d = (" ".join(f"w{r.randrange(10**6)}" for _ in range(30)) for _ in range(4))
+    rows = [(5, a, "x"), (5, b, "x"), (6, a + " end", "y"), (4, b, "z"), (None, c, "u"), (None, c, "v"), (None, d, "u"), (7, d, "w"), (8, c + " x", "t"), (9, "", "e"), (10, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = {(5, a), (4, b), (8, c + " x"), (7, d), (9, ""), (10, "")}
+    for most in (2_000_000, 0):
+        out = corpus_pipeline.near_duplicates(spark, docs, small, most_ids=most)
+        assert out.columns == docs.columns
+        got = [(x.doc_id, x.text) for x in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+    copies = spark.createDataFrame([(None, c, "u"), (None, c, "v"), (3, a, "m"), (3, b, "m"), (3, a, "k")], docs.schema)
+    got = [sorted(map(tuple, corpus_pipeline.near_duplicates(spark, copies.repartition(k), small).collect()), key=str) for k in (1, 4)]
+    assert got[0] == got[1] and sorted((x[0] or 0, x[1]) for x in got[0]) == sorted([(0, c), (3, a), (3, b)])
