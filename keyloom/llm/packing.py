@@ -1,16 +1,16 @@
 """Best-fit packing of tokenised documents into fixed-length training sequences.
 
-Token ids follow a published byte-level BPE vocabulary; its rank file is read by ``tiktoken``, which
-gives the same ids as the ``tokenizers`` file of that vocabulary in less time (a test
-compares them). A text longer than one sequence is cut into full pieces, of which the first may be
-shorter. Pieces are then dealt at random to packers of about ``pieces_per_packer`` pieces; each runs a
-bounded-space online best-fit: a fixed number of open bins, in a bitset keyed by free space; a piece
-goes to the open bin it fills best, and when no bin has room and all are open, the fullest closes.
-A packer's stream brings longer pieces first, so that short ones fill what is left. That needs as many open bins
-as long pieces: with 8192 for packers of 8192 pieces about 0.1 % of the tokens' places stay empty; with far fewer, bins close too early.
+Token ids are those of a ``tokenizers`` file (byte-level BPE). Its vocabulary is also published as a rank file, which
+``tiktoken`` reads and encodes several times faster; the ids are equal (a test compares them). Texts with a run of ``LONG_SPACE`` or more bytes that may be white
+space, which tiktoken's pattern can't match, go through ``tokenizers`` itself. A text longer than one sequence is cut into full pieces, of which
+the first may be shorter.
+
+Pieces are dealt at random to packers of about ``pieces_per_packer`` pieces, and each packer is a bounded-space online best-fit: it takes its pieces in
+the order of a hash, whatever their length; it has at most ``open_bins`` open bins, however many pieces there are, in a bitset keyed by free
+space; a piece goes to the open bin it fills best, and when no bin has room and all are open, the fullest closes. What a packer holds is its open bins.
 
 Null and empty texts have the end token alone. Repeated rows are packed as often as they occur. An empty
-table gives an empty result. Columns other than the id and the text are ignored.
+table gives an empty result. Columns other than the id and the text are ignored. Ties: of open bins with equal space, that which was opened or changed last.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from keyloom.llm import textops
 
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG_SPACE = 10_000
 PIECES = "id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -38,22 +40,50 @@ def rank_encoder(rank_file: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=GPT_PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
+def beside(rank_file: str) -> str:
+    """The ``tokenizers`` file that lies beside the rank file of the same vocabulary."""
+    return rank_file.removesuffix(".tiktoken") + ".json"
+
+
+class Encoder:
+    """Token ids of texts by a ``tokenizers`` file, or by the rank file of the same vocabulary where that can encode them."""
+
+    def __init__(self, tokenizer_file: str, rank_file: str):
+        self.file, self.ranks, self.whole = tokenizer_file, rank_encoder(rank_file), None
+        # all bytes of white-space characters in UTF-8: some others as well, so a run of them may hold no white space
+        self.space = np.zeros(256, bool)
+        self.space[list({b for c in range(0x3001) if chr(c).isspace() for b in chr(c).encode()})] = True
+
+    def long_space(self, text: str) -> bool:
+        if len(text) * 3 < LONG_SPACE:
+            return False
+        other = np.flatnonzero(~self.space[np.frombuffer(text.encode(), np.uint8)])
+        ends = np.concatenate([[-1], other, [len(text.encode())]])
+        return int(np.diff(ends).max()) > LONG_SPACE
+
+    def ids(self, text: str) -> np.ndarray:
+        if not self.long_space(text):
+            return self.ranks.encode_to_numpy(text, allowed_special="all")
+        self.whole = self.whole or Tokenizer.from_file(self.file)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n tokens; all but the first are full."""
     first = n % capacity or capacity
     return [(0, first)] + [(a, capacity) for a in range(first, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, rank_file: str, *, id_col="doc_id", text_col="text", capacity=1024, end_id=2, keep_ids=False) -> DataFrame:
+def token_pieces(docs: DataFrame, rank_file: str, *, tokenizer_file: str | None = None, id_col="doc_id", text_col="text", capacity=1024, end_id=2, keep_ids=False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, and its token ids with ``keep_ids``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoder = rank_encoder(rank_file)
+        encoder = Encoder(tokenizer_file or beside(rank_file), rank_file)
         for batch in textops.sliced(batches, "text"):
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(batch["text"].to_pylist()):
-                ids = np.append(encoder.encode_to_numpy(text or "", allowed_special="all"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encoder.ids(text or ""), np.uint32(end_id)).astype("<u4")
                 for k, (a, n) in enumerate(cut(len(ids), capacity)):
                     rows.append(i)
                     piece.append(k)
@@ -107,17 +137,16 @@ class OpenBins:
         return number, self.capacity - free
 
 
-def place_pieces(pieces: DataFrame, *, capacity=1024, open_bins=8192, pieces_per_packer=8192, total: int | None = None, deal: Column | None = None) -> DataFrame:
+def place_pieces(pieces: DataFrame, *, capacity=1024, open_bins=256, pieces_per_packer=65_536, total: int | None = None, deal: Column | None = None) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of at most ``capacity``.
 
-    Packers get equal random shares by a hash of all columns, and take them by length, longest first, and that hash, so a lost
-    task gives the same bins again.
+    Packers get equal random shares by a hash of all columns (or ``deal``), and take them in the order of that hash, so a lost task gives the same bins again.
     """
     total = pieces.count() if total is None else total
     packers = max(1, math.ceil(total / pieces_per_packer))
     plain = [f.name for f in pieces.schema if f.dataType.typeName() != "array"]
     key = F.xxhash64(*plain) if deal is None else deal
-    dealt = pieces.withColumn("_key", key).repartition(packers, "_key").sortWithinPartitions(F.desc("length"), "_key", *plain)
+    dealt = pieces.withColumn("_key", key).repartition(packers, "_key").sortWithinPartitions("_key", *plain)
     dealt = dealt.withColumn("_packer", F.spark_partition_id().cast("bigint"))
     names = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
@@ -133,9 +162,9 @@ def place_pieces(pieces: DataFrame, *, capacity=1024, open_bins=8192, pieces_per
     return dealt.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, rank_file: str, *, id_col="doc_id", text_col="text", capacity=1024, end_id=2, open_bins=8192, pieces_per_packer=8192, keep_ids=False) -> DataFrame:
-    """All documents as placed pieces. Pieces are checkpointed, so texts are tokenised once."""
-    pieces = textops.checkpointed(token_pieces(docs, rank_file, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, keep_ids=keep_ids))
+def pack(docs: DataFrame, rank_file: str, *, tokenizer_file: str | None = None, id_col="doc_id", text_col="text", capacity=1024, end_id=2, open_bins=256, pieces_per_packer=65_536, keep_ids=False) -> DataFrame:
+    """All documents as placed pieces. The ``tokenizers`` file is that beside the rank file, if none is named. Pieces are checkpointed, so texts are tokenised once."""
+    pieces = textops.checkpointed(token_pieces(docs, rank_file, tokenizer_file=tokenizer_file, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, keep_ids=keep_ids))
     placed = place_pieces(pieces, capacity=capacity, open_bins=open_bins, pieces_per_packer=pieces_per_packer)
     return placed.withColumnRenamed("id", id_col)
 

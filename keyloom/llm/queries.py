@@ -50,15 +50,16 @@ def op4_preference_formatting(spark, sf_dir):
 
 
 def op5_secret_scans(spark, sf_dir):
-    """See ``secrets.scan``; one row per document."""
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    """See ``secrets``; one row per document."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, words=secrets.train(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op6_best_fit_packing(spark, sf_dir):
     """See ``packing.pack``; one row per piece."""
-    rank_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack(table(spark, sf_dir, "documents"), rank_file)
+    tokenizer_file, rank_file = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), rank_file, tokenizer_file=tokenizer_file)
 
 
 def op10_benchmark_decontamination(spark, sf_dir):
