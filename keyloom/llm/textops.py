@@ -87,18 +87,23 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def eight_bytes(buf: np.ndarray) -> np.ndarray:
+    """The little-endian number of the eight bytes from every position on; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), shape=(len(buf) + 1,), strides=(1,))
+
+
+def low_bytes(left: np.ndarray) -> np.ndarray:
+    """A mask of the first ``left`` bytes, of eight at most."""
+    return np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64))
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every span, eight bytes at a time."""
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), shape=(len(buf) + 1,), strides=(1,))
-    length = ends - starts
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    words, length = eight_bytes(buf), ends - starts
 
     def chunk(at, left):
-        v = words[at]
-        short = left < 8
-        keep = full >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64))
-        return np.where(short, v & keep, v)
+        return words[at] & low_bytes(left)
 
     h = mix(chunk(starts, length) ^ (length.astype(np.uint64) * SEED))
     live = np.flatnonzero(length > 8)
@@ -110,6 +115,21 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h
 
 
+def same_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span of ``a`` equal those of the span of ``b`` in the same place."""
+    x, y = eight_bytes(a), eight_bytes(b)
+    left = (a_ends - a_starts).astype(np.int64)
+    same = left == b_ends - b_starts
+    live = np.flatnonzero(same)
+    p, q, left = a_starts[live], b_starts[live], left[live]
+    while len(live):
+        equal = ((x[p] ^ y[q]) & low_bytes(left)) == 0
+        same[live[~equal]] = False
+        more = equal & (left > 8)
+        live, p, q, left = live[more], p[more] + 8, q[more] + 8, left[more] - 8
+    return same
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n consecutive word hashes; entry i covers words i to i+n-1."""
     m = len(h) - n + 1
