@@ -4,11 +4,12 @@ The vocabulary becomes a trie with two roots: the start of a word, and the conti
 number of pieces that are popped on taking it, both precomputed breadth first. A word is read byte by byte; where no edge
 fits, the node's popped pieces are counted and its failure link is taken, so each byte is read once.
 
-All distinct words of a batch run through the automaton together, one numpy lane a word. The vocabulary comes from a byte-level BPE file: tokens that begin with its
+All distinct words of a batch run through the automaton together, one numpy lane a word, while at least ``FEW_LANES`` are left; the rest of the longest words is
+walked byte by byte, so a very long word costs time in proportion to its bytes. The vocabulary comes from a byte-level BPE file: tokens that begin with its
 space mark start words, others continue them, and all single bytes do both, so any word can be cut. Words are runs of
 bytes other than white space (0x20, 0x09 to 0x0D). Tables go to executors in one broadcast; their size is bounded by the vocabulary's.
 
-Null and empty texts count 0. Repeated rows get equal results. An empty table gives an empty result. Other columns are ignored.
+Null and empty texts count 0. Ties: none, as a longest match is unique. Repeated rows get equal results. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from keyloom.llm import textops
 
 START, REST = 0, 1
+#: A step of one lane alone costs about as much as this many steps of the plain walk.
+FEW_LANES = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -56,6 +59,19 @@ class Automaton:
     nodes: np.ndarray  # where the edge leads
     fail: np.ndarray
     pops: np.ndarray
+    plain: tuple | None = None  # the same tables for the plain walk, made in a task that needs them
+
+    def walk(self, node: int, data: bytes) -> tuple[int, int]:
+        """(node, pieces popped) after reading ``data`` from a node on."""
+        if self.plain is None:
+            self.plain = dict(zip(self.keys.tolist(), self.nodes.tolist(), strict=True)), self.fail.tolist(), self.pops.tolist()
+        (edges, fail, pops), total = self.plain, 0
+        for b in data:
+            while (to := edges.get(node << 8 | b)) is None:
+                total += pops[node]
+                node = fail[node]
+            node = to
+        return node, total
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The next node, or -1."""
@@ -73,6 +89,11 @@ class Automaton:
         live = len(order)
         for k in range(int(size[0]) if live else 0):
             live = int(np.searchsorted(-size[:live], -k, side="left"))
+            if live < FEW_LANES:
+                for i in range(live):
+                    node[i], more = self.walk(int(node[i]), buf[a[i] + k : a[i] + size[i]].tobytes())
+                    total[i] += more
+                break
             byte = buf[a[:live] + k].astype(np.int64)
             here = node[:live]
             to = self.step(here, byte)
