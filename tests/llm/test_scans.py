@@ -2,9 +2,13 @@
 
 import hashlib
 import random
+import re
+import string
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from keyloom.llm import decontaminate, secrets, wordpiece
@@ -48,6 +52,34 @@ def test_random_keys_of_all_lengths_are_novel(letters):
                 assert all(any(s <= a and a + n <= e for s, e in spans) for a in at), (n, text)
 
 
+READABLE = """billing_service_worker_pool_2 getUserAccountBalanceV2Request 2024-01-15-backup-rotation-policy /usr/local/share/applications/v2/index
+com/example/project/module/Class3 release-candidate-build-2023-11 kubernetes-deployment-replicas-3 user_profile_image_thumbnail_256x256 mysql-primary-eu-west-1-instance-04
+2024-06-30T12-45-59-export-report SessionTokenValidatorFactory2 the-quick-brown-fox-jumps-over-13-lazy-dogs MAX_CONNECTION_POOL_SIZE_1024 v1_feature_store_embedding_table
+annual-report-fiscal-year-2023-final-v2 production-database-replica-07 HttpRequestHandlerFactoryV12 customer_invoice_total_2023_q4 s3/backup/bucket/region/2021-03-04
+error_rate_threshold_percent_95 orders-service-2019-12-31-snapshot payment_gateway_timeout_seconds_30 nightly-build-2022-08-17-linux-x64 DefaultHttpClientConnectionPool4
+application/json/v3/schema/user config_environment_production_v2 inventory-sync-worker-queue-12 email_template_password_reset_v5 docs/guides/getting-started-2
+LegacyCustomerAddressMapper2 analytics-pipeline-stage-3-output frontend_bundle_hash_manifest_1 2018-07-04_2018-07-11_weekly_export""".split()
+
+
+def test_random_keys_are_told_from_readable_names(spark):
+    """Without training, 5 in 6 names are known to be readable; with a corpus that has their words, more. Random keys are found all the same."""
+    r = random.Random(3)
+    vocabulary = sorted({w.lower() for name in READABLE for w in re.findall(r"[A-Za-z][a-z]{3,}", name)})
+    docs = spark.createDataFrame([(i, " ".join(r.choices(vocabulary, k=60))) for i in range(300)], "doc_id bigint, text string")
+    trained = secrets.train(docs)
+    assert len(trained) > 60 and trained == secrets.train(docs.repartition(5)) and secrets.train(docs.limit(0)) == ()
+    around = "auth settings of the service follow. " * 8
+    for words, most in (((), 6), (trained, 2)):
+        novelty, found = secrets.Novelty(words), 0
+        names = [x for x in READABLE if secrets.find(f"{around}key: {x}\n", True, True, 0.9, novelty)]
+        assert len(names) <= most, names
+        for k in range(1000):
+            letters = string.ascii_letters + string.digits + "+/" if k % 2 else string.digits + string.ascii_uppercase[: r.choice([6, 26])]
+            key = "A1" + "".join(r.choices(letters, k=r.randint(18, 90)))
+            found += bool(secrets.find(f"{around}key: {key}\n", False, True, 0.9, novelty))
+        assert found >= 990, found
+
+
 def test_values_of_assignments_and_words_between(spark):
     lead = ["PRIVATE_KEY=", "auth=", "export SESSION_SALT=", "https://a.example/?x=1&signature=", "--auth-key=", "auth header value: ", "signing_key_id = '", "key:", "cookie: id=", "key" + "." * 40]
     pad = ["", "=", "==", "'", "\n", "&next=1"]
@@ -123,13 +155,34 @@ def test_decontamination_edges(spark):
     assert (kept.text, kept.k0) == (item, 3)
 
 
+def test_decontamination_compares_bytes(spark, monkeypatch):
+    """With a hash that confuses words of one length, the windows are still told apart by their bytes."""
+    monkeypatch.setattr(decontaminate.textops, "word_hashes", lambda buf, a, b: (b - a).astype(np.uint64))
+    table = decontaminate.Table([("1", "aa bb cc"), ("2", "aa bb dd"), ("3", "aa bb cc dd")], 3)
+    docs = decontaminate.Words(pa.array(["xx AA bb cc yy", "aa bb ee", None, "aa-bb-dd"], pa.large_string()))
+    hit, items = decontaminate.hits(docs, table)
+    assert hit.tolist() == [False, True, True, True, False, False, False, False, True, True, True] and items == [{"1", "3"}, set(), set(), {"2"}]
+
+
+def test_decontamination_in_many_blocks_equals_one(spark):
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(r.choices(words, k=r.randint(1, 40)))) for k in range(400)] + [(k, " ".join(words[:30])) for k in range(400, 440)]
+    docs = [(i, " ".join(r.choices(words, k=50) + r.choice(items)[1].split() + r.choices(words, k=r.randint(0, 500)))) for i in range(100)] * 2 + [(900, None), (None, items[3][1])]
+    docs += [(901, " ".join(r.choices(words, k=400_000) + items[5][1].split()))]
+    d, b = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, h1 int"), spark.createDataFrame(items, "item_id bigint, text string")
+    one, many = (sorted((tuple(str(x) for x in r) for r in decontaminate.scan(d, b, keep=("h1",), **how).collect())) for how in ({}, {"block_words": 500}))
+    assert one == many and len(one) == len(docs)
+
+
 def test_wu_manber_across_lanes():
     r = np.random.default_rng(1)
     h = r.integers(0, 3, 5000).astype(np.uint64)
     grid = np.unique(np.lib.stride_tricks.sliding_window_view(h, 5)[r.integers(0, 4990, 30)], axis=0)
-    p = decontaminate.Patterns(grid, [np.array([k]) for k in range(len(grid))])
-    end, row = p.find(h)
-    got = sorted((int(e), tuple(p.grid[k])) for e, k in zip(end, row, strict=True))
+    items = grid.reshape(-1)
+    p = decontaminate.Patterns(items, 5, np.arange(len(grid)) * 5, np.arange(len(grid) + 1), np.arange(len(grid)))
+    end, row = p.find(h, items)
+    got = sorted((int(e), tuple(items[p.where[k] : p.where[k] + 5])) for e, k in zip(end, row, strict=True))
     known = {tuple(x) for x in grid}
     assert got == sorted((i + 4, tuple(h[i : i + 5])) for i in range(len(h) - 4) if tuple(h[i : i + 5]) in known)
 
@@ -164,3 +217,27 @@ def test_automaton_on_a_small_vocabulary():
     ends = np.cumsum([len(w) for w in words])
     out = auto.lengths(buf, ends - [len(w) for w in words], ends)
     assert out.tolist() == [brute.greedy_pieces(w, starts, rest) for w in words]
+
+
+def test_long_words(vocab):
+    auto = wordpiece.build(*vocab)
+    r = random.Random(2)
+    words = ["".join(r.choices(string.ascii_letters + string.digits, k=n)).encode() for n in (100_000, 60_000, 3)] + [b"ab" * 50_000, "語".encode() * 30_000]
+    words += ["".join(r.choices("theand", k=r.randint(1, 40))).encode() for _ in range(200)]  # lanes enough for steps in numpy first
+    words = words[:-10] + [b"x" * 20_000] + words[-10:]
+    buf, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    start, rest = vocab
+    most = max(map(len, start | rest))
+
+    def greedy(word):
+        n = at = 0
+        while at < len(word):
+            at += max(k for k in range(1, min(most, len(word) - at) + 1) if word[at : at + k] in (rest if at else start))
+            n += 1
+        return n
+
+    assert auto.lengths(buf, ends - [len(w) for w in words], ends).tolist() == [greedy(w) for w in words]
+    long = np.frombuffer("".join(r.choices(string.ascii_letters + "+/", k=10_000_000)).encode(), np.uint8)
+    began = time.perf_counter()
+    assert auto.lengths(long, np.array([0]), np.array([len(long)]))[0] > 1_000_000
+    assert time.perf_counter() - began < 60
