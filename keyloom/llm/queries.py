@@ -144,9 +144,9 @@ r0 AS (SELECT page_id, row_number() OVER () AS id, CASE WHEN strpos(url, '://')
 r1 AS (SELECT *, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM r0),
 r2 AS (SELECT page_id, id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM r1),
 fit AS (SELECT id, arg_max(rule, (length(rule), rule)) AS rule, arg_max(verdict, (length(rule), rule)) AS ruled FROM r2 JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY id),
-b AS (SELECT r2.*, rule, ruled, '^^' || regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9./\-_~%=&+]', '*', 'g') || '$' AS s FROM r2 LEFT JOIN fit USING (id)),
-g AS (SELECT id, ruled, substr(s, i, 3) AS g FROM b, LATERAL (SELECT unnest(range(1, length(s) - 1)) AS i)),
-seen AS (SELECT g, substr(g, 1, 2) AS ab, substr(g, 2, 2) AS bc, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS k FROM g GROUP BY g),
+b AS (SELECT r2.*, rule, ruled, substr(md5(host || path), 1, 1) < '4' AS held, '^^' || regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9./\-_~%=&+]', '*', 'g') || '$' AS s FROM r2 LEFT JOIN fit USING (id)),
+g AS (SELECT id, ruled, held, substr(s, i, 3) AS g FROM b, LATERAL (SELECT unnest(range(1, length(s) - 1)) AS i)),
+seen AS (SELECT g, substr(g, 1, 2) AS ab, substr(g, 2, 2) AS bc, count(*) FILTER (ruled = 'allow' AND NOT held) AS a, count(*) FILTER (ruled = 'block' AND NOT held) AS k FROM g GROUP BY g),
 pairs AS (SELECT bc, substr(bc, 1, 1) AS b, substr(bc, 2, 1) AS c, sum(a) AS a, sum(k) AS k FROM seen GROUP BY bc),
 singles AS (SELECT c, sum(a) AS ca, sum(k) AS ck FROM pairs GROUP BY c),
 whole AS (SELECT sum(ca) AS na, sum(ck) AS nk FROM singles),
@@ -156,9 +156,10 @@ low AS (SELECT bc, CASE WHEN ba > 0 THEN (a + ta * ((ca + 1.0::DOUBLE) / (na + 4
   FROM pairs JOIN ub USING (b) JOIN singles USING (c), whole),
 v AS (SELECT g, CAST(round((ln(CASE WHEN aa > 0 THEN (a + taa * pa) / (aa + taa) ELSE pa END) - ln(CASE WHEN ak > 0 THEN (k + tak * pk) / (ak + tak) ELSE pk END)) * 1000000) AS BIGINT) AS v FROM seen JOIN uab USING (ab) JOIN low USING (bc)),
 sc AS (SELECT id, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*)) AS BIGINT) AS ratio FROM g JOIN v USING (g) GROUP BY id),
-bins AS (SELECT CAST(floor(ratio / 10000.0) AS BIGINT) AS bin, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS k FROM sc JOIN b USING (id) WHERE ruled IS NOT NULL GROUP BY 1),
+bins AS (SELECT CAST(floor(ratio / 10000.0) AS BIGINT) AS bin, count(*) FILTER (ruled = 'allow') AS a, count(*) FILTER (ruled = 'block') AS k FROM sc JOIN b USING (id) WHERE ruled IS NOT NULL AND held GROUP BY 1),
 cum AS (SELECT bin, sum(a) OVER () AS sa, sum(k) OVER () AS sk, coalesce(sum(a) OVER w, 0) AS ua, coalesce(sum(k) OVER w, 0) AS uk FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-lim AS (SELECT arg_max(bin, (uk * sa - ua * sk, -bin)) * 10000 AS t FROM cum WHERE sa > 0 AND sk > 0)
+best AS (SELECT arg_max(bin, (uk * sa - ua * sk, -bin)) * 10000 AS t FROM cum WHERE sa > 0 AND sk > 0),
+lim AS (SELECT CASE WHEN na > 0 AND nk > 0 THEN coalesce((SELECT max(t) FROM best), 0) END AS t FROM whole)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN t IS NULL OR ratio >= t THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN ruled IS NULL AND t IS NOT NULL THEN ratio END AS ratio
 FROM b JOIN sc USING (id), (SELECT max(t) AS t FROM lim)
 """

@@ -1,29 +1,35 @@
 """URL filter: host and path rules, and for the rest a ratio of two character language models.
 
-Rules decide where they fit. Urls that rules allow or block train two variable-order Markov models (trigrams, backing
+Rules decide where they fit. Of the urls that rules allow or block three quarters train two variable-order Markov models (trigrams, backing
 off to bigrams and single characters with Witten-Bell weights) of host and path. Any other url is judged by the difference of its log-likelihoods,
-divided by its length, against a threshold calibrated on the urls with a rule: the value that separates them best
-(Youden's J over steps of 0.01 nats).
+divided by its length, against a threshold calibrated on the last quarter, which the models have not seen: the value that separates them best
+(Youden's J over steps of 0.01 nats), or 0 where that quarter has no allowed or no blocked url. A url's quarter hangs on a hash of host and path.
 
-Everything is DataFrame expressions. Characters are mapped to ``SYMBOLS`` and a mark for others, so a model has at most
-48**3 = 110,592 trigrams whatever the input: that bound is why it may be broadcast. A url's trigrams are summed within
-the task that made them before anything is shuffled.
+Everything is DataFrame expressions. Characters are mapped to ``SYMBOLS`` and a mark for others, so a model has 48**3 = 110,592
+trigrams whatever the input: that bound is why it may be broadcast, and be made in one task. A url's trigrams are summed within
+the task that made them before anything is shuffled. Up to ``FEW_RULES`` rules are one expression; more are joined by the suffixes of hosts.
 
-A null url, or one without ``://``, has an empty host and path: no rule fits it, and the models judge the empty string. If rules allow none or
-block none, urls without a rule are allowed. Repeated rows get equal verdicts. An empty table gives an empty result. Other columns are ignored or,
-with ``keep``, passed on.
+A null url, or one without ``://``, has an empty host and path: no rule fits it, and the models judge the empty string. Of rules of equal length that fit
+the one that sorts last wins, and of equal rules the last. If rules allow none or block none, urls without a rule are allowed. A very long url takes
+time in proportion to its length. Repeated rows get equal verdicts. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.llm.textops import checkpointed
+
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789./-_~%=&+"  # 45, and "^" start, "$" end, "*" other
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ALL = SYMBOLS + "^$*"
+N = len(ALL)
 MICRO = 1_000_000
 STEP = 10_000
-MOST_RULES = 500
+FEW_RULES = 100
+MOST_BROADCAST_RULES = 200_000
+BOTH = ("allow", "block")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -37,64 +43,71 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; ``rules`` are (verdict, "host/path")."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
-    rule = verdict = F.lit(None).cast("string")
-    for v, r in sorted(rules, key=lambda x: (len(x[1]), x[1])):
+    if not rules:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
+    rule = verdict = F
+    for _, (v, r) in sorted(enumerate(rules), key=lambda x: (len(x[1][1]), x[1][1], x[0]), reverse=True):  # the first that fits counts
         h, _, p = r.partition("/")
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(f"/{p}")
-        rule, verdict = F.when(fits, r).otherwise(rule), F.when(fits, v).otherwise(verdict)
+        rule, verdict = rule.when(fits, F.lit(r)), verdict.when(fits, F.lit(v))
     return rule, verdict
 
 
-def spelled(host: Column, path: Column) -> Column:
-    """The string that the models see, two start marks and an end mark included."""
+def with_rule(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """``urls`` (with host and path) and the rule and verdict of the longest rule that fits."""
+    if len(rules) <= FEW_RULES:
+        rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
+        return urls.withColumn("rule", rule).withColumn("verdict", verdict)
+    made = ((*r.partition("/")[::2], r, v, i) for i, (v, r) in enumerate(rules))
+    table = urls.sparkSession.createDataFrame([(h, f"/{p}", r, v, i) for h, p, r, v, i in made], "h string, p string, rule string, verdict string, i int")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = urls.select("host", "path").distinct().withColumn("h", F.explode(suffixes))
+    fits = asked.join(F.broadcast(table) if len(rules) <= MOST_BROADCAST_RULES else table, "h").where(F.col("path").startswith(F.col("p")))
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule", "i")).alias("r"))
+    return urls.join(best, ["host", "path"], "left").withColumn("rule", F.col("r.rule")).withColumn("verdict", F.col("r.verdict")).drop("r")
+
+
+def symbols(host: Column, path: Column) -> Column:
+    """The codes of a url's characters, two start marks and an end mark included."""
     text = F.regexp_replace(F.translate(F.concat(host, path), UPPER, LOWER), f"[^{SYMBOLS}]".replace("-", r"\-").replace("/", r"\/"), "*")
-    return F.concat(F.lit("^^"), text, F.lit("$"))
+    return F.transform(F.split(F.concat(F.lit("^^"), text, F.lit("$")), ""), lambda c: F.instr(F.lit(ALL), c) - 1)
 
 
 def with_grams(rows: DataFrame) -> DataFrame:
-    """A row for every trigram of column ``s``."""
-    return rows.withColumn("g", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substring(F.col("s"), i, F.lit(3)))))
-
-
-def ratios(judged: DataFrame) -> DataFrame:
-    """(g, v): for every trigram of any url, the log of its likelihood ratio allow : block in millionths of a nat."""
-    seen = with_grams(judged).groupBy("g").agg(*(F.sum((F.col("verdict") == v).cast("bigint")).alias(v) for v in ("allow", "block")))
-    seen = seen.select("g", F.substring("g", 1, 2).alias("ab"), F.substring("g", 2, 2).alias("bc"), F.substring("g", 2, 1).alias("b"), F.substring("g", 3, 1).alias("c"), *(F.coalesce(v, F.lit(0)).alias(v) for v in ("allow", "block")))
-    size = len(SYMBOLS) + 2
-
-    def table(key: str, v: str) -> list[Column]:  # tokens and types after a context
-        return [F.sum(v).alias(f"n_{key}_{v}"), F.sum((F.col(v) > 0).cast("bigint")).alias(f"t_{key}_{v}")]
-
-    both = ("allow", "block")
-    pairs = seen.groupBy("bc").agg(F.first("b").alias("b"), F.first("c").alias("c"), *(F.sum(v).alias(v) for v in both))
-    singles = pairs.groupBy("c").agg(*(F.sum(v).alias(f"n_c_{v}") for v in both))
-    after_b = pairs.groupBy("b").agg(*(x for v in both for x in table("b", v)))
-    whole = singles.agg(*(F.sum(f"n_c_{v}").alias(f"n_{v}") for v in both))
-    after_ab = seen.groupBy("ab").agg(*(x for v in both for x in table("ab", v)))
-    lower = pairs.join(F.broadcast(after_b), "b").join(F.broadcast(singles), "c").join(F.broadcast(whole), F.lit(True))
-    for v in both:
-        p0 = (F.col(f"n_c_{v}") + 1) / (F.col(f"n_{v}") + size)
-        p1 = (F.col(v) + F.col(f"t_b_{v}") * p0) / (F.col(f"n_b_{v}") + F.col(f"t_b_{v}"))
-        lower = lower.withColumn(f"p_{v}", F.when(F.col(f"n_b_{v}") > 0, p1).otherwise(p0))
-    full = seen.join(F.broadcast(after_ab), "ab").join(F.broadcast(lower.select("bc", "p_allow", "p_block")), "bc")
+    """A row for every trigram code of column ``codes``."""
+    c = F.col("codes")
+    return rows.withColumn("g", F.explode(F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: (F.element_at(c, i) * N + F.element_at(c, i + 1)) * N + F.element_at(c, i + 2)))).drop("codes")
+
+
+def ratios(trained: DataFrame) -> DataFrame:
+    """(g, v): for every trigram code, the log of its likelihood ratio allow : block in millionths of a nat, from the rows' verdicts and codes. One task makes the table, which has N**3 rows."""
+    seen = checkpointed(with_grams(trained.select("verdict", "codes")).groupBy("g").agg(*(F.sum((F.col("verdict") == v).cast("bigint")).alias(v) for v in BOTH)))
+    grid = trained.sparkSession.range(0, N**3, 1, 1).select(F.col("id").cast("int").alias("g")).join(F.broadcast(seen), "g", "left")
+    g = F.col("g")
+    grid = grid.select("g", F.floor(g / N).alias("ab"), (g % N**2).alias("bc"), (F.floor(g / N) % N).alias("b"), (g % N).alias("c"), *(F.coalesce(v, F.lit(0)).alias(v) for v in BOTH))
+    ab, bc, b, c, whole = (Window.partitionBy(*k) for k in (["ab"], ["bc"], ["b"], ["c"], []))
+    grid = grid.withColumns({f"{k}_{v}": F.sum(v).over(w) for v in BOTH for k, w in (("ab", ab), ("bc", bc), ("b", b), ("c", c), ("n", whole))})
+    # a pair stands in N rows of the grid, one for each symbol before it
+    grid = grid.withColumns({f"t_ab_{v}": F.sum((F.col(v) > 0).cast("bigint")).over(ab) for v in BOTH} | {f"t_b_{v}": (F.sum((F.col(f"bc_{v}") > 0).cast("bigint")).over(b) / N).cast("bigint") for v in BOTH})
     logs = {}
-    for v in both:
-        p2 = (F.col(v) + F.col(f"t_ab_{v}") * F.col(f"p_{v}")) / (F.col(f"n_ab_{v}") + F.col(f"t_ab_{v}"))
-        logs[v] = F.log(F.when(F.col(f"n_ab_{v}") > 0, p2).otherwise(F.col(f"p_{v}")))
-    return full.select("g", F.round((logs["allow"] - logs["block"]) * MICRO).cast("bigint").alias("v"))
+    for v in BOTH:
+        p0 = (F.col(f"c_{v}") + 1) / (F.col(f"n_{v}") + N - 1)
+        p1 = F.when(F.col(f"b_{v}") > 0, (F.col(f"bc_{v}") + F.col(f"t_b_{v}") * p0) / (F.col(f"b_{v}") + F.col(f"t_b_{v}"))).otherwise(p0)
+        p2 = F.when(F.col(f"ab_{v}") > 0, (F.col(v) + F.col(f"t_ab_{v}") * p1) / (F.col(f"ab_{v}") + F.col(f"t_ab_{v}"))).otherwise(p1)
+        logs[v] = F.log(p2)
+    return checkpointed(grid.select("g", F.round((logs["allow"] - logs["block"]) * MICRO).cast("bigint").alias("v")))
 
 
 def scored(rows: DataFrame, model: DataFrame, columns: list[str]) -> DataFrame:
-    """The ``columns`` of rows and ``ratio``, the mean of v over the trigrams of s (in millionths, rounded down)."""
-    grams = with_grams(rows.withColumn("_row", F.monotonically_increasing_id())).join(F.broadcast(model), "g")
-    return grams.groupBy("_row").agg(*(F.first(c).alias(c) for c in columns), F.floor(F.sum("v") / F.count("v")).alias("ratio")).drop("_row")
+    """The ``columns`` of rows and ``ratio``, the mean of v over their trigrams (in millionths, rounded down)."""
+    grams = with_grams(rows.select(*columns, "codes").withColumn("_row", F.monotonically_increasing_id())).join(F.broadcast(model), "g")
+    return grams.groupBy("_row", *columns).agg(F.floor(F.sum("v") / F.count("v")).alias("ratio")).drop("_row")
 
 
 def threshold(ratios_: DataFrame) -> int | None:
     """The ratio, a multiple of STEP, at or above which urls are allowed: it separates urls with a rule best. None if one side is empty."""
-    bins = ratios_.groupBy(F.floor(F.col("ratio") / STEP).alias("bin")).agg(*(F.sum((F.col("verdict") == v).cast("bigint")).alias(v) for v in ("allow", "block"))).orderBy("bin").collect()
+    bins = ratios_.groupBy(F.floor(F.col("ratio") / STEP).alias("bin")).agg(*(F.sum((F.col("verdict") == v).cast("bigint")).alias(v) for v in BOTH)).orderBy("bin").collect()
     allow, block = sum(r.allow for r in bins), sum(r.block for r in bins)
     if not allow or not block:
         return None
@@ -109,17 +122,18 @@ def threshold(ratios_: DataFrame) -> int | None:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], *, id_col="page_id", url_col="url") -> DataFrame:
     """Per row: id, host, path, rule, verdict, ratio (null where a rule decides)."""
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     host, path = parts(F.col("url"))
-    base = base.select("id", host.alias("host"), path.alias("path"))
-    rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("s", spelled(F.col("host"), F.col("path")))
-    model = ratios(base)
-    limit = threshold(scored(base.where("verdict is not null"), model, ["verdict"]))
-    ruled = base.where("verdict is not null").select("id", "host", "path", "rule", "verdict", F.lit(None).cast("bigint").alias("ratio"))
-    rest = base.where("verdict is null")
-    if limit is None:
-        rest = rest.select("id", "host", "path", "rule", F.lit("allow").alias("verdict"), F.lit(None).cast("bigint").alias("ratio"))
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"))
+    base = with_rule(base, rules).withColumn("codes", symbols(F.col("host"), F.col("path")))
+    ruled, rest = base.where("verdict is not null"), base.where("verdict is null")
+    held = F.substring(F.md5(F.concat("host", "path")), 1, 1) < "4"
+    trained = ruled.where(~held)
+    sides = {r.verdict for r in trained.select("verdict").distinct().collect()}
+    none = F.lit(None).cast("bigint")
+    if len(sides) < 2:
+        rest = rest.select("id", "host", "path", "rule", F.lit("allow").alias("verdict"), none.alias("ratio"))
     else:
+        model = ratios(trained)
+        limit = threshold(scored(ruled.where(held), model, ["verdict"])) or 0
         rest = scored(rest, model, ["id", "host", "path", "rule"]).select("id", "host", "path", "rule", F.when(F.col("ratio") >= limit, "allow").otherwise("block").alias("verdict"), "ratio")
-    return ruled.unionByName(rest).withColumnRenamed("id", id_col)
+    return ruled.select("id", "host", "path", "rule", "verdict", none.alias("ratio")).unionByName(rest).withColumnRenamed("id", id_col)
