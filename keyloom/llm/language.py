@@ -1,13 +1,17 @@
 """Language identification by hierarchical discrimination.
 
 First a linear support vector machine for each language family (against the others) picks the family; then one-versus-one
-linear machines separate the languages within it, by votes and, on a tie, by the sum of margins. Features are the
-relative frequencies of byte trigrams of the whole lower-cased text (everything but letters is a space), hashed to
-``2 ** bits``. Machines are fitted on the driver to a bounded sample: ``per_language`` texts of each language, the least by
-a hash of the text, of ``most_chars`` characters at most each, for the ``most_languages`` commonest languages; every text is then scored whole, in place.
+linear machines separate the languages within it, by votes and, on a tie, by the sum of margins; where margins of families tie, the first by name
+is taken. Features are the relative frequencies of byte trigrams of the whole lower-cased text (everything but letters is a space), hashed to
+``2 ** bits``. Every text is scored whole, in place, however long it is.
+
+Machines are fitted on the driver to a bounded sample: at most ``sample_rows`` distinct texts, shared equally by the ``most_languages`` commonest languages
+(``per_language`` each at most), the least by a hash of the text. Of a text that is longer than its share of ``sample_chars`` one stretch of that length is
+taken, at a place that the hash tells. The matrix has ``cells`` entries at most: with many rows, only the features that vary most. So the
+driver's memory has one bound, whatever the number of languages.
 
 Texts that are null or have no letter are ``und`` with score 0; so are all texts if there was nothing to learn from. With a
-single language that language is the answer. Repeated rows get equal results. An empty table gives an empty result.
+single language that language is the answer. Repeated rows get equal results. An empty table gives an empty result. Other columns are ignored or, with ``keep``, passed on.
 """
 
 from __future__ import annotations
@@ -68,50 +72,61 @@ def grams(col, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
-def vectors(texts: list[str], bits: int) -> np.ndarray:
-    """A row of relative trigram frequencies for each text."""
-    x = np.zeros((len(texts), 1 << bits), np.float32)
-    for i, t in enumerate(texts):
-        g, _ = grams(pa.array([t], pa.large_string()), bits)
-        x[i] = np.bincount(g, minlength=(1 << bits) + 1)[:-1]
-        x[i] /= max(1, x[i].sum())
-    return x
+def frequencies(text: str, bits: int) -> np.ndarray:
+    """Relative trigram frequencies of a text."""
+    g, _ = grams(pa.array([text], pa.large_string()), bits)
+    x = np.bincount(g, minlength=(1 << bits) + 1)[:-1].astype(np.float64)
+    return x / max(1, x.sum())
 
 
-def svm(x: np.ndarray, y: np.ndarray, rounds=150, ridge=1e-4, rate=1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent on the squared hinge, both classes with equal weight."""
+def svm(parts: list[np.ndarray], y: np.ndarray, rounds=150, ridge=1e-4, rate=1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated gradient descent on the squared hinge, both classes with equal weight. The rows come in parts, so that none is copied."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    top = np.sqrt((x * x).sum(1).max()) ** 2 + 1
-    w, b, wv, bv = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
+    top = max(float(np.einsum("ij,ij->i", p, p).max()) for p in parts if len(p)) + 1
+    at = np.cumsum([0, *map(len, parts)])
+    w, b, wv, bv = np.zeros(parts[0].shape[1]), 0.0, np.zeros(parts[0].shape[1]), 0.0
     step = rate / (2 * top)
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ wv.astype(np.float32) + bv))
+        w32 = wv.astype(np.float32)
+        slack = np.maximum(0, 1 - y * (np.concatenate([p @ w32 for p in parts]) + bv))
         g = share * slack * y * 2
-        nw = wv + step * ((g.astype(np.float32) @ x) - ridge * wv)
+        g32 = g.astype(np.float32)
+        nw = wv + step * (sum(g32[at[k] : at[k + 1]] @ p for k, p in enumerate(parts)) - ridge * wv)
         nb = bv + step * g.sum()
         k = t / (t + 3)
         wv, bv, w, b = nw + k * (nw - w), nb + k * (nb - b), nw, nb
     return w, b
 
 
-def fit(texts: list[str], languages: list[str], *, bits: int) -> Model:
+def fit(texts: list[str], languages: list[str], *, bits: int, cells: int = 16_000_000) -> Model:
+    """The machines. ``cells`` bounds the matrix of rows by features (64 MB by default), of which no copy is made."""
     names = sorted(set(languages))
     families = sorted({family(x) for x in names})
     tasks: list[tuple] = [("family", f) for f in families] if len(families) > 1 else []
     tasks += [("pair", a, b) for f in families for a, b in combinations([x for x in names if family(x) == f], 2)]
     weights, bias = np.zeros(((1 << bits) + 1, len(tasks)), np.float32), np.zeros(len(tasks))
     if tasks:
-        x = vectors(texts, bits)
-        scale = 1 / (x.std(0) + 1e-5)
-        x *= scale
-        x /= np.sqrt(x.shape[1])
-        lang = np.array(languages)
-        fam = np.array([family(v) for v in languages])
+        order = np.argsort(languages, kind="stable")  # so that each language has adjacent rows
+        lang = np.array(languages)[order]
+        total, square = np.zeros(1 << bits), np.zeros(1 << bits)
+        for i in order:
+            f = frequencies(texts[i], bits)
+            total += f
+            square += f * f
+        spread = np.sqrt(np.maximum(0, square / len(lang) - (total / len(lang)) ** 2))
+        most = max(1, cells // len(lang))
+        used = np.arange(1 << bits) if most >= 1 << bits else np.sort(np.argsort(-spread, kind="stable")[:most])
+        scale = 1 / (spread[used] + 1e-5) / np.sqrt(len(used))
+        x = np.empty((len(lang), len(used)), np.float32)
+        for k, i in enumerate(order):
+            x[k] = frequencies(texts[i], bits)[used] * scale
+        rows = {v: slice(int(np.searchsorted(lang, v)), int(np.searchsorted(lang, v, "right"))) for v in names}
+        fam = np.array([family(v) for v in lang])
         for k, task in enumerate(tasks):
-            rows = np.ones(len(lang), bool) if task[0] == "family" else np.isin(lang, task[1:])
-            y = np.where(fam == task[1], 1.0, -1.0) if task[0] == "family" else np.where(lang[rows] == task[1], 1.0, -1.0)
-            w, bias[k] = svm(x if rows.all() else x[rows], y)
-            weights[:-1, k] = w * scale / np.sqrt(x.shape[1])
+            parts = [x] if task[0] == "family" else [x[rows[v]] for v in task[1:]]
+            y = np.where(fam == task[1], 1.0, -1.0) if task[0] == "family" else np.repeat([1.0, -1.0], [len(p) for p in parts])
+            w, bias[k] = svm(parts, y)
+            weights[used, k] = w * scale
     return Model(names, families, tasks, weights, bias)
 
 
@@ -145,25 +160,29 @@ def decide(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, np.clip(np.round(sure, 6), 0, 1)
 
 
-def sample(docs: DataFrame, allowed: Column, *, text_col: str, lang_col: str, per_language: int, most_chars: int, most_languages: int) -> tuple[list[str], list[str]]:
-    """(texts, languages). Counts come first, so that each language sends about twice what it may keep, however large it is."""
+def sample(docs: DataFrame, allowed: Column, *, text_col: str, lang_col: str, per_language: int, sample_rows: int, sample_chars: int, most_languages: int) -> tuple[list[str], list[str]]:
+    """(texts, languages). Distinct texts are counted first, so that each language sends about twice what it may keep, however large it is, and copies count once."""
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.length("text") <= most_chars).withColumn("h", F.xxhash64("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("texts"), "lang").limit(most_languages).collect()
     if not sizes:
         return [], []
+    each = max(1, min(per_language, sample_rows // len(sizes)))
+    stretch = max(1, sample_chars // (each * len(sizes)))
     rate = F.lit(None).cast("double")
     for r in sizes:
-        rate = F.when(F.col("lang") == r["lang"], 2.0 * per_language / r["count"] + 50.0 / r["count"]).otherwise(rate)
+        rate = F.when(F.col("lang") == r["lang"], (2.0 * each + 50.0) / max(1, r["texts"])).otherwise(rate)
     rows = rows.where(F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30))
-    picked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_language)
+    start = F.pmod(F.shiftright("h", 30), F.greatest(F.length("text") - stretch + 1, F.lit(1))) + 1
+    rows = rows.select("lang", "h", F.col("text").substr(start.cast("int"), F.lit(stretch)).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    picked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= each)
     got = sorted((r.lang, r.text) for r in picked.select("lang", "text").collect())
     return [t for _, t in got], [x for x, _ in got]
 
 
-def train(docs: DataFrame, allowed: Column, *, text_col="text", lang_col="lang", per_language=800, most_chars=20_000, most_languages=200, bits=13) -> Model:
+def train(docs: DataFrame, allowed: Column, *, text_col="text", lang_col="lang", per_language=800, sample_rows=4000, sample_chars=8_000_000, most_languages=200, bits=13) -> Model:
     """A model from the rows where ``allowed`` holds and the language is known."""
-    return fit(*sample(docs, allowed, text_col=text_col, lang_col=lang_col, per_language=per_language, most_chars=most_chars, most_languages=most_languages), bits=bits)
+    return fit(*sample(docs, allowed, text_col=text_col, lang_col=lang_col, per_language=per_language, sample_rows=sample_rows, sample_chars=sample_chars, most_languages=most_languages), bits=bits)
 
 
 def predict(docs: DataFrame, model: Model, *, id_col="doc_id", text_col="text", bits=13, keep: tuple[str, ...] = ()) -> DataFrame:
