@@ -14,9 +14,13 @@ components are then tested: per shingle, the members outside its largest compone
 link between two components is lost, while a group of k near copies costs about k tests rather than k squared.
 Star rounds repeat, with other centres, while they still save much of the exact rest.
 
+No task holds a hot group. A pair brings only the partner's set to a centre's: centres with more than ``PAIRS_PER_TASK`` pairs are cut into parts by the partner, and their
+own set is sent once a part. In the exact rest a shingle with much work is cut alike. Ids are broadcast below a size in bytes, beyond which the same joins shuffle.
+
 Null, empty and wordless texts have an empty set and are linked with nothing; with fewer than n words the whole
 sequence is the one shingle. Rows that share an id are one node. A null id is its own component (null). Repeated rows
-give repeated results. An empty table gives an empty result. Other columns are ignored.
+give repeated results. An empty table gives an empty result. Other columns are ignored. A very long text takes memory in proportion to itself; sizes are
+64-bit. Ties in the order of shingles don't matter, as it is total: bucket count, then hash.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from keyloom.llm.textops import checkpointed
 BLOCKS = 64
 PARITY_WORDS = 8
 PARTS = 1024
+PAIRS_PER_TASK = 256
 
 
 def shingle_sets(col, n: int) -> list[np.ndarray]:
@@ -167,41 +172,60 @@ def few_odd_parts(num: int, den: int) -> str:
 
 
 def within(rows: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """The rows whose id is in ``ids`` (distinct). Up to ``most`` ids are broadcast, so that rows stay where they are; more are joined by shuffle."""
-    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, "id", "left_semi")
+    """The rows whose id is in ``ids`` (distinct). Ids of up to ``most`` bytes are broadcast, so that rows stay where they are; more are joined by shuffle."""
+    return rows.join(textops.small(ids, most), "id", "left_semi")
+
+
+def heavy_sides(pairs: DataFrame) -> DataFrame:
+    """(side, id, parts) of ids with more than PAIRS_PER_TASK pairs on one side: at most one for each that many pairs."""
+    ends = pairs.select(F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("id")) for s in ("a", "b")))).alias("e")).groupBy("e.side", "e.id").count()
+    return checkpointed(ends.where(F.col("count") > PAIRS_PER_TASK).select("side", "id", F.ceil(F.col("count") / PAIRS_PER_TASK).cast("bigint").alias("parts")))
+
+
+def attached(pairs: DataFrame, sets: DataFrame, side: str, heavy: DataFrame, most: int) -> DataFrame:
+    """``pairs`` with the row of ``sets`` (one an id) for their end ``side``; ids that are heavy there are cut by the other end."""
+    mine = heavy.where(F.col("side") == side).select(F.col("id").alias(side), "parts")
+    if not mine.head(1):
+        return pairs.join(sets, side)
+    mine = textops.small(mine, most)
+    other = "b" if side == "a" else "a"
+    cut = pairs.join(mine, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))).drop("parts")
+    copies = sets.join(mine, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return cut.join(copies, [side, "part"]).drop("part")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, kind: str, most: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar. Whole sets are made, and shuffled, only for texts in pairs that part sizes allow."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     parts = checkpointed(part_sizes(within(texts, ids, most), n, kind))
+    heavy = heavy_sides(pairs)
 
     def side(s: str) -> DataFrame:
         return parts.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("parts").alias(f"p{s}"))
 
-    near = few_apart(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb"), num, den, kind)
-    near = checkpointed(near)
+    both = attached(attached(pairs, side("b"), "b", heavy, most), side("a"), "a", heavy, most)
+    near = checkpointed(few_apart(both.select("a", "b", "na", "nb", "pa", "pb"), num, den, kind))
 
     def sets(s: str) -> DataFrame:
-        made = full_sets(within(texts, near.select(F.col(s).alias("id")).distinct(), most), n, kind)
+        made = full_sets(within(texts, checkpointed(near.select(F.col(s).alias("id")).distinct()), most), n, kind)
         return made.select(F.col("id").alias(s), F.col("grams").alias(f"g{s}"))
 
-    both = near.join(sets("b"), "b").join(sets("a"), "a")
-    total = F.size("ga") + F.size("gb")
-    return both.where(F.size(F.array_intersect("ga", "gb")) * (num + den) >= num * total).select("a", "b").distinct()
+    both = attached(attached(near, sets("b"), "b", heavy, most), sets("a"), "a", heavy, most)
+    total = F.size("ga").cast("bigint") + F.size("gb")
+    return both.where(F.size(F.array_intersect("ga", "gb")).cast("bigint") * (num + den) >= num * total).select("a", "b").distinct()
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).where("a <> b").distinct()
 
 
-def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=100, sketch_bits=20, broadcast_ids=2_000_000, rest_factor=4, crowd=400) -> DataFrame:
+def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=100, sketch_bits=20, broadcast_bytes=64 << 20, rest_factor=4, crowd=400, work_per_task=1_000_000) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id (the least id reachable by links, its own included).
 
-    ``num / den`` is the least similarity. ``sketch_bits`` bounds the table of counts. Up to ``broadcast_ids`` ids
+    ``num / den`` is the least similarity. ``sketch_bits`` bounds the table of counts. Ids of up to ``broadcast_bytes``
     are broadcast to pick their rows; more are joined by shuffle. Star rounds end when the exact rest has at most
     ``rest_factor`` pairs per candidate posting before any filter, or when the last round saved less than a third of it. In the exact
-    rest, the suffix filter is for shingles with more than ``crowd`` such pairs.
+    rest, the suffix filter is for shingles with more than ``crowd`` such pairs, and those with more than ``work_per_task`` are cut into parts.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -209,11 +233,12 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
     counts = spark.sparkContext.broadcast(shingle_counts(texts, n, sketch_bits))
     scratch = textops.Scratch(spark)
     made = scratch.save(described(texts, counts, sketch_bits, n, num, den, kind), "described")
+    counts.destroy()
     key = ["n", "sig1", "sig2"]
     base = made.select("id", *key)
     classes = checkpointed(base.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep")))
-    postings = within(made, classes.select(F.col("rep").alias("id")).distinct(), broadcast_ids)
-    postings = postings.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
+    postings = within(made, checkpointed(classes.select(F.col("rep").alias("id")).distinct()), broadcast_bytes)
+    postings = postings.select("id", "n", F.posexplode("prefix").alias("pos", "gram")).withColumn("pos", F.col("pos").cast("bigint"))
     shared = postings.groupBy("gram").count().where("count > 1").select("gram")
     postings = scratch.save(postings.join(shared, "gram"), "postings")  # only those whose shingle some other set has in its prefix
     del shared
@@ -229,23 +254,24 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
     while total:
         final = False
         if round_no:
-            known = F.broadcast(labels) if labels.count() <= broadcast_ids else labels
+            known = textops.small(labels, broadcast_bytes)
             labelled = scratch.save(postings.join(known, postings["id"] == known["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component"), f"labelled{round_no}")
             per_gram = labelled.groupBy("gram", "comp").count().groupBy("gram").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("comps")).where("comps > 1")
             open_grams = checkpointed(per_gram.select("gram", F.col("top.comp").alias("top"), ((F.col("all") - F.col("top.count")) * F.col("all")).alias("work")))
             before, work = work, open_grams.agg(F.sum("work")).first()[0] or 0
             if not work:
                 break
-            labelled = labelled.join(open_grams.select("gram", "top", (F.col("work") > crowd).alias("crowded")), "gram")
+            labelled = labelled.join(open_grams.select("gram", "top", (F.col("work") > crowd).alias("crowded"), F.greatest(F.lit(1), F.ceil(F.col("work") / work_per_task)).cast("bigint").alias("parts")), "gram")
             final = work <= rest_factor * total or not grew or (before is not None and 3 * work > 2 * before)
         if final:
             def tests(rows: DataFrame, *more: str) -> DataFrame:
-                others = rows.select("gram", *(F.col(c).alias(f"c_{c}") for c in ("id", "n", "pos", "comp", *more)))
-                both = rows.where("comp <> top").join(others, "gram").where("comp <> c_comp").where(could_match(num, den))
+                part = F.pmod(F.xxhash64("id"), "parts").alias("part")
+                others = rows.select("gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"c_{c}") for c in ("id", "n", "pos", "comp", *more)))
+                both = rows.where("comp <> top").withColumn("part", part).join(others, ["gram", "part"]).where("comp <> c_comp").where(could_match(num, den))
                 return (both.where(few_odd_parts(num, den)) if more else both).select("id", "c_id")
 
             busy = labelled.where("crowded")
-            parity = within(made.select("id", "parity"), busy.select("id").distinct(), broadcast_ids)
+            parity = within(made.select("id", "parity"), checkpointed(busy.select("id").distinct()), broadcast_bytes)
             pairs = tests(labelled.where("not crowded")).union(tests(busy.join(parity, "id"), "parity"))
         else:
             pick = F.min(F.struct(F.xxhash64("comp", F.lit(round_no)), "comp", F.xxhash64("id", F.lit(round_no)), "id", "n", "pos")) if round_no else F.min(F.struct("id", "n", "pos", "comp"))
@@ -255,11 +281,11 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
-        new = checkpointed(verified(pairs, texts, n, num, den, kind, broadcast_ids))
+        new = checkpointed(verified(pairs, texts, n, num, den, kind, broadcast_bytes))
         grew = bool(new.head(1))
         textops.free_shuffles(spark)
         tested = pairs if tested is None else tested.union(pairs)
-        links = new if links is None else links.union(new)
+        links = new if links is None else checkpointed(links.union(new))
         if round_no:
             scratch.drop(f"labelled{round_no}")
         if grew:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 M1 = np.uint64(0xBF58476D1CE4E5B9)
 M2 = np.uint64(0x94D049BB133111EB)
@@ -162,11 +163,13 @@ def in_small_batches(df):
 
 
 def shared_folder(spark) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) one is chosen here."""
+    """The folder all executors share: the session's ``spark.checkpoint.dir``. Only where that is unset and Spark runs in this process alone (local tests) one is chosen here."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="checkpoints-")
@@ -180,6 +183,14 @@ def checkpointed(df, eager: bool = True):
     return df.checkpoint(eager)
 
 
+def small(rows, most_bytes: int = 64 << 20):
+    """``rows`` for a join, marked for broadcast if they take at most ``most_bytes``: their columns as text, and 32 bytes a row."""
+    size = F.lit(32).cast("bigint")
+    for c in rows.columns:
+        size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    return F.broadcast(rows) if (rows.agg(F.sum(size)).first()[0] or 0) <= most_bytes else rows
+
+
 class Scratch:
     """Tables written to the shared folder, compressed, and deleted when they have served. What a lazy result still reads stays."""
 

@@ -33,13 +33,56 @@ def got(spark, rows, **how):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df, **how).collect()), key=str)
 
 
-@pytest.mark.parametrize("seed, how", [(1, {}), (2, {"n": 5, "num": 80, "den": 100}), (3, {"crowd": 0, "rest_factor": 0}), (4, {"broadcast_ids": 0, "crowd": 0})])
+@pytest.mark.parametrize("seed, how", [(1, {}), (2, {"n": 5, "num": 80, "den": 100}), (3, {"crowd": 0, "rest_factor": 0}), (4, {"broadcast_bytes": 0, "crowd": 0}), (5, {"rest_factor": 0, "work_per_task": 5})])
 def test_equals_all_pairs(spark, seed, how):
     rows = corpus(seed, 70)
     full = {"n": 4, "num": 85, "den": 100}
     assert got(spark, rows, **how) == sorted(brute.components(rows, *({**full, **how}[k] for k in ("n", "num", "den"))), key=str)
 
 
+@pytest.mark.parametrize("most", [0, 64 << 20])
+def test_heavy_centres_are_cut(spark, monkeypatch, most):
+    """One centre with hundreds of partners, in parts of at most three pairs."""
+    monkeypatch.setattr(jaccard, "PAIRS_PER_TASK", 3)
+    r = random.Random(8)
+    text = [f"v{r.randrange(500)}" for _ in range(60)]
+    rows = [(k, " ".join([*text[:20], f"x{k}", *text[20 + k % 12 :]])) for k in range(200)] + corpus(9, 40)[20:]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    assert got(spark, rows, broadcast_bytes=most) == sorted(brute.components(rows, 4, 85, 100), key=str)
+
+
+def test_a_posting_with_thousands_of_unlike_members(spark):
+    """Texts of a tiny vocabulary share nearly all their shingles with thousands of others, and few of them are similar."""
+    r = random.Random(10)
+    rows = [(k, " ".join(r.choices("abc", k=r.randint(4, 40)))) for k in range(2500)]
+    sets = [frozenset(t[i : i + 7] for i in range(0, len(t) - 6, 2)) for _, t in rows]
+    link = list(range(len(rows)))
+
+    def root(i):
+        while link[i] != i:
+            i = link[i]
+        return i
+
+    by_size = sorted(range(len(rows)), key=lambda i: len(sets[i]))
+    for x, i in enumerate(by_size):
+        for j in by_size[x + 1 :]:
+            if 100 * len(sets[i]) < 85 * len(sets[j]):
+                break
+            k = len(sets[i] & sets[j])
+            if 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
+                a, b = sorted((root(i), root(j)))
+                link[b] = a
+    want = sorted([(k, len(sets[k]), root(k)) for k in range(len(rows))], key=str)
+    assert got(spark, rows) == want and got(spark, rows, work_per_task=2000) == want
+
+
+def test_filters_on_huge_sets(spark):
+    n = 20_000_000
+    rows = [(n, n, 1_000_000, 1_000_000, True), (n, n, 3_500_000, 0, False), (n, 16_900_000, 0, 0, False), (n, 17_100_000, 2_000_000, 0, True)]
+    df = spark.createDataFrame(rows, "n bigint, c_n bigint, pos bigint, c_pos bigint, want boolean").selectExpr("*", f"{jaccard.could_match(85, 100)} AS got")
+    assert all(r.got == r.want for r in df.collect()), df.collect()
+
+
 def test_group_of_near_copies_is_one_component(spark):
     r = random.Random(5)
     text = [f"v{r.randrange(500)}" for _ in range(120)]

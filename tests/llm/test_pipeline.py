@@ -104,8 +104,8 @@ def test_near_duplicates_decide_by_id_and_text(spark, small):
     rows = [(5, a, "x"), (5, b, "x"), (6, a + " end", "y"), (4, b, "z"), (None, c, "u"), (None, c, "v"), (None, d, "u"), (7, d, "w"), (8, c + " x", "t"), (9, "", "e"), (10, "", "e")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     want = {(5, a), (4, b), (8, c + " x"), (7, d), (9, ""), (10, "")}
-    for most in (2_000_000, 0):
-        out = corpus_pipeline.near_duplicates(spark, docs, small, most_ids=most)
+    for most in (64 << 20, 0):
+        out = corpus_pipeline.near_duplicates(spark, docs, small, most_bytes=most)
         assert out.columns == docs.columns
         got = [(x.doc_id, x.text) for x in out.collect()]
         assert len(got) == len(want) and set(got) == want
