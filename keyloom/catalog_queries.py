@@ -86,9 +86,9 @@ query("""SELECT c_custkey, o_orderkey, o_orderdate, o_totalprice, o_orderstatus
 # Scans
 
 
-@query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS position FROM nation")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders")
 def scan_forward(spark, d):
-    return OrderedTable(read(spark, d, "nation"), ["n_nationkey"], ["n_name"]).positions()
+    return orders(spark, d, rows_per_bucket=50_000).positions()
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 100")
@@ -159,10 +159,11 @@ def get_ex_count(spark, d):
     return found.select("c_custkey", "pk", "values", F.col("found.l_linenumber").alias("first_line"))
 
 
-@query("SELECT n_nationkey, pk, k, CASE WHEN k IS NULL THEN 'NOTFOUND' WHEN k = pk THEN 'SUCCESS' ELSE 'RESULT_TRUE' END AS status FROM (SELECT n_nationkey, n_nationkey * 600 - 1 AS pk, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey >= n_nationkey * 600 - 1) AS k FROM nation)")
+@query("SELECT c_custkey, pk, k, CASE WHEN k IS NULL THEN 'NOTFOUND' WHEN k = pk THEN 'SUCCESS' ELSE 'RESULT_TRUE' END AS status FROM (SELECT c_custkey, c_custkey * 31 // 2 - 1 AS pk, o_orderkey * 3 AS k FROM customer ASOF LEFT JOIN orders ON c_custkey * 31 // 2 - 1 <= o_orderkey * 3)")
 def get_equal_or_great(spark, d):
-    probes = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 600 - 1).alias("pk"))
-    return orders(spark, d).lower_bound(probes, ["pk"]).select("n_nationkey", "pk", F.col("found.o_orderkey").alias("k"), "status")
+    probes = read(spark, d, "customer").select("c_custkey", F.expr("c_custkey * 31 div 2 - 1").alias("pk"))
+    t = OrderedTable(read(spark, d, "orders").select((F.col("o_orderkey") * 3).alias("k")), ["k"])
+    return t.lower_bound(probes, ["pk"]).select("c_custkey", "pk", "found.k", "status")
 
 
 @query(f"SELECT c_custkey, pk FROM {PROBES} WHERE pk IN (SELECT o_orderkey FROM orders)")
@@ -203,24 +204,24 @@ for _op, (_sign, _agg) in OPS.items():
     query(f"SELECT e.event_id AS probe, e.user_id AS u, e.event_id - e.event_id % 4 AS v, {_agg}(h.event_id) AS hit FROM events e LEFT JOIN events h ON h.user_id = e.user_id AND h.event_id % 2 = 0 AND h.event_id {_sign} e.event_id - e.event_id % 4 GROUP BY ALL", f"exact_key_value_{_op}")(_within)
 
     def _pair(spark, d, op=_op):
-        probes = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 55 + 1).alias("pk"), F.lit(3).alias("pl"), F.lit(0).cast("bigint").alias("pp"), F.lit(0).cast("bigint").alias("ps"))
+        probes = read(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 149 + 1).alias("pk"), F.lit(3).alias("pl"), F.lit(0).cast("bigint").alias("pp"), F.lit(0).cast("bigint").alias("ps"))
         if op == "eq":
-            probes = read(spark, d, "lineitem").where("l_orderkey < 50").select(F.col("l_orderkey").alias("n_nationkey"), F.col("l_orderkey").alias("pk"), F.col("l_linenumber").alias("pl"), F.col("l_partkey").alias("pp"), (F.col("l_suppkey") - F.col("l_linenumber") % 2).alias("ps"))
+            probes = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("s_suppkey"), F.col("l_orderkey").alias("pk"), F.col("l_linenumber").alias("pl"), F.col("l_partkey").alias("pp"), (F.col("l_suppkey") - F.col("l_linenumber") % 2).alias("ps"))
         t = lines(spark, d, rows_per_bucket=50_000)
-        return t.nearest(probes, ["pk"], op, ["pl", "pp", "ps"]).select("n_nationkey", "pk", "pl", *(F.col(f"found.{c}").alias(c) for c in ["l_orderkey", *LINE]))
+        return t.nearest(probes, ["pk"], op, ["pl", "pp", "ps"]).select("s_suppkey", "pk", "pl", *(F.col(f"found.{c}").alias(c) for c in ["l_orderkey", *LINE]))
 
     _row = "(l_orderkey, l_linenumber, l_partkey, l_suppkey)"
     if _op == "eq":
-        _sql = "SELECT p.l_orderkey AS n_nationkey, p.l_orderkey AS pk, p.l_linenumber AS pl, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey FROM lineitem p LEFT JOIN lineitem l ON l.l_orderkey = p.l_orderkey AND l.l_linenumber = p.l_linenumber AND l.l_partkey = p.l_partkey AND l.l_suppkey = p.l_suppkey - p.l_linenumber % 2 WHERE p.l_orderkey < 50"
+        _sql = "SELECT p.l_orderkey AS s_suppkey, p.l_orderkey AS pk, p.l_linenumber AS pl, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey FROM lineitem p LEFT JOIN lineitem l ON l.l_orderkey = p.l_orderkey AND l.l_linenumber = p.l_linenumber AND l.l_partkey = p.l_partkey AND l.l_suppkey = p.l_suppkey - p.l_linenumber % 2"
     else:
-        _sql = f"SELECT n_nationkey, CAST(n_nationkey * 55 + 1 AS BIGINT) AS pk, 3 AS pl, x.a AS l_orderkey, x.b AS l_linenumber, x.c AS l_partkey, x.e AS l_suppkey FROM (SELECT n_nationkey, (SELECT {_agg}({{'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'e': l_suppkey}}) FROM lineitem WHERE {_row} {_sign} (n_nationkey * 55 + 1, 3, 0, 0)) AS x FROM nation)"
+        _sql = f"SELECT s_suppkey, s_suppkey * 149 + 1 AS pk, 3 AS pl, x.a AS l_orderkey, x.b AS l_linenumber, x.c AS l_partkey, x.e AS l_suppkey FROM (SELECT s_suppkey, (SELECT {_agg}({{'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'e': l_suppkey}}) FROM lineitem WHERE {_row} {_sign} (s_suppkey * 149 + 1, 3, 0, 0)) AS x FROM supplier)"
     query(_sql, f"pair_{_op}")(_pair)
 
 
-@query("SELECT n_nationkey, n_nationkey * 613 AS pk, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey > n_nationkey * 613) AS k FROM nation")
+@query("SELECT s_suppkey, s_suppkey * 149 AS pk, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey > s_suppkey * 149) AS k FROM supplier")
 def upper_bound(spark, d):
-    probes = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 613).alias("pk"))
-    return orders(spark, d).upper_bound(probes, ["pk"]).select("n_nationkey", "pk", F.col("found.o_orderkey").alias("k"))
+    probes = read(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") * 149).alias("pk"))
+    return orders(spark, d).upper_bound(probes, ["pk"]).select("s_suppkey", "pk", F.col("found.o_orderkey").alias("k"))
 
 
 @query("SELECT e.user_id AS u, e.event_id + 1 AS v, min(h.event_id) AS hit, CASE WHEN min(h.event_id) = e.event_id + 1 THEN 'SUCCESS' ELSE 'RESULT_TRUE' END AS status, true AS found_any FROM events e JOIN events h ON h.user_id = e.user_id AND h.event_id >= e.event_id + 1 GROUP BY e.user_id, e.event_id")
@@ -328,10 +329,14 @@ def value_count(spark, d):
     return lines(spark, d).df.groupBy("l_orderkey").agg(F.count("*").alias("values"))
 
 
-@query()
+@query("SELECT lo, hi, (SELECT count(*) FROM orders WHERE o_orderkey >= lo AND o_orderkey < hi) AS exact, true AS close FROM (VALUES (100, 9000), (0, 500), (5000, 100000)) v(lo, hi)")
 def estimate_range(spark, d):
-    t = orders(spark, d)
-    return spark.createDataFrame([(t.estimate((100,), (9000,)), t.distance((100,), (9000,)))], "estimate bigint, exact bigint")
+    """Estimates of one sample beside the exact counts; ``close`` is within four standard errors of 10,000 sampled rows."""
+    t, ranges = orders(spark, d), [(100, 9000), (0, 500), (5000, 100_000)]
+    found = t.estimates([((a,), (b,)) for a, b in ranges])
+    exact = [t.distance((a,), (b,)) for a, b in ranges]
+    error = 4 * t.df.count() / (2 * 10_000**0.5)
+    return spark.createDataFrame([(*r, x, abs(x - e) <= error) for r, x, e in zip(ranges, exact, found, strict=True)], "lo int, hi int, exact bigint, close boolean")
 
 
 # Mutations: a batch of new and present order keys, each twice
@@ -430,17 +435,17 @@ def del_pair(spark, d):
     return mutate.delete(events(spark, d), _pairs(spark, d), pairs=True)[0].df
 
 
-@query("SELECT user_id, event_id FROM events UNION SELECT 3, event_id FROM events WHERE event_id < 400")
+@query("SELECT user_id, event_id FROM events UNION SELECT 3, event_id FROM events")
 def put_multiple(spark, d):
-    values = read(spark, d, "events").where("event_id < 400").select("event_id")
+    values = read(spark, d, "events").select("event_id")
     return mutate.put_multiple(events(spark, d), (3,), values)[0].df
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT (SELECT max(o_orderkey) FROM orders) + 1 + o_orderkey, o_custkey FROM orders WHERE o_orderkey < 300")
+@query("SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT (SELECT max(o_orderkey) FROM orders) + 1 + o_orderkey, o_custkey FROM orders")
 def append_sorted(spark, d):
     t = _map(spark, d)
     top = t.last().first()[0]
-    new = t.df.where("o_orderkey < 300").select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") + 1 + top).alias("o_orderkey"), "o_custkey")
+    new = t.df.select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") + 1 + top).alias("o_orderkey"), "o_custkey")
     return mutate.append(t, new).df
 
 

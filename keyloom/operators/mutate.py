@@ -2,7 +2,8 @@
 
 A batch means its operations one after the other, by ``seq``, whose numbers differ. What an operation meets follows from aggregates of its key's operations
 (the first and the last number, summed before rows are shuffled) or, in mixed batches, from an ordered lookup that cuts keys with many
-operations into ranges. So no key's operations are gathered in one task, however many there are. Operations with a null in a key do nothing.
+operations into ranges. Where operations are joined with what their key has, a key with very many of them is cut into parts, each of which meets a copy of
+that one row (``ordered.meet_one``). So no key's operations are gathered in one task, however many there are. Operations with a null in a key do nothing.
 """
 
 from __future__ import annotations
@@ -12,17 +13,17 @@ from pyspark.sql import functions as F
 
 from keyloom import status
 from keyloom.operators.table import OrderedTable
-from keyloom.plans.ordered import key_struct, lookup, with_neighbour
+from keyloom.plans.ordered import key_struct, lookup, meet_one, with_neighbour
 
 UPSERT, INSERT, UPDATE, DELETE = "upsert", "insert", "update", "delete"
 
 
 def _marked(batch: DataFrame, cols: list[str], *known: DataFrame) -> DataFrame:
     """The batch with ``_is_first`` and ``_is_last`` among the operations of the same ``cols``, and the columns of ``known`` tables (one row for each ``cols``)."""
-    ends = batch.groupBy(*cols).agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"))
+    ends = batch.dropna(subset=cols).groupBy(*cols).agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"), F.count("*").alias("_ops"))
     for k in known:
         ends = ends.join(k, cols, "left")
-    rows = batch.join(ends, cols, "left")
+    rows = meet_one(batch, ends, cols, "_ops")
     return rows.withColumn("_is_first", F.coalesce(F.col("seq") == F.col("_first"), F.lit(False))).withColumn("_is_last", F.coalesce(F.col("seq") == F.col("_last"), F.lit(False)))
 
 

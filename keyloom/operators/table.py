@@ -25,6 +25,7 @@ class OrderedTable:
     key_mode: str = "usual"
     value_mode: str = "single"
     rows_per_bucket: int = ordered.ROWS_PER_BUCKET
+    most_buckets: int = ordered.MOST_BUCKETS
 
     def __post_init__(self):
         self.key, self.value = list(self.key), list(self.value)
@@ -48,13 +49,13 @@ class OrderedTable:
 
     @property
     def _size(self) -> dict:
-        return {"rows_per_bucket": self.rows_per_bucket}
+        return {"rows_per_bucket": self.rows_per_bucket, "most": self.most_buckets}
 
     def _pair(self) -> Column:
         return F.struct(*self.key, *self.value)
 
     def _like(self, df: DataFrame) -> OrderedTable:
-        return OrderedTable(df, self.key, self.value, self.key_mode, self.value_mode, self.rows_per_bucket)
+        return OrderedTable(df, self.key, self.value, self.key_mode, self.value_mode, self.rows_per_bucket, self.most_buckets)
 
     # Ends and scans
 
@@ -112,8 +113,7 @@ class OrderedTable:
 
     def scroll(self, n: int, start: int = 0) -> DataFrame:
         """The pair n places after place ``start`` (before, if negative); no row past either end."""
-        at = start + n
-        return self.positions().where(F.col("position") == at)
+        return ordered.at_places(self.df, self.order, lambda rows: [start + n], **self._size)
 
     def distance(self, a: tuple | None, b: tuple | None) -> int:
         """Pairs from key a (the first, if None) up to before key b (the end, if None); negative if b is before a."""
@@ -131,17 +131,37 @@ class OrderedTable:
 
     def distribute(self, n: int) -> DataFrame:
         """n pairs that cut the table into even stretches, with ``slot``: the pairs at places floor(slot * rows / n). Fewer if there are fewer rows."""
-        rows = self.df.count()
-        places = self.df.sparkSession.createDataFrame([(i, i * rows // n) for i in range(n) if rows] or [], "slot int, position bigint").groupBy("position").agg(F.min("slot").alias("slot"))
-        return self.positions().join(F.broadcast(places), "position")
+        slots: dict[int, int] = {}
 
-    def estimate(self, a: tuple | None, b: tuple | None, sample: float = 0.02) -> int:
-        """A rough count of pairs with a <= key < b, from a sample of rows."""
-        df = self.df.sample(False, sample, 11)
-        for end, above in ((a, True), (b, False)):
-            if end is not None:
-                df = df.where(self.order[0] >= F.lit(end[0]) if above else self.order[0] < F.lit(end[0]))
-        return round(df.count() / sample)
+        def wanted(rows: int):
+            for i in range(n if rows else 0):
+                slots.setdefault(i * rows // n, i)
+            return slots
+
+        found = ordered.at_places(self.df, self.order, wanted, **self._size)
+        slot = F.create_map(*(F.lit(x) for place in slots.items() for x in place))[F.col("position")] if slots else F.lit(None)
+        return found.withColumn("slot", slot.cast("int"))
+
+    def estimates(self, ranges: list[tuple], sample: int = 10_000) -> list[int]:
+        """Rough counts of pairs with a <= key < b for many ranges (a, b), either of which may be None: one count of rows, of which files keep a number, and one bounded
+        sample of first key columns answer them all. The standard error is below rows / (2 * sqrt(sample))."""
+        rows = self.df.count()
+        key = self.order[0].alias("k")
+        picked = self.df.select(key).sample(False, min(1.0, 1.2 * sample / max(1, rows)), 11).limit(2 * sample)
+        inside = []
+        for a, b in ranges:
+            hit = F.lit(True)
+            for end, above in ((a, True), (b, False)):
+                if end is not None:
+                    there = F.lit(end[0] if isinstance(end, tuple) else end)
+                    hit = hit & (F.col("k") >= there if above else F.col("k") < there)
+            inside.append(F.sum(hit.cast("bigint")))
+        got = picked.agg(F.count("*"), *inside).first()
+        return [round((x or 0) * rows / max(1, got[0])) for x in got[1:]]
+
+    def estimate(self, a: tuple | None, b: tuple | None, sample: int = 10_000) -> int:
+        """As ``estimates``, for one range."""
+        return self.estimates([(a, b)], sample)[0]
 
     # Moves
 
@@ -172,12 +192,12 @@ class OrderedTable:
 
     def next_nodup(self, name: str = "next") -> DataFrame:
         """Keys with the first pair of the following key."""
-        t = OrderedTable(self.first_values(), self.key, self.value, self.key_mode, "single", self.rows_per_bucket)
+        t = OrderedTable(self.first_values(), self.key, self.value, self.key_mode, "single", self.rows_per_bucket, self.most_buckets)
         return t.next(name).select(*self.key, name)
 
     def previous_nodup(self, name: str = "previous") -> DataFrame:
         """Keys with the last pair of the preceding key."""
-        t = OrderedTable(self.first_values(last=True), self.key, self.value, self.key_mode, "single", self.rows_per_bucket)
+        t = OrderedTable(self.first_values(last=True), self.key, self.value, self.key_mode, "single", self.rows_per_bucket, self.most_buckets)
         return t.previous(name).select(*self.key, name)
 
     def ends(self) -> DataFrame:

@@ -3,6 +3,9 @@
 A window without PARTITION BY runs in one task. Here rows are cut into buckets that are ranges of the order (split points
 come from a bounded sample), windows run inside buckets, and what crosses a border is carried: one small aggregate row per
 bucket, summed or scanned over buckets and broadcast back (as many rows as buckets). Each operator shuffles its rows once.
+
+A lookup of few probes doesn't shuffle its table at all: every row finds the gap between probes that it lies in, and the best row of each gap is an
+aggregate.
 """
 
 from __future__ import annotations
@@ -13,64 +16,106 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a bucket aimed at, and the most buckets; both are parameters of the tables that use them.
-ROWS_PER_BUCKET, MOST_BUCKETS, COARSE = 250_000, 1024, 32
+ROWS_PER_BUCKET, MOST_BUCKETS = 250_000, 32_768
+COARSE, MOST_COARSE = 8, 128
+#: Sampled rows for each bucket, and in all.
+SAMPLE, MOST_SAMPLED = 50, 500_000
+#: Up to so many probes are collected to see whether they are few, and up to so many distinct ones are few.
+MOST_ROWS_ASKED, FEW_PROBES = 20_000, 1024
+#: A key with more rows than this is cut into parts where rows meet the one row of their key.
+ROWS_PER_PART = 1_000_000
 
 
 def key_struct(order: list[Column]) -> Column:
     return F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)))
 
 
-def split_points(df: DataFrame, order: list[Column], rows_per_bucket: int = ROWS_PER_BUCKET, most: int = MOST_BUCKETS) -> list:
-    """Sorted order keys that cut ``df`` into buckets of about equal size; the sample has about 50 rows a bucket."""
-    n = df.count()
-    buckets = min(most, math.ceil(n / rows_per_bucket))
+def bucket_count(rows: int, rows_per_bucket: int, most: int) -> int:
+    return max(1, min(most, math.ceil(rows / rows_per_bucket)))
+
+
+def split_points(df: DataFrame, order: list[Column], rows_per_bucket: int = ROWS_PER_BUCKET, most: int = MOST_BUCKETS, rows: int | None = None) -> list:
+    """Sorted order keys that cut ``df`` into buckets of about equal size; the sample has about SAMPLE rows a bucket, and MOST_SAMPLED at most. ``rows`` is their number, if it is known."""
+    n = df.count() if rows is None else rows
+    buckets = bucket_count(n, rows_per_bucket, most)
     if buckets <= 1:
         return []
-    picked = df.select(key_struct(order).alias("k")).sample(False, min(1.0, 50 * buckets / n), 7).orderBy("k").collect()
+    picked = df.select(key_struct(order).alias("k")).sample(False, min(1.0, min(SAMPLE * buckets, MOST_SAMPLED) / n), 7).orderBy("k").collect()
     cuts = [picked[len(picked) * i // buckets].k for i in range(1, buckets)] if picked else []
     return [k for i, k in enumerate(cuts) if i == 0 or k != cuts[i - 1]]
 
 
-def bucket(df: DataFrame, order: list[Column], cuts: list) -> Column:
-    """The number of cuts at or below a row's key, searched in two levels."""
+def bucket(df: DataFrame, order: list[Column], cuts: list, *, at: bool = True) -> Column:
+    """The number of cuts at or below a row's key (below it, unless ``at``): a comparison for each cut, so for few of them."""
     if not cuts:
         return F.lit(0)
     kinds = [f.dataType for f in df.select(key_struct(order).alias("k")).schema["k"].dataType.fields]
-    key = key_struct(order)
+    key, total = key_struct(order), F.lit(0)
+    for k in cuts:
+        cut = F.struct(*(F.lit(v).cast(t).alias(f"_{i}") for i, (v, t) in enumerate(zip(k, kinds, strict=True))))
+        total = total + ((cut <= key) if at else (cut < key)).cast("int")
+    return total
 
-    def literal(k) -> Column:
-        return F.struct(*(F.lit(v).cast(t).alias(f"_{i}") for i, (v, t) in enumerate(zip(k, kinds, strict=True))))
 
-    def below(points: Column) -> Column:
-        return F.size(F.filter(points, lambda p: p <= key))
+def in_buckets(df: DataFrame, order: list[Column], cuts: list, *, at: bool = True) -> DataFrame:
+    """``df`` with its bucket ``_b``, the number of cuts at or below a row's key (below it, unless ``at``).
 
-    groups = [cuts[i : i + COARSE] for i in range(0, len(cuts), COARSE)]
-    if len(groups) == 1:
-        return below(F.array(*map(literal, cuts)))
-    coarse = below(F.array(*(literal(g[0]) for g in groups)))
-    fine = F.array(*(F.array(*map(literal, g)) for g in groups))
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * COARSE + below(F.element_at(fine, coarse)))
+    Few cuts are compared one by one. Of more, every so manieth is, and the stretches between the cuts after it come from a small broadcast table,
+    of which a row meets about the square root of the number of cuts.
+    """
+    if len(cuts) <= COARSE:
+        return df.withColumn("_b", bucket(df, order, cuts, at=at))
+    step = math.ceil(len(cuts) / min(MOST_COARSE, math.ceil(math.sqrt(len(cuts)))))
+    kind = df.select(key_struct(order).alias("k")).schema["k"].dataType.simpleString()
+    ends = [None, *cuts, None]
+    made = [((i + step - 1) // step, ends[i], ends[i + 1], i) for i in range(len(cuts) + 1)]
+    table = F.broadcast(df.sparkSession.createDataFrame(made, f"_c int, _lo {kind}, _hi {kind}, _b int"))
+    lo, hi, key = F.col("_lo"), F.col("_hi"), F.col("_key")
+    inside = (lo.isNull() | ((lo <= key) if at else (lo < key))) & (hi.isNull() | ((key < hi) if at else (key <= hi)))
+    rows = df.withColumn("_key", key_struct(order)).withColumn("_at", bucket(df, order, cuts[::step], at=at))
+    return rows.join(table, (F.col("_at") == F.col("_c")) & inside).drop("_key", "_at", "_c", "_lo", "_hi")
+
+
+def bucketed(df: DataFrame, order: list[Column], rows_per_bucket: int = ROWS_PER_BUCKET, most: int = MOST_BUCKETS, rows: int | None = None) -> tuple[DataFrame, int]:
+    """(``df`` with its bucket ``_b``, the number of buckets); buckets are numbered in the order. ``rows``: their number, or an upper bound, if known."""
+    cuts = split_points(df, order, rows_per_bucket, most, rows)
+    return in_buckets(df, order, cuts), len(cuts) + 1
+
+
+def _bases(rows: DataFrame) -> DataFrame:
+    """(_b, _n, _base): the rows of each bucket, and of all buckets before it."""
+    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    return counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 def with_position(df: DataFrame, order: list[Column], name: str = "position", **size) -> DataFrame:
     """Adds the 0-based place of each row in the order (ties in no particular order, so give a total order)."""
-    cuts = split_points(df, order, **size)
-    rows = df.withColumn("_b", bucket(df, order, cuts))
+    rows, buckets = bucketed(df, order, **size)
     local = F.row_number().over(Window.partitionBy("_b").orderBy(*order)).cast("bigint") - 1
-    if not cuts:
+    if buckets == 1:
         return rows.withColumn(name, local).drop("_b")
-    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return rows.withColumn("_local", local).join(F.broadcast(before), "_b").withColumn(name, F.col("_local") + F.col("_base")).drop("_b", "_local", "_base")
+    return rows.withColumn("_local", local).join(F.broadcast(_bases(rows).drop("_n")), "_b").withColumn(name, F.col("_local") + F.col("_base")).drop("_b", "_local", "_base")
+
+
+def at_places(df: DataFrame, order: list[Column], wanted, name: str = "position", **size) -> DataFrame:
+    """The rows at some places, with their place. ``wanted(rows)`` gives the places for a number of rows. Buckets are counted first; only those that hold such a place are sorted."""
+    rows, _ = bucketed(df, order, **size)
+    bases = _bases(rows).orderBy("_b").collect()  # one row a bucket
+    places = set(wanted(sum(r["_n"] for r in bases)))
+    held = {r["_b"]: r["_base"] for r in bases if any(r["_base"] <= p < r["_base"] + r["_n"] for p in places)}
+    base = F.create_map(*(F.lit(x) for b in held.items() for x in b))[F.col("_b")] if held else F.lit(0)
+    some = rows.where(F.col("_b").isin(list(held)))
+    placed = some.withColumn(name, F.row_number().over(Window.partitionBy("_b").orderBy(*order)).cast("bigint") - 1 + base)
+    return placed.where(F.col(name).isin(list(places))).drop("_b")
 
 
 def with_neighbour(df: DataFrame, order: list[Column], payload: Column, name: str, *, forward: bool = True, **size) -> DataFrame:
     """Adds the payload of the next (or previous) row in the order; null at the end."""
-    cuts = split_points(df, order, **size)
-    rows = df.withColumn("_b", bucket(df, order, cuts)).withColumn("_p", payload)
+    rows, buckets = bucketed(df, order, **size)
+    rows = rows.withColumn("_p", payload)
     inside = Window.partitionBy("_b").orderBy(*order)
     near = (F.lead if forward else F.lag)("_p").over(inside)
-    if not cuts:
+    if buckets == 1:
         return rows.withColumn(name, near).drop("_b", "_p")
     edge = (F.min_by if forward else F.max_by)("_p", key_struct(order))
     edges = rows.groupBy("_b").agg(edge.alias("_e"))
@@ -79,41 +124,84 @@ def with_neighbour(df: DataFrame, order: list[Column], payload: Column, name: st
     return rows.withColumn(name, near).join(F.broadcast(edges), "_b").withColumn(name, F.coalesce(name, "_e")).drop("_b", "_p", "_e")
 
 
-def lookup(data: DataFrame, probes: DataFrame, order: list[tuple[Column, Column]], payload: Column, name: str, *, floor: bool, strict: bool, prefix: int = 0, **size) -> DataFrame:
-    """``probes`` with ``name``: the payload of the nearest data row at or below (``floor``) or above the probe, strictly or not; null if none.
+def meet_one(many: DataFrame, one: DataFrame, on: list[str], count: str) -> DataFrame:
+    """``many`` LEFT JOIN ``one``, which has a row for each ``on`` with the number of rows in ``many``, ``count``. Keys with more than ROWS_PER_PART rows are cut
+    into parts, each of which meets a copy of the row; the list of such keys, at most one for each ROWS_PER_PART rows, is broadcast."""
+    parts = F.ceil(F.col(count) / ROWS_PER_PART).cast("bigint")
+    heavy = F.broadcast(one.where(F.col(count) > ROWS_PER_PART).select(*on, parts.alias("_parts")))
+    cut = many.join(heavy, on, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    copies = one.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(parts, F.lit(1)) - 1))).drop(count)
+    return cut.join(copies, [*on, "_part"], "left").drop("_part")
 
-    ``order``: pairs of (data column, probe column). The first ``prefix`` of them must be equal for a hit, so a lookup within a key is a lookup in the order
-    of (key, value) whose hit has another key or not: large keys are cut like any range. Equal probe keys are looked up once. A null in a probe key finds nothing.
-    """
-    n = len(order)
-    keys = [f"_k{i}" for i in range(n)]
-    asked = probes.select(*(p.alias(k) for (_, p), k in zip(order, keys, strict=True))).dropna().distinct()
+
+def few_keys(probes: DataFrame, keys: list[str], rows: int) -> list | None:
+    """The sorted distinct keys of the probes, if these are few."""
+    if rows > MOST_ROWS_ASKED or any("timestamp" in t or "interval" in t for _, t in probes.select(*keys).dtypes):  # which Python can't hand back exactly
+        return None
+    asked = probes.dropna(subset=keys).select(F.struct(*keys).alias("k")).distinct().orderBy("k").limit(FEW_PROBES + 1).collect()
+    return [r.k for r in asked] if len(asked) <= FEW_PROBES else None
+
+
+def lookup_few(rows: DataFrame, asked: list, keys: list[str], *, floor: bool, strict: bool) -> DataFrame:
+    """(_k0, ..., _f) for few sorted keys: the nearest row's ``_h``. ``rows`` has the keys and ``_h``; they stay where they are, and one row a gap is shuffled."""
+    cols = [F.col(k) for k in keys]
+    # a floor is wanted by the first probe that isn't before the row, and by all after it; a ceiling by the last that isn't after it, and all before
+    gaps = in_buckets(rows, cols, asked, at=strict if floor else not strict).where(F.col("_b") < len(asked) if floor else F.col("_b") > 0)
+    best = gaps.groupBy("_b").agg((F.max_by if floor else F.min_by)("_h", key_struct(cols)).alias("_e"))
+    kind = rows.select(*keys).schema
+    points = rows.sparkSession.createDataFrame([(j if floor else j + 1, *k) for j, k in enumerate(asked)], "_b int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind))
+    over = Window.orderBy("_b")
+    carry = F.last("_e", True).over(over.rowsBetween(Window.unboundedPreceding, 0)) if floor else F.first("_e", True).over(over.rowsBetween(0, Window.unboundedFollowing))
+    return points.join(F.broadcast(best), "_b", "left").select(*keys, carry.alias("_f"))
+
+
+def lookup_many(rows: DataFrame, asked: DataFrame, keys: list[str], n: int, *, floor: bool, strict: bool, **size) -> DataFrame:
+    """As ``lookup_few`` for a frame of distinct keys and how often each is asked, ``_asked``: rows and keys are cut into buckets together."""
     before = floor != strict  # whether data sorts before equal probes
-    rows = data.select(*(d.alias(k) for (d, _), k in zip(order, keys, strict=True)), payload.alias("_p"))
-    hit = F.struct(*(F.col(k) for k in keys), F.col("_p").alias("p"))
-    both = rows.select(*keys, F.lit(0 if before else 1).alias("_s"), hit.alias("_h")).unionByName(asked.select(*keys, F.lit(1 if before else 0).alias("_s"), F.lit(None).cast(rows.select(hit.alias("h")).schema["h"].dataType).alias("_h")))
+    kind = rows.schema["_h"].dataType
+    both = rows.select(*keys, F.lit(0 if before else 1).alias("_s"), "_h").unionByName(asked.select(*keys, F.lit(1 if before else 0).alias("_s"), F.lit(None).cast(kind).alias("_h"), "_asked"), allowMissingColumns=True)
     cols = [F.col(k) for k in keys]
-    cuts = split_points(both, cols, **size)
-    both = both.withColumn("_b", bucket(both, cols, cuts))
+    both, buckets = bucketed(both, cols, rows=n, **size)
     # a frame that grows row by row costs one step a row; one that shrinks would be rebuilt for each, so ceilings walk backwards
     w = Window.partitionBy("_b").orderBy(*(c if floor else c.desc() for c in [*cols, F.col("_s")]))
     found = F.last("_h", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     answers = both.withColumn("_f", found).where("_h is null").drop("_h", "_s")
-    if cuts:
+    if buckets > 1:
         top = F.max_by("_h", key_struct(cols)) if floor else F.min_by("_h", key_struct(cols))
         edges = both.where("_h is not null").groupBy("_b").agg(top.alias("_e"))
-        every = data.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_b")).join(edges, "_b", "left")
+        every = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_b")).join(edges, "_b", "left")
         over = Window.orderBy("_b")
         carry = F.last("_e", True).over(over.rowsBetween(Window.unboundedPreceding, -1)) if floor else F.first("_e", True).over(over.rowsBetween(1, Window.unboundedFollowing))
         answers = answers.join(F.broadcast(every.select("_b", carry.alias("_e"))), "_b").withColumn("_f", F.coalesce("_f", "_e")).drop("_e")
+    return answers.select(*keys, "_f", "_asked")
+
+
+def lookup(data: DataFrame, probes: DataFrame, order: list[tuple[Column, Column]], payload: Column, name: str, *, floor: bool, strict: bool, prefix: int = 0, **size) -> DataFrame:
+    """``probes`` with ``name``: the payload of the nearest data row at or below (``floor``) or above the probe, strictly or not; null if none.
+
+    ``order``: pairs of (data column, probe column). The first ``prefix`` of them must be equal for a hit, so a lookup within a key is a lookup in the order
+    of (key, value) whose hit has another key or not: large keys are cut like any range. Equal probe keys are looked up once, and a key that very many probes
+    share is cut where they meet its answer. A null in a probe key finds nothing.
+    """
+    keys = [f"_k{i}" for i in range(len(order))]
+    rows = data.select(*(d.alias(k) for (d, _), k in zip(order, keys, strict=True)), payload.alias("_p"))
+    rows = rows.select(*keys, F.struct(*(F.col(k) for k in keys), F.col("_p").alias("p")).alias("_h"))
+    tagged = probes.withColumns({k: p for (_, p), k in zip(order, keys, strict=True)})
+    if (kinds := rows.select(*keys).dtypes) != tagged.select(*keys).dtypes:  # compared as a union would
+        kinds = rows.select(*keys).limit(0).unionByName(tagged.select(*keys).limit(0)).dtypes
+        rows, tagged = (x.withColumns({k: F.col(k).cast(t) for k, t in kinds}) for x in (rows, tagged))
+    n = probes.count()
+    few = few_keys(tagged, keys, n)
+    how = {"floor": floor, "strict": strict}
+    if few is not None:
+        found = lookup_few(rows, few, keys, **how)
+    else:
+        asked = tagged.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_asked"))
+        found = lookup_many(rows, asked, keys, data.count() + n, **how, **size)
     same = F.lit(True)
     for k in keys[:prefix]:
         same = same & (F.col(f"_f.{k}") == F.col(k))
-    answers = answers.select(*(F.col(k).alias(f"_a{k}") for k in keys), F.when(same, F.col("_f.p")).alias(name))
-    on = F.lit(True)
-    tagged = probes
-    for (_, p), k in zip(order, keys, strict=True):
-        tagged = tagged.withColumn(k, p)
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_a{k}"))
-    return tagged.join(answers, on, "left").drop(*keys, *(f"_a{k}" for k in keys))
+    answer = F.when(same, F.col("_f.p")).alias(name)
+    if few is not None:
+        return tagged.join(F.broadcast(found.select(*keys, answer)), keys, "left").drop(*keys)
+    return meet_one(tagged, found.select(*keys, answer, "_asked"), keys, "_asked").drop(*keys)

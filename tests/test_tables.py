@@ -57,6 +57,62 @@ def test_two_level_buckets(spark):
     assert all(r.b == bisect.bisect_right(flat, r.x) for r in got)
 
 
+@pytest.mark.parametrize("op", OPS)
+def test_few_probes_equal_many(spark, data, op, monkeypatch):
+    """Without a shuffle of the table, and with one, and in buckets from a table."""
+    pairs, t = data
+    asked = [(i, k, v) for i, (k, v) in enumerate([(-1, 0), (0, 0), (77, 7), (77, 7), (500, 1), *pairs[::150], *((k, 99) for k in range(0, 199, 40))])]
+    probes = spark.createDataFrame([*asked, (999, None, 1)], "i bigint, pk int, pv bigint")
+    few = t.nearest(probes, ["pk"], op, ["pv"])
+    assert "rangepartitioning" not in few._jdf.queryExecution().toString()
+    rows = {r.i: r.found and tuple(r.found) for r in few.collect()}
+    within = {r.i: r.found and tuple(r.found) for r in t.nearest(probes, ["pk"], op, ["pv"], within=True).collect()}
+    for i, k, v in asked:
+        at = OPS[op](pairs, (k, v))
+        hit = pairs[at] if 0 <= at < len(pairs) else None
+        assert rows[i] == hit and within[i] == (hit if hit and hit[0] == k else None)
+    assert rows[999] is None
+    monkeypatch.setattr(ordered, "FEW_PROBES", 1)
+    monkeypatch.setattr(ordered, "MOST_COARSE", 2)
+    monkeypatch.setattr(ordered, "ROWS_PER_PART", 1)
+    assert {r.i: r.found and tuple(r.found) for r in t.nearest(probes, ["pk"], op, ["pv"]).collect()} == rows
+
+
+def test_probes_of_another_type(spark):
+    t = OrderedTable(spark.range(10).select(F.col("id").alias("k")), ["k"])
+    probes = spark.createDataFrame([(2.5,), (9.5,), (-0.5,)], "p double")
+    assert {(r.p, r.found and r.found.k) for r in t.nearest(probes, ["p"], "ge").collect()} == {(2.5, 3), (9.5, None), (-0.5, 0)}
+
+
+def test_buckets_from_a_table(data, monkeypatch):
+    pairs, t = data
+    monkeypatch.setattr(ordered, "COARSE", 2)
+    monkeypatch.setattr(ordered, "MOST_COARSE", 3)
+    assert [(r.k, r.v) for r in t.positions().orderBy("position").collect()] == pairs
+    assert [tuple(t.scroll(n).first()) for n in (0, 1, 700, len(pairs) - 1)] == [(*pairs[n], n) for n in (0, 1, 700, len(pairs) - 1)]
+    assert t.scroll(len(pairs)).count() == 0 and [(r.slot, r.position) for r in t.distribute(5).orderBy("slot").collect()] == [(i, i * len(pairs) // 5) for i in range(5)]
+
+
+def test_estimates_keep_their_error(spark):
+    t = OrderedTable(spark.range(200_000).select((F.col("id") * F.col("id") % 100_003).alias("k")), ["k"])
+    ranges = [((a,), (a + 20_000,)) for a in range(0, 80_000, 10_000)] + [(None, (50_000,)), ((50_000,), None), (None, None)]
+    exact = [t.df.where(f"k >= {(a or (0,))[0]} and k < {(b or (10**9,))[0]}").count() for a, b in ranges]
+    error = 200_000 / (2 * 10_000**0.5)
+    assert all(abs(x - e) <= 4 * error for x, e in zip(exact, t.estimates(ranges), strict=True))
+    assert OrderedTable(spark.range(0).toDF("k"), ["k"]).estimate(None, (3,)) == 0
+
+
+def test_a_hot_key_of_a_batch_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_PART", 7)
+    t = OrderedTable(spark.createDataFrame([(1, 10), (2, 20)], "k bigint, v bigint"), ["k"], ["v"])
+    batch = spark.createDataFrame([(i, 1 if i % 3 else 5, i) for i in range(200)] + [(300, None, 1)], "seq bigint, k bigint, v bigint").repartition(4)
+    new, said = mutate.put(t, batch, "insert")
+    assert sorted(map(tuple, new.df.collect())) == [(1, 10), (2, 20), (5, 0)]
+    assert said.count() == 201 and said.where("code = 'SUCCESS'").select("seq").collect()[0][0] == 0
+    new, _ = mutate.put(t, batch, "upsert")
+    assert sorted(map(tuple, new.df.collect())) == [(1, 199), (2, 20), (5, 198)]
+
+
 def test_empty_tables_and_null_keys(spark):
     t = OrderedTable(spark.createDataFrame([(None, 1)], "k bigint, v bigint"), ["k"], ["v"])
     probes = spark.createDataFrame([(5,)], "p bigint")
