@@ -18,11 +18,11 @@ def remainder(divisor: int):
 
 
 def op1_toxicity(spark, sf_dir):
-    """See ``toxicity``; learns from labelled rows of two folds of three, and scores every document."""
+    """See ``toxicity``; learns from labelled rows of two folds of three, scores every document and locates its offending sentences."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
-    scored = toxicity.score(docs, model, bits=18)
-    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+    scored = toxicity.score(docs, model, bits=18, sentences=True)
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted", "sentences")
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):

@@ -4,11 +4,12 @@ A sentence's probability is a logistic function of its words; a document is toxi
 score = 1 - product over sentences of (1 - p), the noisy-or. Weights are fitted to document labels by the gradient of the
 document likelihood, which reaches each sentence through the noisy-or, so the model learns which sentences offend.
 
-Words are hashed to ``2 ** bits`` weights. The fit uses a bounded sample of labelled rows (``sample_docs``, the least by a hash
-of the text, so it doesn't depend on order) of at most ``most_chars`` characters each and ``sample_chars`` in all; everything is scored, whole.
+Words are hashed to ``2 ** bits`` weights. The fit uses a bounded sample of labelled rows (``sample_docs`` distinct texts, the least by a hash
+of the text, so it doesn't depend on order, and copies count once) of at most ``most_chars`` characters each and ``sample_chars`` in all; everything is scored, whole;
+a very long text takes memory in proportion to itself.
 
 Null and empty texts have no sentence: score 0. Rows that repeat score alike. Labels that are null are no labels; a document with several
-labels is toxic if one says so. With no positive or no negative label every score is 0. An empty table gives an empty result.
+labels is toxic if one says so. Ties at the end of the sample are settled by the least id. Other columns are ignored, also those that have the name of a result. With no positive or no negative label every score is 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -136,12 +137,14 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str,
     least = Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
     ids = []
     for y in (1, 0):
-        some = rows.where((F.col("y") > 0) == F.lit(y == 1)).orderBy("h", "id").limit(sample_docs // 2)
-        ids += [(r.id, y) for r in some.withColumn("sum", F.sum("n").over(least)).where(F.col("sum") <= sample_chars // 2).select("id").distinct().collect()]
+        distinct = rows.where((F.col("y") > 0) == F.lit(y == 1)).groupBy("h").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+        some = distinct.orderBy("h", "id").limit(sample_docs // 2)
+        ids += [(r.id, r.h, y) for r in some.withColumn("sum", F.sum("n").over(least)).where(F.col("sum") <= sample_chars // 2).select("id", "h").collect()]
     if not ids:
         return [], np.zeros(0)
-    chosen = docs.sparkSession.createDataFrame(ids, f"id {docs.schema[id_col].dataType.simpleString()}, y int")  # at most sample_docs ids
-    picked = sorted((r.text, r.y) for r in texts.join(F.broadcast(chosen), "id").select("text", "y").collect())
+    chosen = docs.sparkSession.createDataFrame(ids, f"id {docs.schema[id_col].dataType.simpleString()}, h bigint, y int")  # at most sample_docs ids
+    found = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "h"]).groupBy("h", "y").agg(F.min("text").alias("text"))
+    picked = sorted((r.text, r.y) for r in found.select("text", "y").collect())
     return [t for t, _ in picked], np.array([y for _, y in picked], float)
 
 

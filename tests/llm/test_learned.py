@@ -1,12 +1,14 @@
 """Toxicity and language identification: held-out accuracy, leaks, and defined edges."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import language, toxicity
+from keyloom.llm import language, textops, toxicity
 
 CLEAN = [f"word{k}" for k in range(200)]
 BAD = ["vile", "rotten", "nasty"]
@@ -124,3 +126,82 @@ def test_copies_of_a_third_of_all_rows(spark, spoken):
     hot = spark.createDataFrame([(10_000 + k, "der schaft über", "de", "s") for k in range(240)], spoken.schema)
     model = language.train(spoken.union(hot), F.lit(True), per_language=100)
     assert {r.lang_pred for r in language.predict(hot, model).collect()} == {"de"}
+
+
+def word_hash(word: bytes) -> int:
+    return int(textops.word_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
+
+
+def plain_toxicity(model, text, bits=18):
+    """(score, offending sentences) of one text: sentences, words, their first bytes, and the noisy-or, one by one."""
+    raw, clean, bad, at = (text or "").encode(), 1.0, [], 0
+    for part in re.findall(rb"[^.!?\n\r]*[.!?\n\r]|[^.!?\n\r]+$", raw):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in part))
+        features = {word_hash(w) >> (64 - bits) for w in words}
+        for n in toxicity.PREFIXES:
+            features |= {(((word_hash(w[:n]) + 1) * int(textops.M2)) % 2**64) >> (64 - bits) for w in words if len(w) > n}
+        if words:
+            p = 1 / (1 + math.exp(-min(40, max(-40, sum(model.weights[f] for f in features) + model.bias))))
+            clean *= 1 - p
+            if p >= 0.5:
+                bad.append((at, at + len(part)))
+        at += len(part)
+    return 1 - clean, bad
+
+
+def test_toxicity_equals_plain_scores(spark, toxic):
+    docs, labels, _ = toxic
+    model = toxicity.train(docs, labels, remainder(3) != 1)
+    odd = [(1000, None), (1001, ""), (1002, "Vile! Rotten? né vileness.\r\nword1"), (1003, "..vile"), (1004, "no end vile words")]
+    rows = spark.createDataFrame(odd, "doc_id bigint, text string").unionByName(docs.where("doc_id < 60").select("doc_id", "text"))
+    texts = dict(rows.collect())
+    for r in toxicity.score(rows, model, bits=18, sentences=True).collect():
+        score, bad = plain_toxicity(model, texts[r.doc_id])
+        assert abs(r.score - score) < 1e-6 and [(x.start, x.end) for x in r.sentences] == bad, r.doc_id
+
+
+def test_samples_take_copies_once(spark):
+    rows = [(i, f"text number {i} of many words", i % 2) for i in range(200)] + [(1000 + i, "the same vile text", 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    texts, y = toxicity.sample(docs, docs, F.lit(True), id_col="doc_id", text_col="text", label_col="toxic", sample_docs=80, sample_chars=10**6, most_chars=1000)
+    assert len(texts) == len(set(texts)) == 80 and y.sum() == 40
+    spoken = docs.withColumn("lang", F.when(F.col("toxic") == 1, "en").otherwise("fr"))
+    texts, langs = language.sample(spoken, F.lit(True), text_col="text", lang_col="lang", per_language=50, sample_rows=80, sample_chars=80 * 12, most_languages=5)
+    assert len(texts) == 80 and langs.count("en") == 40 and max(map(len, texts)) == 12
+
+
+def plain_language(model, text, bits=13):
+    """(language, score) of one text: trigrams, margins, the family, then votes with ties by margins."""
+    b = [c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode()]
+    grams = [x for x in zip(b, b[1:], b[2:]) if x != (32, 32, 32)]
+    code = [((x | y << 8 | z << 16) * 2654435761 % 2**32) >> (32 - bits) for x, y, z in grams]
+    margin = {t: sum(float(model.weights[c, k]) for c in code) / max(1, len(code)) + model.bias[k] for k, t in enumerate(model.tasks)}
+    sure, fam = 1.0, model.families[0]
+    if len(model.families) > 1:
+        order = sorted(model.families, key=lambda f: -margin["family", f])
+        fam, sure = order[0], 1 / (1 + math.exp(-2 * (margin["family", order[0]] - margin["family", order[1]])))
+    own = [x for x in model.languages if language.family(x) == fam]
+    side = {(a, c): margin["pair", a, c] if ("pair", a, c) in margin else -margin["pair", c, a] for a in own for c in own if a != c}
+    best = max(own, key=lambda a: (sum(side[a, c] > 0 for c in own if c != a), sum(side[a, c] for c in own if c != a)))
+    if len(own) > 1:
+        sure *= 1 / (1 + math.exp(-2 * min(side[best, c] for c in own if c != best)))
+    return best, sure
+
+
+def test_language_equals_plain_votes(spark, spoken):
+    model = language.train(spoken, remainder(4) != 2)
+    more = [(1000, "Der ÜBER-thing, que?"), (1001, "a"), (1002, "eau " * 50_000), (1003, "x1y2\n\nz3 les")]
+    rows = spark.createDataFrame(more, "doc_id bigint, text string").unionByName(spoken.where("doc_id < 100").select("doc_id", "text"))
+    texts = dict(rows.collect())
+    for r in language.predict(rows, model).collect():
+        lang, score = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4, (r, lang, score)
+
+
+def test_language_fit_is_bounded_and_still_right(spark, spoken):
+    """With a tenth of the cells the matrix keeps only the features that vary most."""
+    texts, langs = language.sample(spoken, remainder(4) != 2, text_col="text", lang_col="lang", per_language=800, sample_rows=4000, sample_chars=8_000_000, most_languages=200)
+    model = language.fit(texts, langs, bits=13, cells=len(texts) * 800)
+    assert np.count_nonzero(np.abs(model.weights).sum(1)) <= 800
+    rows = language.predict(spoken, model).withColumn("held", remainder(4) == 2).collect()
+    assert np.mean([r.lang_pred == sorted(SOUNDS)[r.doc_id % 4] for r in rows if r.held]) > 0.97
