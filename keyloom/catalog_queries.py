@@ -14,6 +14,7 @@ from keyloom.operators import check, mutate
 from keyloom.operators.table import OrderedTable
 from keyloom.plans import ordered
 from keyloom.sources import dump
+from keyloom.status import StoreError
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -438,7 +439,7 @@ def del_pair(spark, d):
 @query("SELECT user_id, event_id FROM events UNION SELECT 3, event_id FROM events")
 def put_multiple(spark, d):
     values = read(spark, d, "events").select("event_id")
-    return mutate.put_multiple(events(spark, d), (3,), values)[0].df
+    return mutate.put_multiple(events(spark, d), (3,), values, counted=False)[0].df
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT (SELECT max(o_orderkey) FROM orders) + 1 + o_orderkey, o_custkey FROM orders")
@@ -459,6 +460,73 @@ def mixed_batch(spark, d):
     return mutate.apply_mixed(_map(spark, d), gone.unionByName(late).unionByName(back))[0].df
 
 
+# Multimaps: insertion of absent keys, the one value of a key, appending in order
+
+
+def _shifted(spark, d):
+    """Pairs of which some users are absent, several to a user."""
+    return read(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") + 75).alias("user_id"), "event_id")
+
+
+_FIRST_SHIFTED = "(SELECT user_id + 75 AS user_id, min(event_id) AS event_id FROM events WHERE user_id + 75 NOT IN (SELECT user_id FROM events) GROUP BY ALL)"
+
+
+@query(f"SELECT user_id, event_id FROM events UNION ALL SELECT user_id, event_id FROM {_FIRST_SHIFTED}")
+def multi_insert(spark, d):
+    return mutate.put_multi(events(spark, d), _shifted(spark, d), "insert")[0].df
+
+
+@query(f"SELECT e.event_id AS seq, e.user_id + 75 AS user_id, e.event_id, CASE WHEN f.event_id IS NULL THEN 'KEYEXIST' ELSE 'SUCCESS' END AS code FROM events e LEFT JOIN {_FIRST_SHIFTED} f ON f.user_id = e.user_id + 75 AND f.event_id = e.event_id")
+def multi_insert_status(spark, d):
+    return mutate.put_multi(events(spark, d), _shifted(spark, d), "insert")[1]
+
+
+def _updated(spark, d):
+    t = OrderedTable(read(spark, d, "orders"), ["o_custkey"], ["o_orderkey"], value_mode="multi")
+    batch = read(spark, d, "customer").select(F.col("c_custkey").alias("seq"), (F.col("c_custkey") * 3).alias("o_custkey"), (F.col("c_custkey") + 1_000_000).alias("o_orderkey"))
+    few = t.df.where("o_custkey % 6 <> 0").unionByName(t.df.where("o_custkey % 6 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")))  # every other key of the batch has one value
+    return mutate.put_multi(t._like(few), batch, "update")
+
+
+_ONE = "(SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 6 <> 0 UNION ALL SELECT o_custkey, min(o_orderkey) FROM orders WHERE o_custkey % 6 = 0 GROUP BY o_custkey)"
+_ONES = f"(SELECT o_custkey, count(*) AS n FROM {_ONE} GROUP BY o_custkey)"
+
+
+@query(f"SELECT o.o_custkey, CASE WHEN n = 1 AND c_custkey IS NOT NULL THEN c_custkey + 1000000 ELSE o_orderkey END AS o_orderkey FROM {_ONE} o JOIN {_ONES} USING (o_custkey) LEFT JOIN customer ON c_custkey * 3 = o.o_custkey")
+def multi_update(spark, d):
+    return _updated(spark, d)[0].df
+
+
+@query(f"SELECT c_custkey AS seq, c_custkey * 3 AS o_custkey, c_custkey + 1000000 AS o_orderkey, CASE WHEN n IS NULL THEN 'NOTFOUND' WHEN n > 1 THEN 'EMULTIVAL' ELSE 'SUCCESS' END AS code FROM customer LEFT JOIN {_ONES} ON o_custkey = c_custkey * 3")
+def multi_update_status(spark, d):
+    return _updated(spark, d)[1]
+
+
+@query("SELECT user_id, event_id FROM events UNION ALL SELECT (SELECT max(user_id) FROM events) + event_id // 100, (SELECT max(event_id) FROM events) + 1 + event_id FROM events")
+def append_dup(spark, d):
+    """New values of the last key, then of keys after it, each greater than the one before."""
+    t, e = events(spark, d), read(spark, d, "events")
+    top, last = e.agg(F.max("user_id"), F.max("event_id")).first()
+    return mutate.append(t, e.select(F.col("event_id").alias("seq"), (F.expr("event_id div 100") + top).alias("user_id"), (F.col("event_id") + last + 1).alias("event_id"))).df
+
+
+@query("SELECT 'EKEYMISMATCH' AS code, count(*) AS pairs FROM events")
+def append_disorder(spark, d):
+    """Pairs in the wrong order are refused, and the table stays as it is."""
+    t, e = events(spark, d), read(spark, d, "events")
+    try:
+        mutate.append(t, e.select(F.col("event_id").alias("seq"), "user_id", (-F.col("event_id")).alias("event_id")))
+        code = "SUCCESS"
+    except StoreError as x:
+        code = x.code
+    return t.df.agg(F.lit(code).alias("code"), F.count("*").alias("pairs"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey < 200 OR l_orderkey > 800")
+def delete_range_closed(spark, d):
+    return lines(spark, d).delete_range((200,), (800,), end_included=True, counted=False)[0].df
+
+
 # The same questions and batches over whole tables: a probe near every row, keys with gaps, and batches as large as the table
 
 
@@ -518,7 +586,7 @@ def whole_upper_bound(spark, d, rows_per_bucket=50_000):
 
 @query("SELECT user_id, event_id FROM events UNION SELECT 3, event_id FROM events")
 def whole_put_multiple(spark, d):
-    return mutate.put_multiple(events(spark, d), (3,), read(spark, d, "events").select("event_id"))[0].df
+    return mutate.put_multiple(events(spark, d), (3,), read(spark, d, "events").select("event_id"), counted=False)[0].df
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT (SELECT max(o_orderkey) FROM orders) + 1 + o_orderkey, o_custkey FROM orders")
@@ -534,7 +602,7 @@ def whole_append_sorted(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE NOT (l_orderkey >= 200 AND l_orderkey < 800)")
 def delete_range(spark, d):
-    return lines(spark, d).delete_range((200,), (800,))[0].df
+    return lines(spark, d).delete_range((200,), (800,), counted=False)[0].df
 
 
 _P = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -550,7 +618,7 @@ for _what, _cond in _BUNCH.items():
     def _bunch(spark, d, what=_what):
         t = lines(spark, d)
         at = t.df.where("l_orderkey > 50").orderBy(*_P).offset(2).limit(1).collect()
-        return t.bunch_delete(what, tuple(at[0]))[0].df
+        return t.bunch_delete(what, tuple(at[0]), counted=False)[0].df
 
     query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem, {_AT} WHERE NOT {_cond.format(r='(l_orderkey, l_linenumber, l_partkey, l_suppkey)', p='a, b, c, e')}", f"bunch_{_what}")(_bunch)
 

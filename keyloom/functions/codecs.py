@@ -1,4 +1,4 @@
-"""Text codecs, byte-string slices and order-preserving keys, as Column expressions; base58 alone needs a Pandas UDF.
+"""Text codecs, byte-string slices and order-preserving keys, as Column expressions; base58 needs a Pandas UDF, the bits of doubles Arrow.
 
 Decoders give null for input that isn't valid (and for null); ``is_*`` tell which input is.
 """
@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -177,26 +179,24 @@ def i32_from_key(b: Column) -> Column:
 def key_from_double(x: Column) -> Column:
     """Eight bytes in the order of doubles: all bits of negative numbers are flipped, the sign bit of others. -0.0 sorts just before 0.0."""
 
-    @F.pandas_udf("binary")
-    def encode(s: pd.Series) -> pd.Series:
-        import numpy as np
-
-        bits = s.to_numpy(np.float64).view(np.uint64)
+    @F.arrow_udf("binary")
+    def encode(x: pa.Array) -> pa.Array:
+        bits = x.to_numpy(zero_copy_only=False).astype(np.float64).view(np.uint64)
         top = np.uint64(1 << 63)
-        out = np.where(bits & top, ~bits, bits | top).astype(">u8")
-        return pd.Series([out[i : i + 1].tobytes() for i in range(len(out))])
+        data = np.where(bits & top, ~bits, bits | top).astype(">u8").tobytes()
+        places = np.arange(len(x) + 1, dtype=np.int32) * 8
+        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(places), pa.py_buffer(data)])
 
     return F.when(x.isNotNull(), encode(F.coalesce(x.cast("double"), F.lit(0.0))))
 
 
 def double_from_key(b: Column) -> Column:
-    @F.pandas_udf("double")
-    def decode(s: pd.Series) -> pd.Series:
-        import numpy as np
-
-        raw = np.frombuffer(b"".join(s.tolist()), ">u8").astype(np.uint64)
+    @F.arrow_udf("double")
+    def decode(x: pa.Array) -> pa.Array:
+        places = np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, x.offset * 4)
+        raw = np.frombuffer(x.buffers()[2], ">u8", len(x), int(places[0])).astype(np.uint64)
         top = np.uint64(1 << 63)
-        return pd.Series(np.where(raw & top, raw & ~top, ~raw).view(np.float64))
+        return pa.array(np.where(raw & top, raw & ~top, ~raw).view(np.float64))
 
     return F.when(F.octet_length(b) == 8, decode(F.coalesce(F.when(F.octet_length(b) == 8, b), F.unhex(F.lit("00" * 8)))))
 

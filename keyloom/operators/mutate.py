@@ -116,13 +116,13 @@ def replace_value(table: OrderedTable, batch: DataFrame) -> tuple[OrderedTable,
     return table._like(kept.unionByName(done.select(*table.key, *table.value)).distinct()), rows.select("seq", *table.key, *old, *table.value, "code")
 
 
-def put_multiple(table: OrderedTable, key: tuple, values: DataFrame) -> tuple[OrderedTable, int]:
-    """Many values of one key at once; (new table, how many were new)."""
+def put_multiple(table: OrderedTable, key: tuple, values: DataFrame, *, counted: bool = True) -> tuple[OrderedTable, int | None]:
+    """Many values of one key at once; (new table, how many were new if they are to be ``counted``)."""
     rows = values.select(*table.value).distinct()
     for c, v in zip(table.key, key, strict=True):
         rows = rows.withColumn(c, F.lit(v).cast(table.df.schema[c].dataType))
     new = rows.join(table.df, table.key + table.value, "left_anti").select(*table.key, *table.value)
-    return table._like(table.df.unionByName(new)), new.count()
+    return table._like(table.df.unionByName(new)), new.count() if counted else None
 
 
 def append(table: OrderedTable, batch: DataFrame) -> OrderedTable:

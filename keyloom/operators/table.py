@@ -285,8 +285,8 @@ class OrderedTable:
 
     # Ranges to delete
 
-    def delete_range(self, begin: tuple | None, end: tuple | None, *, end_included: bool = False) -> tuple[OrderedTable, int]:
-        """(the table without pairs from begin up to end, how many those were). None is either end of the table; begin after end is ENODATA."""
+    def delete_range(self, begin: tuple | None, end: tuple | None, *, end_included: bool = False, counted: bool = True) -> tuple[OrderedTable, int | None]:
+        """(the table without pairs from begin up to end, how many those were if they are to be ``counted``). None is either end of the table; begin after end is ENODATA."""
         if begin is not None and end is not None and tuple(begin) > tuple(end):
             raise StoreError(ENODATA, "begin is after end")
         inside = F.lit(True)
@@ -296,7 +296,7 @@ class OrderedTable:
             here = self.order[0] if len(side) == 1 else ordered.key_struct(self.order[: len(side)])
             there = F.lit(side[0]) if len(side) == 1 else F.struct(*(F.lit(v).alias(f"_{i}") for i, v in enumerate(side)))
             inside = inside & (here >= there if low else here <= there if end_included else here < there)
-        return self._like(self.df.where(~inside)), self.df.where(inside).count()
+        return self._like(self.df.where(~inside)), self.df.where(inside).count() if counted else None
 
     def bunch(self, what: str, pair: tuple) -> Column:
         """The condition for the pairs that a bunch deletion at position ``pair`` (key, then value) takes."""
@@ -315,7 +315,7 @@ class OrderedTable:
             raise StoreError("EINVAL", what)
         return rules[what]
 
-    def bunch_delete(self, what: str, pair: tuple) -> tuple[OrderedTable, int]:
-        """(what stays, how many went)."""
+    def bunch_delete(self, what: str, pair: tuple, *, counted: bool = True) -> tuple[OrderedTable, int | None]:
+        """(what stays, how many went if they are to be ``counted``)."""
         gone = self.bunch(what, pair)
-        return self._like(self.df.where(~gone)), self.df.where(gone).count()
+        return self._like(self.df.where(~gone)), self.df.where(gone).count() if counted else None
