@@ -112,3 +112,24 @@ def test_near_duplicates_decide_by_id_and_text(spark, small):
     copies = spark.createDataFrame([(None, c, "u"), (None, c, "v"), (3, a, "m"), (3, b, "m"), (3, a, "k")], docs.schema)
     got = [sorted(map(tuple, corpus_pipeline.near_duplicates(spark, copies.repartition(k), small).collect()), key=str) for k in (1, 4)]
     assert got[0] == got[1] and sorted((x[0] or 0, x[1]) for x in got[0]) == sorted([(0, c), (3, a), (3, b)])
+
+
+def test_null_ids_and_null_test_items(spark, tmp_path):
+    """Rows without an id pass through all stages by their text; test items without a text or an id match nothing."""
+    r = random.Random(31)
+
+    def prose(n):
+        return " ".join("".join(r.choices(["the", "thing", "with", "ought"], k=r.randint(1, 3))) for _ in range(n))
+
+    item = prose(30)
+    rows = [(i, prose(40), "en") for i in range(60)] + [(i + 100, " ".join("".join(r.choices(["ement", "eau", "les"], k=2)) for _ in range(40)), "fr") for i in range(60)]
+    a, b = prose(50), prose(50)
+    rows += [(None, a, "en"), (None, a, "en"), (None, b, None), (None, item, "en"), (None, None, "en"), (None, "", "fr"), (500, b + " the", "en"), (501, prose(60_000), "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, a), (3, ""), (4, "!!")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in out if x.doc_id is not None} == {*range(60), *range(100, 160), 500, 501}
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    alone = [x for x in out if x.doc_id is None]
+    assert [x.length for x in alone] == [len(tokens.encode(a, add_special_tokens=False).ids) + 1]  # one of the copies; b is near 500, the item is contaminated
+    assert sum(x.length for x in out if x.doc_id == 501) == len(tokens.encode(dict((i, t) for i, t, _ in rows)[501], add_special_tokens=False).ids) + 1
