@@ -460,6 +460,37 @@ def mixed_batch(spark, d):
     return mutate.apply_mixed(_map(spark, d), gone.unionByName(late).unionByName(back))[0].df
 
 
+def _multi_mixed(spark, d):
+    """Every pair is deleted, added or added again; keys are deleted, some of them absent; their pairs are added, then deleted or added again."""
+    e = read(spark, d, "events").select("event_id", "user_id")
+    later = F.col("user_id") + 75
+
+    def ops(rows, seq, op, user, event):
+        return rows.select(seq.cast("bigint").alias("seq"), op.alias("op"), user.alias("user_id"), event.alias("event_id"))
+
+    n = F.col("event_id")
+    first = ops(e, n, F.element_at(F.array(*map(F.lit, ("delete", "upsert", "nodup"))), (n % 3 + 1).cast("int")), F.col("user_id"), n)
+    clear = ops(e.select("user_id").distinct(), later + 10**12, F.lit("delete_key"), later, F.lit(None).cast("bigint"))
+    fill = ops(e, n + 2 * 10**12, F.lit("nodup"), later, n)
+    again = ops(e, n + 3 * 10**12, F.when(n % 2 == 0, "delete").otherwise("nodup"), later, n)
+    return mutate.apply_mixed_multi(events(spark, d), first.unionByName(clear).unionByName(fill).unionByName(again))
+
+
+@query("SELECT user_id, event_id FROM events WHERE event_id % 3 <> 0 AND user_id NOT IN (SELECT user_id + 75 FROM events) UNION ALL SELECT user_id + 75, event_id FROM events WHERE event_id % 2 = 1")
+def multi_mixed_batch(spark, d):
+    return _multi_mixed(spark, d)[0].df
+
+
+@query(
+    "SELECT event_id AS seq, user_id, event_id, CASE WHEN event_id % 3 = 2 THEN 'KEYEXIST' ELSE 'SUCCESS' END AS code FROM events "
+    "UNION ALL SELECT DISTINCT user_id + 75 + 1000000000000, user_id + 75, NULL::BIGINT, CASE WHEN user_id + 75 IN (SELECT user_id FROM events WHERE event_id % 3 <> 0) THEN 'SUCCESS' ELSE 'NOTFOUND' END FROM events "
+    "UNION ALL SELECT event_id + 2000000000000, user_id + 75, event_id, 'SUCCESS' FROM events "
+    "UNION ALL SELECT event_id + 3000000000000, user_id + 75, event_id, CASE WHEN event_id % 2 = 0 THEN 'SUCCESS' ELSE 'KEYEXIST' END FROM events"
+)
+def multi_mixed_status(spark, d):
+    return _multi_mixed(spark, d)[1]
+
+
 # Multimaps: insertion of absent keys, the one value of a key, appending in order
 
 

@@ -216,6 +216,42 @@ def test_a_key_with_most_operations(spark):
     assert {s: got[s] for s in codes} == codes and {got[o[0]] for o in ops if o[1] == "what"} == {"EINVAL"} and len(got) == 2001
 
 
+def multi_model(start, ops):
+    now, codes = set(start), {}
+    for seq, op, k, v in ops:
+        if op == "delete_key":
+            mine = {p for p in now if p[0] == k}
+            codes[seq] = "SUCCESS" if mine else "NOTFOUND"
+            now -= mine
+        elif op == "delete":
+            codes[seq] = "SUCCESS" if (k, v) in now else "NOTFOUND"
+            now.discard((k, v))
+        elif op in ("upsert", "nodup"):
+            codes[seq] = "KEYEXIST" if op == "nodup" and (k, v) in now else "SUCCESS"
+            now.add((k, v))
+        else:
+            codes[seq] = "EINVAL"
+    return now, codes
+
+
+def test_mixed_batches_of_multimaps_equal_one_operation_after_the_other(spark):
+    rnd = random.Random(3)
+    start = sorted({(rnd.randrange(12), rnd.randrange(6)) for _ in range(30)})
+    kinds = ["upsert", "nodup", "delete", "delete", "delete_key", "what"]
+    ops = [(i, rnd.choice(kinds), 7 if rnd.random() < 0.4 else rnd.randrange(16), rnd.randrange(6)) for i in range(1500)]
+    ops = [(i, op, k, None if op == "delete_key" else v) for i, op, k, v in ops]
+    t = OrderedTable(spark.createDataFrame(start, "k bigint, v bigint"), ["k"], ["v"], value_mode="multi", rows_per_bucket=200)
+    nulls = [(5000, "delete_key", None, None), (5001, "delete", 7, None), (5002, "upsert", None, 1)]
+    new, said = mutate.apply_mixed_multi(t, spark.createDataFrame([*ops, *nulls], "seq bigint, op string, k bigint, v bigint"))
+    now, codes = multi_model(start, ops)
+    assert sorted(map(tuple, new.df.collect())) == sorted(now)
+    got = {r.seq: r.code for r in said.collect()}
+    assert got == codes | {5000: "NOTFOUND", 5001: "NOTFOUND", 5002: "SUCCESS"}
+    none = spark.createDataFrame([], "seq bigint, op string, k bigint, v bigint")
+    same, said = mutate.apply_mixed_multi(t, none)
+    assert sorted(map(tuple, same.df.collect())) == start and said.collect() == []
+
+
 def test_empty_batches_and_tables(spark):
     t = OrderedTable(spark.createDataFrame([(1, 2)], "k bigint, v bigint"), ["k"], ["v"])
     none = spark.createDataFrame([], "seq bigint, op string, k bigint, v bigint")
