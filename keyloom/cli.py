@@ -37,7 +37,8 @@ def parser() -> argparse.ArgumentParser:
         if name == "load":
             s.add_argument("-f", "--file", required=True)
             s.add_argument("-s", "--table")
-            s.add_argument("-N", "--keep", action="store_true", help="keep present pairs")
+            s.add_argument("-N", "--keep", action="store_true", help="keep what is present: only pairs of absent keys are added")
+            s.add_argument("-a", "--append", action="store_true", help="records are in order and come after all that is there")
             s.add_argument("-p", "--purge", action="store_true", help="empty tables first")
             s.add_argument("-r", "--rescue", action="store_true", help="skip malformed records")
             s.add_argument("-T", "--text", action="store_true", help="lines of keys and values without a header")
@@ -54,8 +55,9 @@ def raw(t: OrderedTable) -> OrderedTable:
     return OrderedTable(t.df.select(one(t.key).alias("key"), one(t.value).alias("value") if t.value else F.lit(b"").alias("value")), ["key"], ["value"], t.key_mode, t.value_mode)
 
 
-def load_into(store: Store, path: str, *, table: str | None = None, keep=False, purge=False, rescue=False) -> dict[str, int]:
-    """Loads a dump's tables; rows by table. A present sequence above the dump's is RESULT_TRUE."""
+def load_into(store: Store, path: str, *, table: str | None = None, keep=False, purge=False, rescue=False, append=False) -> dict[str, int]:
+    """Loads a dump's tables; rows by table. A present sequence above the dump's is RESULT_TRUE. With ``keep`` only pairs of absent keys are added, on multimaps
+    the first of each; with ``append`` records that aren't in order after all present ones are EKEYMISMATCH."""
     done = {}
     for s, t in dump.load(store.spark, path, rescue=rescue):
         name = table or s.name or "main"
@@ -68,7 +70,7 @@ def load_into(store: Store, path: str, *, table: str | None = None, keep=False,
             if purge:
                 old = old._like(old.df.limit(0))
             put = mutate.put_multi if t.multi else mutate.put
-            new, _ = put(old, batch, "insert" if keep and not t.multi else "upsert")
+            new = mutate.append(old, batch) if append else put(old, batch, mutate.INSERT if keep else mutate.UPSERT)[0]
             w.put_table(name, new, sequence=s.sequence)
             if s.canary:
                 w.canary(*s.canary)
@@ -123,7 +125,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if a.text:
                 print(a.table or "main", load_plain(store, a.file, a.table or "main"))
             else:
-                for name, n in load_into(store, a.file, table=a.table, keep=a.keep, purge=a.purge, rescue=a.rescue).items():
+                for name, n in load_into(store, a.file, table=a.table, keep=a.keep, purge=a.purge, rescue=a.rescue, append=a.append).items():
                     print(name, n)
         elif a.command == "stat":
             print(store.info())

@@ -132,6 +132,23 @@ def test_tools(spark, tmp_path, capsys):
         assert got(r.table("t")) == sorted(ODD)
 
 
+def test_loading_onto_a_multimap(spark, tmp_path):
+    more, later = str(tmp_path / "more.txt"), str(tmp_path / "later.txt")
+    s = Store(spark, str(tmp_path / "s"))
+    with s.transaction() as w:
+        w.put_table("t", raw(spark, [(b"b", b"1"), (b"c", b"3")], value_mode="multi"))
+    for path, pairs in ((more, [(b"a", b"1"), (b"a", b"2"), (b"b", b"9")]), (later, [(b"c", b"4"), (b"d", b"1")])):
+        with open(path, "w", encoding="ascii") as out:
+            out.write("\n".join(dump.dump_lines(raw(spark, pairs, value_mode="multi"), "t")) + "\n")
+    assert main(["load", str(tmp_path / "s"), "-f", more, "-N"], spark) == 0
+    with s.read() as r:
+        assert got(r.table("t")) == [(b"a", b"1"), (b"b", b"1"), (b"c", b"3")]
+    assert main(["load", str(tmp_path / "s"), "-f", later, "-a"], spark) == 0
+    with s.read() as r:
+        assert got(r.table("t")) == [(b"a", b"1"), (b"b", b"1"), (b"c", b"3"), (b"c", b"4"), (b"d", b"1")]
+    assert main(["load", str(tmp_path / "s"), "-f", more, "-a"], spark) == 2
+
+
 def test_a_stream_of_changes_is_applied_once(spark, tmp_path):
     from keyloom.streaming import apply_changes
 
