@@ -114,6 +114,21 @@ def test_headers_and_malformed_records(spark, tmp_path):
     assert got(dump.load(spark, str(tmp_path / "d.txt"), rescue=True)[0][1]) == [(b"b", b"1")]
 
 
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    files = [[f"a{i}" for i in range(3)], ["" if i % 5 == 0 else f"b{i}" for i in range(500)], ["c"]]
+    for k, lines in enumerate(files):
+        (tmp_path / f"part-{k}").write_text("\n".join(lines) + "\n", encoding="ascii")
+    want = list(enumerate(x for lines in files for x in lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "512"):  # the largest file is read first, and in the second case in several blocks
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = dump.numbered_lines(spark, str(tmp_path)).collect()
+            assert sorted((r.line_no, r.line) for r in rows) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_tools(spark, tmp_path, capsys):
     root, text = str(tmp_path / "s"), str(tmp_path / "d.txt")
     s = Store(spark, root)
