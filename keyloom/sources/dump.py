@@ -151,14 +151,14 @@ def read_header(lines: list[str]) -> Section:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, line_no) of a text file or folder of them, by file name and then by place.
 
-    A task reads a block of a file line after line, so a line's number is its place in its block after the lines of all blocks before. One row a block is broadcast.
+    A task reads a block of a file line after line, so a line's number is its place in its block after the lines of all blocks before. What is joined is one row a block, broadcast only where Spark finds it small.
     """
     block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     lines = spark.read.text(path).select(F.col("value").alias("line"), block.alias("_block"), F.monotonically_increasing_id().alias("_id"))
     blocks = lines.groupBy("_block").agg(F.min("_id").alias("_first"), F.count("line").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_base"))
-    return lines.join(F.broadcast(blocks), "_block").select("line", (F.col("_id") + F.col("_base")).alias("line_no"))
+    return lines.join(blocks, "_block").select("line", (F.col("_id") + F.col("_base")).alias("line_no"))
 
 
 def load(spark: SparkSession, path: str, *, rescue: bool = False) -> list[tuple[Section, OrderedTable]]:
