@@ -104,10 +104,21 @@ def extract(table: OrderedTable, batch: DataFrame) -> tuple[OrderedTable, DataFr
     return new, got.withColumn("value", F.when(F.col("code") == status.SUCCESS, F.col("value")))
 
 
-def replace_value(table: OrderedTable, batch: DataFrame) -> tuple[OrderedTable, DataFrame]:
-    """On a multimap, (seq, key, value columns, old_<value> columns): exchanges single pairs. NOTFOUND without the old pair; KEYEXIST if the new one is there."""
+def replace_value(table: OrderedTable, batch: DataFrame, *, repeats: bool = False) -> tuple[OrderedTable, DataFrame]:
+    """On a multimap, (seq, key, value columns, old_<value> columns): exchanges single pairs. NOTFOUND without the old pair; KEYEXIST if the new one is there.
+
+    With ``repeats`` pairs needn't differ: every row of the old pair is exchanged, whether or not the new one is there, and no row goes.
+    """
     old = [f"old_{c}" for c in table.value]
     a = table.df.select(*table.key, *(F.col(c).alias(o) for c, o in zip(table.value, old, strict=True))).withColumn("_a", F.lit(True))
+    if repeats:
+        rows = _marked(batch, table.key + old, a.distinct())
+        code = F.when(F.col("_a").isNull() | ~F.col("_is_first"), status.NOTFOUND).otherwise(status.SUCCESS)
+        first = batch.groupBy(*table.key, *old).agg(F.min_by(F.struct(*table.value), "seq").alias("_w"))
+        first = first.select(*table.key, *(F.col(o).alias(c) for c, o in zip(table.value, old, strict=True)), "_w")
+        met = table.df.join(first, table.key + table.value, "left")
+        now = (F.when(F.col("_w").isNull(), F.col(c)).otherwise(F.col(f"_w.{c}")).alias(c) for c in table.value)
+        return table._like(met.select(*table.key, *now)), rows.select("seq", *table.key, *old, *table.value, code.alias("code"))
     b = table.df.select(*table.key, *table.value).withColumn("_b", F.lit(True))
     rows = _marked(batch, table.key + old, a).join(b, table.key + table.value, "left")
     code = F.when(F.col("_a").isNull() | ~F.col("_is_first"), status.NOTFOUND).when(F.col("_b").isNotNull(), status.KEYEXIST).otherwise(status.SUCCESS)
