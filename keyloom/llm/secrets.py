@@ -13,8 +13,7 @@ nearby need fewer. Candidates with ``ratio`` or more of the shuffles' mean are r
 chance that a short random key meets phrases of the dictionary. Copies of the candidate that also follow a sensitive word, or lie in a base span, don't count
 as surroundings; copies elsewhere do.
 
-``train`` takes the dictionary's words from a bounded sample: ``sample_docs`` distinct texts, the least by a hash, of which ``sample_chars`` characters are
-read at a place that the hash tells. Scanning covers whole texts; without training the dictionary is the fixed one.
+``train`` counts the words of all texts, whole, and gives the commonest ones for the dictionary; without training it is the fixed one.
 
 Spans are in code points, end exclusive. Every text is scanned whole, in place; Arrow's linear-time matcher first tells
 which texts can have a match at all. A very long text takes memory in proportion to itself. Null texts are empty and have no spans. Repeated rows get equal results. An empty
@@ -27,6 +26,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,8 @@ AROUND = 1024
 REACH = 40
 SHUFFLES = 8
 MARGIN = 0.9
+# Words that a task counts before it passes them on, and characters of a text whose words aren't listed before they are counted.
+MOST_HELD, LONG = 200_000, 1_000_000
 # Words that names in code often hold.
 IDENTIFIERS = """
 account address admin alert api array authorization average backup balance bearer bucket buffer build builder cache callback candidate certificate class client
@@ -88,15 +90,42 @@ class Novelty:
         return (size(own) - empty) / max(1.0, shuffled)
 
 
-def train(docs: DataFrame, *, text_col="text", words=3000, sample_docs=2000, sample_chars=4000) -> tuple[str, ...]:
-    """The commonest words of 4 to 20 letters that two or more of the sampled texts have, by number of texts."""
+def words_of(text: str) -> set[str]:
+    """The different words of 4 to 20 letters that touch no digit, in lower case. Letters between digits are more likely a key's."""
+    runs = re.findall(r"[a-z0-9]{4,}", text) if len(text := text.lower()) <= LONG else (m.group() for m in re.finditer(r"[a-z0-9]{4,}", text))
+    return {w for w in runs if len(w) <= 20 and w.isalpha()}
+
+
+def train(docs: DataFrame, *, text_col="text", words=3000) -> tuple[str, ...]:
+    """The commonest words (see ``words_of``) that two or more different texts have, by number of texts: every text is read whole, and copies count once.
+
+    A text with n copies is counted n times as one of n, so that the counts of its words are divided by n and texts stay where they are; only a hash and a number
+    for each text with copies, and the counts, are shuffled.
+    """
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    n = texts.agg(F.approx_count_distinct("h")).first()[0]
-    few = texts.where(F.pmod("h", F.lit(1 << 30)) < (2.0 * sample_docs + 50) / max(1, n) * (1 << 30))
-    start = F.pmod(F.shiftright("h", 30), F.greatest(F.length("text") - sample_chars + 1, F.lit(1))) + 1
-    few = few.select("h", F.col("text").substr(start.cast("int"), F.lit(sample_chars)).alias("text")).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(sample_docs)
-    seen = few.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,20}"), 0))).alias("word")).groupBy("word").count().where("count > 1")
-    return tuple(r.word for r in seen.orderBy(F.desc("count"), "word").limit(words).collect())
+    scratch = textops.Scratch(docs.sparkSession)
+    copied = scratch.save(texts.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"), "copied")
+    told = texts.join(textops.small(copied), "h", "left").select("text", F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies"))
+
+    def run(batches):
+        def flush():
+            for n, found in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array([n] * len(found), pa.int64()), pa.array(found.values(), pa.int64())], ["word", "copies", "n"])
+
+        seen = {}
+        for batch in textops.sliced(batches, "text"):
+            for text, n in zip(batch["text"], batch["copies"].to_pylist(), strict=True):
+                seen.setdefault(n, Counter()).update(words_of(text.as_py()))
+            if sum(map(len, seen.values())) > MOST_HELD:
+                yield from flush()
+                seen = {}
+        yield from flush()
+
+    counts = textops.in_small_batches(told).mapInArrow(run, "word string, copies bigint, n bigint").groupBy("word", "copies").agg(F.sum("n").alias("n"))
+    by_word = counts.groupBy("word").agg(F.sum(F.expr("n div copies")).alias("texts")).where("texts > 1")
+    common = tuple(r.word for r in by_word.orderBy(F.desc("texts"), "word").limit(words).collect())
+    scratch.drop("copied")
+    return common
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
