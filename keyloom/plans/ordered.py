@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a bucket aimed at, and the most buckets; both are parameters of the tables that use them.
 ROWS_PER_BUCKET, MOST_BUCKETS = 250_000, 32_768
-COARSE, MOST_COARSE = 8, 128
+#: Cuts that are compared in an expression, and stretches of a table between which a row is told at each further level.
+COARSE, MOST_COARSE = 8, 8
 #: Sampled rows for each bucket, and in all.
 SAMPLE, MOST_SAMPLED = 50, 500_000
 #: Up to so many probes are collected to see whether they are few, and up to so many distinct ones are few.
@@ -34,46 +35,69 @@ def bucket_count(rows: int, rows_per_bucket: int, most: int) -> int:
     return max(1, min(most, math.ceil(rows / rows_per_bucket)))
 
 
-def split_points(df: DataFrame, order: list[Column], rows_per_bucket: int = ROWS_PER_BUCKET, most: int = MOST_BUCKETS, rows: int | None = None) -> list:
-    """Sorted order keys that cut ``df`` into buckets of about equal size; the sample has about SAMPLE rows a bucket, and MOST_SAMPLED at most. ``rows`` is their number, if it is known."""
+def sampled_cuts(df: DataFrame, order: list[Column], rows_per_bucket: int = ROWS_PER_BUCKET, most: int = MOST_BUCKETS, rows: int | None = None) -> list:
+    """As ``split_points``, with a key as often as it cuts: twice or more if it has about a bucket's rows or more."""
     n = df.count() if rows is None else rows
     buckets = bucket_count(n, rows_per_bucket, most)
     if buckets <= 1:
         return []
-    picked = df.select(key_struct(order).alias("k")).sample(False, min(1.0, min(SAMPLE * buckets, MOST_SAMPLED) / n), 7).orderBy("k").collect()
-    cuts = [picked[len(picked) * i // buckets].k for i in range(1, buckets)] if picked else []
+    picked = df.select(key_struct(order).alias("k")).sample(False, min(1.0, min(SAMPLE * buckets, MOST_SAMPLED) / n), 7).repartition(1).sortWithinPartitions("k").collect()  # an orderBy would read everything once more
+    return [picked[len(picked) * i // buckets].k for i in range(1, buckets)] if picked else []
+
+
+def distinct_cuts(cuts: list) -> list:
     return [k for i, k in enumerate(cuts) if i == 0 or k != cuts[i - 1]]
 
 
+def split_points(df: DataFrame, order: list[Column], rows_per_bucket: int = ROWS_PER_BUCKET, most: int = MOST_BUCKETS, rows: int | None = None) -> list:
+    """Sorted order keys that cut ``df`` into buckets of about equal size; the sample has about SAMPLE rows a bucket, and MOST_SAMPLED at most. ``rows`` is their number, if it is known."""
+    return distinct_cuts(sampled_cuts(df, order, rows_per_bucket, most, rows))
+
+
+def above(key: list[Column], cut: list[Column], at: bool) -> Column:
+    """Whether a key is above a cut (or ``at`` it), nulls first: plain comparisons, of which most rows need the first."""
+    out = F.lit(at)
+    for k, c in reversed(list(zip(key, cut, strict=True))):
+        out = F.coalesce(k > c, k.isNotNull() & c.isNull()) | (k.eqNullSafe(c) & out)
+    return out
+
+
 def bucket(df: DataFrame, order: list[Column], cuts: list, *, at: bool = True) -> Column:
     """The number of cuts at or below a row's key (below it, unless ``at``): a comparison for each cut, so for few of them."""
     if not cuts:
         return F.lit(0)
     kinds = [f.dataType for f in df.select(key_struct(order).alias("k")).schema["k"].dataType.fields]
-    key, total = key_struct(order), F.lit(0)
+    total = F.lit(0)
     for k in cuts:
-        cut = F.struct(*(F.lit(v).cast(t).alias(f"_{i}") for i, (v, t) in enumerate(zip(k, kinds, strict=True))))
-        total = total + ((cut <= key) if at else (cut < key)).cast("int")
+        total = total + above(order, [F.lit(v).cast(t) for v, t in zip(k, kinds, strict=True)], at).cast("int")
     return total
 
 
 def in_buckets(df: DataFrame, order: list[Column], cuts: list, *, at: bool = True) -> DataFrame:
     """``df`` with its bucket ``_b``, the number of cuts at or below a row's key (below it, unless ``at``).
 
-    Few cuts are compared one by one. Of more, every so manieth is, and the stretches between the cuts after it come from a small broadcast table,
-    of which a row meets about the square root of the number of cuts.
+    Few cuts are compared one by one. Of more, every so manieth is, and the stretches between come from small broadcast tables, one for each level
+    of a tree, at each of which a row meets MOST_COARSE stretches: steps grow with the logarithm of the number of cuts.
     """
     if len(cuts) <= COARSE:
         return df.withColumn("_b", bucket(df, order, cuts, at=at))
-    step = math.ceil(len(cuts) / min(MOST_COARSE, math.ceil(math.sqrt(len(cuts)))))
+    size, ends = 1, [None, *cuts, None]
+    while len(cuts) // size > COARSE:
+        size *= MOST_COARSE
     kind = df.select(key_struct(order).alias("k")).schema["k"].dataType.simpleString()
-    ends = [None, *cuts, None]
-    made = [((i + step - 1) // step, ends[i], ends[i + 1], i) for i in range(len(cuts) + 1)]
-    table = F.broadcast(df.sparkSession.createDataFrame(made, f"_c int, _lo {kind}, _hi {kind}, _b int"))
-    lo, hi, key = F.col("_lo"), F.col("_hi"), F.col("_key")
-    inside = (lo.isNull() | ((lo <= key) if at else (lo < key))) & (hi.isNull() | ((key < hi) if at else (key <= hi)))
-    rows = df.withColumn("_key", key_struct(order)).withColumn("_at", bucket(df, order, cuts[::step], at=at))
-    return rows.join(table, (F.col("_at") == F.col("_c")) & inside).drop("_key", "_at", "_c", "_lo", "_hi")
+    places = range(len(order))
+    key, lo, hi = ([F.col(f"{c}{i}") for i in places] for c in ("_key", "_lo", "_hi"))
+    rows = df.withColumns({f"_key{i}": c for i, c in enumerate(order)})
+    rows = rows.withColumn("_b", bucket(rows, key, cuts[size - 1 :: size], at=at))
+    while size > 1:
+        step = size // MOST_COARSE
+        made = [(i // size, ends[i], ends[min(i + step, len(cuts) + 1)], i // step) for i in range(0, len(cuts) + 1, step)]
+        table = df.sparkSession.createDataFrame(made, f"_c int, _lo {kind}, _hi {kind}, _n int")
+        table = table.select("_c", "_n", F.col("_lo").isNull().alias("_first"), F.col("_hi").isNull().alias("_last"), *(F.col(f"{c}._{i}").alias(f"{c}{i}") for c in ("_lo", "_hi") for i in places))
+        inside = (F.col("_first") | above(key, lo, at)) & (F.col("_last") | ~above(key, hi, at))
+        rows = rows.join(F.broadcast(table), (F.col("_b") == F.col("_c")) & inside).withColumn("_b", F.col("_n")).drop(*table.columns)
+        size = step
+    return rows.drop(*(f"_key{i}" for i in places))
 
 
 def bucketed(df: DataFrame, order: list[Column], rows_per_bucket: int = ROWS_PER_BUCKET, most: int = MOST_BUCKETS, rows: int | None = None) -> tuple[DataFrame, int]:
@@ -109,9 +133,10 @@ def at_places(df: DataFrame, order: list[Column], wanted, name: str = "position"
     return placed.where(F.col(name).isin(list(places))).drop("_b")
 
 
-def with_neighbour(df: DataFrame, order: list[Column], payload: Column, name: str, *, forward: bool = True, **size) -> DataFrame:
-    """Adds the payload of the next (or previous) row in the order; null at the end."""
-    rows, buckets = bucketed(df, order, **size)
+def with_neighbour(df: DataFrame, order: list[Column], payload: Column, name: str, *, forward: bool = True, like: DataFrame | None = None, **size) -> DataFrame:
+    """Adds the payload of the next (or previous) row in the order; null at the end. ``like``: rows with about the same keys that are cheaper to read, for the split points."""
+    cuts = split_points(df if like is None else like, order, **size)
+    rows, buckets = in_buckets(df, order, cuts), len(cuts) + 1
     rows = rows.withColumn("_p", payload)
     inside = Window.partitionBy("_b").orderBy(*order)
     near = (F.lead if forward else F.lag)("_p").over(inside)
@@ -124,11 +149,12 @@ def with_neighbour(df: DataFrame, order: list[Column], payload: Column, name: st
     return rows.withColumn(name, near).join(F.broadcast(edges), "_b").withColumn(name, F.coalesce(name, "_e")).drop("_b", "_p", "_e")
 
 
-def meet_one(many: DataFrame, one: DataFrame, on: list[str], count: str) -> DataFrame:
+def meet_one(many: DataFrame, one: DataFrame, on: list[str], count: str, counts: DataFrame | None = None) -> DataFrame:
     """``many`` LEFT JOIN ``one``, which has a row for each ``on`` with the number of rows in ``many``, ``count``. Keys with more than ROWS_PER_PART rows are cut
-    into parts, each of which meets a copy of the row; the list of such keys, at most one for each ROWS_PER_PART rows, is broadcast."""
+    into parts, each of which meets a copy of the row; the list of such keys, at most one for each ROWS_PER_PART rows, is broadcast. ``counts``: a frame with these
+    numbers that is cheaper to read."""
     parts = F.ceil(F.col(count) / ROWS_PER_PART).cast("bigint")
-    heavy = F.broadcast(one.where(F.col(count) > ROWS_PER_PART).select(*on, parts.alias("_parts")))
+    heavy = F.broadcast((one if counts is None else counts).where(F.col(count) > ROWS_PER_PART).select(*on, parts.alias("_parts")))
     cut = many.join(heavy, on, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1)))).drop("_parts")
     copies = one.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(parts, F.lit(1)) - 1))).drop(count)
     return cut.join(copies, [*on, "_part"], "left").drop("_part")
@@ -155,53 +181,64 @@ def lookup_few(rows: DataFrame, asked: list, keys: list[str], *, floor: bool, st
     return points.join(F.broadcast(best), "_b", "left").select(*keys, carry.alias("_f"))
 
 
-def lookup_many(rows: DataFrame, asked: DataFrame, keys: list[str], n: int, *, floor: bool, strict: bool, **size) -> DataFrame:
-    """As ``lookup_few`` for a frame of distinct keys and how often each is asked, ``_asked``: rows and keys are cut into buckets together."""
-    before = floor != strict  # whether data sorts before equal probes
-    kind = rows.schema["_h"].dataType
-    both = rows.select(*keys, F.lit(0 if before else 1).alias("_s"), "_h").unionByName(asked.select(*keys, F.lit(1 if before else 0).alias("_s"), F.lit(None).cast(kind).alias("_h"), "_asked"), allowMissingColumns=True)
+def carried(both: DataFrame, rows: DataFrame, keys: list[str], cuts: list, *, floor: bool) -> DataFrame:
+    """``both``, of data rows and rows that ask, with ``_f``: the ``_h`` of the nearest data row before (``floor``) or behind in the order of the keys, then ``_s``. ``rows``: the data rows alone."""
     cols = [F.col(k) for k in keys]
-    both, buckets = bucketed(both, cols, rows=n, **size)
     # a frame that grows row by row costs one step a row; one that shrinks would be rebuilt for each, so ceilings walk backwards
     w = Window.partitionBy("_b").orderBy(*(c if floor else c.desc() for c in [*cols, F.col("_s")]))
-    found = F.last("_h", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    answers = both.withColumn("_f", found).where("_h is null").drop("_h", "_s")
-    if buckets > 1:
-        top = F.max_by("_h", key_struct(cols)) if floor else F.min_by("_h", key_struct(cols))
-        edges = both.where("_h is not null").groupBy("_b").agg(top.alias("_e"))
-        every = rows.sparkSession.range(buckets).select(F.col("id").cast("int").alias("_b")).join(edges, "_b", "left")
-        over = Window.orderBy("_b")
-        carry = F.last("_e", True).over(over.rowsBetween(Window.unboundedPreceding, -1)) if floor else F.first("_e", True).over(over.rowsBetween(1, Window.unboundedFollowing))
-        answers = answers.join(F.broadcast(every.select("_b", carry.alias("_e"))), "_b").withColumn("_f", F.coalesce("_f", "_e")).drop("_e")
-    return answers.select(*keys, "_f", "_asked")
-
-
-def lookup(data: DataFrame, probes: DataFrame, order: list[tuple[Column, Column]], payload: Column, name: str, *, floor: bool, strict: bool, prefix: int = 0, **size) -> DataFrame:
+    found = in_buckets(both, cols, cuts).withColumn("_f", F.last("_h", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if not cuts:
+        return found.drop("_b", "_h")
+    top = F.max_by("_h", key_struct(cols)) if floor else F.min_by("_h", key_struct(cols))
+    edges = in_buckets(rows, cols, cuts).groupBy("_b").agg(top.alias("_e"))
+    every = rows.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_b")).join(edges, "_b", "left")
+    over = Window.orderBy("_b")
+    carry = F.last("_e", True).over(over.rowsBetween(Window.unboundedPreceding, -1)) if floor else F.first("_e", True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    edge = F.broadcast(every.select("_b", carry.alias("_e")))
+    return found.drop("_h").where("_a").join(edge, "_b").withColumn("_f", F.coalesce("_f", "_e")).drop("_b", "_e")
+
+
+def lookup(data: DataFrame, probes: DataFrame, order: list[tuple[Column, Column]], payload: Column, name: str, *, floor: bool, strict: bool, prefix: int = 0, like: DataFrame | None = None, **size) -> DataFrame:
     """``probes`` with ``name``: the payload of the nearest data row at or below (``floor``) or above the probe, strictly or not; null if none.
 
     ``order``: pairs of (data column, probe column). The first ``prefix`` of them must be equal for a hit, so a lookup within a key is a lookup in the order
-    of (key, value) whose hit has another key or not: large keys are cut like any range. Equal probe keys are looked up once, and a key that very many probes
-    share is cut where they meet its answer. A null in a probe key finds nothing.
+    of (key, value) whose hit has another key or not: large keys are cut like any range. Probes are cut into buckets together with the data, and take their
+    answer there. Only where a key has a bucket's rows or more, equal probe keys are looked up once, and a key that very many probes share is cut where they meet
+    its answer. A null in a probe key finds nothing. ``like``: rows with the same keys as ``probes`` that are cheaper to read; they are counted and sampled in their place.
     """
     keys = [f"_k{i}" for i in range(len(order))]
+    cols = [F.col(k) for k in keys]
     rows = data.select(*(d.alias(k) for (d, _), k in zip(order, keys, strict=True)), payload.alias("_p"))
-    rows = rows.select(*keys, F.struct(*(F.col(k) for k in keys), F.col("_p").alias("p")).alias("_h"))
-    tagged = probes.withColumns({k: p for (_, p), k in zip(order, keys, strict=True)})
+    tag = lambda x: x.withColumns({k: p for (_, p), k in zip(order, keys, strict=True)})
+    tagged = tag(probes)
+    asking = tagged.select(*keys) if like is None else tag(like).select(*keys)
     if (kinds := rows.select(*keys).dtypes) != tagged.select(*keys).dtypes:  # compared as a union would
         kinds = rows.select(*keys).limit(0).unionByName(tagged.select(*keys).limit(0)).dtypes
-        rows, tagged = (x.withColumns({k: F.col(k).cast(t) for k, t in kinds}) for x in (rows, tagged))
-    n = probes.count()
-    few = few_keys(tagged, keys, n)
-    how = {"floor": floor, "strict": strict}
-    if few is not None:
-        found = lookup_few(rows, few, keys, **how)
-    else:
-        asked = tagged.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_asked"))
-        found = lookup_many(rows, asked, keys, data.count() + n, **how, **size)
+        rows, tagged, asking = (x.withColumns({k: F.col(k).cast(t) for k, t in kinds}) for x in (rows, tagged, asking))
+    rows = rows.select(*keys, F.struct(*cols[:prefix], F.col("_p").alias("p")).alias("_h"))
+    n = asking.count()
+    few = few_keys(asking, keys, n)
     same = F.lit(True)
     for k in keys[:prefix]:
         same = same & (F.col(f"_f.{k}") == F.col(k))
+    for k in keys[prefix:]:
+        same = same & F.col(k).isNotNull()
     answer = F.when(same, F.col("_f.p")).alias(name)
     if few is not None:
+        found = lookup_few(rows, few, keys, floor=floor, strict=strict)
         return tagged.join(F.broadcast(found.select(*keys, answer)), keys, "left").drop(*keys)
-    return meet_one(tagged, found.select(*keys, answer, "_asked"), keys, "_asked").drop(*keys)
+
+    n += data.count()
+    cuts = sampled_cuts(rows.select(*keys).unionByName(asking), cols, rows=n, **size)
+    hot, cuts = len(distinct_cuts(cuts)) < len(cuts), distinct_cuts(cuts)
+    if hot:
+        asked = asking.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_asked"))
+        cuts = split_points(rows.select(*keys).unionByName(asked.select(*keys)), cols, rows=n, **size)
+    else:
+        asked = tagged.select(*keys, F.struct(*probes.columns).alias("_row"))
+    first = floor != strict  # whether data sorts before equal probes
+    both = rows.withColumns({"_s": F.lit(0 if first else 1), "_a": F.lit(False)}).unionByName(asked.withColumns({"_s": F.lit(1 if first else 0), "_a": F.lit(True)}), allowMissingColumns=True)
+    found = carried(both, rows, keys, cuts, floor=floor).where("_a")
+    if hot:
+        return meet_one(tagged, found.select(*keys, answer, "_asked"), keys, "_asked", asked).drop(*keys)
+    return found.select("_row.*", answer)
