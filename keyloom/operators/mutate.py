@@ -179,7 +179,7 @@ def apply_mixed_multi(table: OrderedTable, batch: DataFrame) -> tuple[OrderedTab
     """A mixed batch (seq, op, key columns, value columns) on a multimap, in any order and on the same keys and pairs.
 
     op is upsert (adds the pair if it isn't there), nodup (as upsert, but KEYEXIST if it is), delete (the pair) or delete_key (the key with all its
-    values; its value columns don't count); another op is EINVAL. Whether a pair is there follows from two ordered lookups: the last operation on the pair, and the last
+    values; its value columns don't count); another op is EINVAL. Whether a pair is there follows from the operation before in the order of pairs, and an ordered lookup of the last
     deletion of its key. A deletion of a key finds something if the pairs added since the last such deletion outnumber those deleted, which is one sum for each
     two deletions. A null in a pair (for delete_key: in a key) makes deletions NOTFOUND, and nothing is added.
     """
@@ -187,19 +187,26 @@ def apply_mixed_multi(table: OrderedTable, batch: DataFrame) -> tuple[OrderedTab
         raise status.StoreError(status.INCOMPATIBLE, "use apply_mixed")
     key, pair = list(table.key), list(table.key + table.value)
     batch = batch.select(F.col("seq").cast("bigint").alias("seq"), "op", *pair)
-    size = {"floor": True, "strict": True, "rows_per_bucket": table.rows_per_bucket}
     single = F.col("op").isin(UPSERT, NODUP, DELETE)
-    clears = batch.where(F.col("op") == DELETE_KEY).select("seq", *key)
-
-    mark = lambda live: F.struct("seq", live.alias("live"))
+    singles, clears = batch.where(single), batch.where(F.col("op") == DELETE_KEY)
     start = F.lit(BEFORE_ALL).cast("bigint")
-    before = table.df.join(batch.where(single).select(*pair).distinct(), pair, "left_semi").select(start.alias("seq"), *pair).withColumn("_mark", mark(F.lit(True)))
-    decide = batch.where(single).withColumn("_mark", mark(F.col("op") != DELETE)).select("seq", *pair, "_mark")
-    met = lookup(before.unionByName(decide), batch.where(single), [(F.col(c), F.col(c)) for c in [*pair, "seq"]], F.col("_mark"), "_met", prefix=len(pair), **size)
-    met = met.unionByName(batch.where(F.col("op") == DELETE_KEY), allowMissingColumns=True)
-    met = lookup(clears, met, [(F.col(c), F.col(c)) for c in [*key, "seq"]], F.col("seq"), "_clear", prefix=len(key), **size)
-    met = met.withColumn("_clear", F.coalesce("_clear", start))
-    here = F.coalesce(F.col("_met.live") & (F.col("_met.seq") >= F.col("_clear")), F.lit(False))
+    size = {"rows_per_bucket": table.rows_per_bucket}
+
+    def cleared_before(rows: DataFrame, like: DataFrame) -> DataFrame:
+        order = [(F.col(c), F.col(c)) for c in [*key, "seq"]]
+        met = lookup(clears.select("seq", *key), rows, order, F.col("seq"), "_clear", floor=True, strict=True, prefix=len(key), like=like, **size)
+        return met.withColumn("_clear", F.coalesce("_clear", start))
+
+    # the operation before in the order of pairs, if it is on the same pair; split points and counts come from the batch itself
+    before = table.df.join(singles.select(*pair).distinct(), pair, "left_semi").select(start.alias("seq"), F.lit(None).cast("string").alias("op"), *pair)
+    live = F.coalesce(F.col("op") != DELETE, F.lit(True))
+    mark = F.struct(*pair, "seq", live.alias("live"))
+    met = with_neighbour(before.unionByName(singles), [F.col(c) for c in [*pair, "seq"]], mark, "_met", forward=False, like=singles, **size).where("op is not null")
+    met = cleared_before(met, singles)
+    same = F.lit(True)
+    for c in pair:
+        same = same & (F.col(f"_met.{c}") == F.col(c))
+    here = F.coalesce(same & F.col("_met.live") & (F.col("_met.seq") >= F.col("_clear")), F.lit(False))
     met = met.withColumn("_here", here)
 
     # what each deletion of a key finds: the pairs from before the batch, if it is the first, and the sum of changes since the last one
@@ -208,18 +215,18 @@ def apply_mixed_multi(table: OrderedTable, batch: DataFrame) -> tuple[OrderedTab
         whole = whole & F.col(c).isNotNull()
     change = F.when(whole & (F.col("op") != DELETE) & ~F.col("_here"), 1).when((F.col("op") == DELETE) & F.col("_here"), -1).otherwise(0)
     had = table.df.join(clears.select(*key).distinct(), key, "left_semi").select(*key, start.alias("_clear"), F.lit(1).alias("_change"))
-    left = met.where(single).select(*key, "_clear", change.alias("_change")).unionByName(had).groupBy(*key, "_clear").agg(F.sum("_change").alias("_left"))
-    cleared = met.where(F.col("op") == DELETE_KEY).join(left, [*key, "_clear"], "left")
+    left = met.select(*key, "_clear", change.alias("_change")).unionByName(had).groupBy(*key, "_clear").agg(F.sum("_change").alias("_left"))
+    cleared = cleared_before(clears, clears).join(left, [*key, "_clear"], "left")
 
     there = F.when(F.col("_here"), status.SUCCESS).otherwise(status.NOTFOUND)
     code = F.when(F.col("op") == UPSERT, status.SUCCESS).when(F.col("op") == NODUP, F.when(F.col("_here"), status.KEYEXIST).otherwise(status.SUCCESS)).otherwise(there)
-    said = met.where(single).select("seq", *pair, code.alias("code"))
+    said = met.select("seq", *pair, code.alias("code"))
     said = said.unionByName(cleared.select("seq", *pair, F.when(F.col("_left") > 0, status.SUCCESS).otherwise(status.NOTFOUND).alias("code")))
     known = F.coalesce(F.col("op").isin(UPSERT, NODUP, DELETE, DELETE_KEY), F.lit(False))
     said = said.unionByName(batch.where(~known).select("seq", *pair, F.lit(status.EINVAL).alias("code")))
 
     # afterwards: the last operation on a pair holds, unless its key was deleted later
-    last = batch.where(single).dropna(subset=pair).groupBy(*pair).agg(F.max_by(F.struct("seq", "op"), "seq").alias("_w"))
+    last = singles.dropna(subset=pair).groupBy(*pair).agg(F.max_by(F.struct("seq", "op"), "seq").alias("_w"))
     ends = batch.where(single | (F.col("op") == DELETE_KEY)).dropna(subset=key).groupBy(*key).agg(F.max(F.when(F.col("op") == DELETE_KEY, F.col("seq"))).alias("_end"), F.count("*").alias("_ops"))
     new = meet_one(last, ends, key, "_ops").where((F.col("_w.op") != DELETE) & (F.col("_end").isNull() | (F.col("_w.seq") > F.col("_end"))))
     kept = table.df.join(last.select(*pair), pair, "left_anti").join(clears.select(*key).distinct(), key, "left_anti")

@@ -47,6 +47,12 @@ def test_probes_are_shuffled_once(spark, op, monkeypatch):
     assert plan(core.QUERIES[f"whole_pair_{op}"](spark, SF, rows_per_bucket=50)).count("hashpartitioning") <= 3
 
 
+def test_mixed_batches_are_shuffled_few_times(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "FEW_PROBES", 1)
+    text = plan(core.QUERIES["multi_mixed_status"](spark, SF))
+    assert text.count("Exchange ") <= 20 and text.count("FileScan") <= 30
+
+
 @pytest.mark.parametrize("floor", [True, False])
 def test_hot_probes_equal_others(spark, floor, monkeypatch):
     """A probe key with more rows than a bucket takes the way that looks it up once; nulls find nothing on either."""
