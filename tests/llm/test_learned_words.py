@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from keyloom.llm import queries as llm
 from keyloom.llm import secrets
 
@@ -43,3 +44,11 @@ def test_the_query_learns_from_all_texts(spark, corpus, tmp_path, monkeypatch):
     monkeypatch.setattr(secrets, "scan", lambda *a, **k: given.append(k["words"]) or scan(*a, **k))
     llm.op5_secret_scans(spark, str(tmp_path))
     assert given == [plain(corpus)]
+
+
+def test_the_pipeline_learns_from_all_texts(spark, corpus, monkeypatch):
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(corpus)], "doc_id bigint, text string, n_chars int")
+    given, scan = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda *a, **k: given.append(k["words"]) or scan(*a, **k))
+    corpus_pipeline.secret_scan(spark, docs, "")
+    assert given == [plain(corpus)]
