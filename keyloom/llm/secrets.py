@@ -68,8 +68,11 @@ class Novelty:
 
     def __init__(self, words: tuple[str, ...] = ()):
         months = (f"{y}-{m:02d}-" for y in range(1990, 2040) for m in range(1, 13))
-        primed = zstandard.ZstdCompressionDict(self.coded(" ".join([*words, *months, *IDENTIFIERS])).tobytes(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        how = zstandard.ZstdCompressionParameters.from_level(9, strategy=zstandard.STRATEGY_LAZY2, window_log=19, hash_log=17, chain_log=17, search_log=9, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+        listed = self.coded(" ".join([*words, *months, *IDENTIFIERS])).tobytes()
+        primed = zstandard.ZstdCompressionDict(listed, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        # a tree over the whole window finds words wherever they are listed; lazy2's tables lost those listed first, the commonest
+        window = max(19, len(listed).bit_length() + 1)
+        how = zstandard.ZstdCompressionParameters.from_level(9, strategy=zstandard.STRATEGY_BTLAZY2, window_log=window, hash_log=18, chain_log=window + 1, search_log=9, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
         primed.precompute_compress(compression_params=how)
         self.compressor = zstandard.ZstdCompressor(compression_params=how, dict_data=primed)
 

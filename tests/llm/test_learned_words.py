@@ -52,3 +52,21 @@ def test_the_pipeline_learns_from_all_texts(spark, corpus, monkeypatch):
     monkeypatch.setattr(secrets, "scan", lambda *a, **k: given.append(k["words"]) or scan(*a, **k))
     corpus_pipeline.secret_scan(spark, docs, "")
     assert given == [plain(corpus)]
+
+
+def test_every_learned_word_counts_whatever_its_rank(spark):
+    """Names made of learned words stay as they are, those of the commonest ones as well; random keys go all the same."""
+    r = random.Random(6)
+    parts = [a + b + c for a in "bcdfghklmnprstvw" for b in "aeiou" for c in ("", "", "n", "r", "s", "t")]
+    names = list(dict.fromkeys("".join(r.choices(parts, k=r.randint(2, 5))) for _ in range(6000)))
+    names = [w for w in names if 4 <= len(w) <= 20][:3000]
+    texts = [f"{k} " + " ".join(names[: 3000 - 70 * max(0, k - 1)]) for k in range(40)]
+    readable = ["key: " + "_".join(names[k : k + 4]) + "_2" for k in range(0, 3000, 20)]
+    keys = ["key: A1" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n)) for n in range(20, 70)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate([*texts, *texts[-1:], *readable, *keys])], "doc_id bigint, text string, n_chars int")
+    assert set(secrets.train(docs)) == set(names)
+    out = {x.doc_id: x.text for x in corpus_pipeline.secret_scan(spark, docs, "").collect()}
+    first = len(texts) + 1
+    found = [k for k, t in enumerate(readable) if out[first + k] != t]
+    assert len(found) <= 7, found
+    assert [out[first + len(readable) + k] for k in range(len(keys))] == [f"key: {corpus_pipeline.SECRET_MARK}"] * len(keys)
