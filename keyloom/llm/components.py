@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.textops import checkpointed
+from keyloom.llm.textops import Scratch
 
 
 def _print(edges: DataFrame):
@@ -17,18 +17,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link; the component is its least node.
 
     Links may repeat, have either direction and join a node to itself (such links do nothing). Every step aggregates
-    minima before it shuffles and is checkpointed; the driver sees a count and a checksum of edges only.
+    minima before it shuffles and is written; the driver sees a count and a checksum of edges only.
     """
+    scratch, step = Scratch(links.sparkSession), 0
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = checkpointed(edges)
+    edges = scratch.save(edges, "edges0")
     seen = _print(edges)
     while seen[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.where("u <> v").distinct())
+        step += 1
+        edges = scratch.save(small.where("u <> v").distinct(), f"edges{step}")
+        scratch.drop(f"edges{step - 1}")
         now = _print(edges)
         if now == seen:
             break

@@ -16,6 +16,7 @@ Star rounds repeat, with other centres, while they still save much of the exact
 
 No task holds a hot group. A pair brings only the partner's set to a centre's: centres with more than ``PAIRS_PER_TASK`` pairs are cut into parts by the partner, and their
 own set is sent once a part. In the exact rest a shingle with much work is cut alike. Ids are broadcast below a size in bytes, beyond which the same joins shuffle.
+Between steps, ids, pairs and links are written as Parquet: small ones are read back in few tasks, whatever the number of shuffle partitions, as the driver keeps an account of every task.
 
 Null, empty and wordless texts have an empty set and are linked with nothing; with fewer than n words the whole
 sequence is the one shingle. Rows that share an id are one node. A null id is its own component (null). Repeated rows
@@ -34,7 +35,6 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import textops
 from keyloom.llm.components import components
-from keyloom.llm.textops import checkpointed
 
 BLOCKS = 64
 PARITY_WORDS = 8
@@ -176,10 +176,10 @@ def within(rows: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     return rows.join(textops.small(ids, most), "id", "left_semi")
 
 
-def heavy_sides(pairs: DataFrame) -> DataFrame:
+def heavy_sides(pairs: DataFrame, scratch: textops.Scratch, name: str) -> DataFrame:
     """(side, id, parts) of ids with more than PAIRS_PER_TASK pairs on one side: at most one for each that many pairs."""
     ends = pairs.select(F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("id")) for s in ("a", "b")))).alias("e")).groupBy("e.side", "e.id").count()
-    return checkpointed(ends.where(F.col("count") > PAIRS_PER_TASK).select("side", "id", F.ceil(F.col("count") / PAIRS_PER_TASK).cast("bigint").alias("parts")))
+    return scratch.save(ends.where(F.col("count") > PAIRS_PER_TASK).select("side", "id", F.ceil(F.col("count") / PAIRS_PER_TASK).cast("bigint").alias("parts")), name)
 
 
 def attached(pairs: DataFrame, sets: DataFrame, side: str, heavy: DataFrame, most: int) -> DataFrame:
@@ -194,25 +194,28 @@ def attached(pairs: DataFrame, sets: DataFrame, side: str, heavy: DataFrame, mos
     return cut.join(copies, [side, "part"]).drop("part")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, kind: str, most: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Whole sets are made, and shuffled, only for texts in pairs that part sizes allow."""
-    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    parts = checkpointed(part_sizes(within(texts, ids, most), n, kind))
-    heavy = heavy_sides(pairs)
+def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int, kind: str, most: int, scratch: textops.Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, as table ``name``. Whole sets are made, and shuffled, only for texts in pairs that part sizes allow."""
+    steps = [f"{name}-{x}" for x in ("ids", "parts", "heavy", "near", "a", "b")]
+    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), steps[0])
+    parts = scratch.save(part_sizes(within(texts, ids, most), n, kind), steps[1])
+    heavy = heavy_sides(pairs, scratch, steps[2])
 
     def side(s: str) -> DataFrame:
         return parts.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("parts").alias(f"p{s}"))
 
     both = attached(attached(pairs, side("b"), "b", heavy, most), side("a"), "a", heavy, most)
-    near = checkpointed(few_apart(both.select("a", "b", "na", "nb", "pa", "pb"), num, den, kind))
+    near = scratch.save(few_apart(both.select("a", "b", "na", "nb", "pa", "pb"), num, den, kind), steps[3])
 
     def sets(s: str) -> DataFrame:
-        made = full_sets(within(texts, checkpointed(near.select(F.col(s).alias("id")).distinct()), most), n, kind)
+        made = full_sets(within(texts, scratch.save(near.select(F.col(s).alias("id")).distinct(), f"{name}-{s}"), most), n, kind)
         return made.select(F.col("id").alias(s), F.col("grams").alias(f"g{s}"))
 
     both = attached(attached(near, sets("b"), "b", heavy, most), sets("a"), "a", heavy, most)
     total = F.size("ga").cast("bigint") + F.size("gb")
-    return both.where(F.size(F.array_intersect("ga", "gb")).cast("bigint") * (num + den) >= num * total).select("a", "b").distinct()
+    found = scratch.save(both.where(F.size(F.array_intersect("ga", "gb")).cast("bigint") * (num + den) >= num * total).select("a", "b").distinct(), name)
+    scratch.drop(*steps)
+    return found
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -236,12 +239,14 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
     counts.destroy()
     key = ["n", "sig1", "sig2"]
     base = made.select("id", *key)
-    classes = checkpointed(base.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep")))
-    postings = within(made, checkpointed(classes.select(F.col("rep").alias("id")).distinct()), broadcast_bytes)
+    classes = scratch.save(base.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep")), "classes")
+    reps = scratch.save(classes.select(F.col("rep").alias("id")).distinct(), "reps")
+    postings = within(made, reps, broadcast_bytes)
     postings = postings.select("id", "n", F.posexplode("prefix").alias("pos", "gram")).withColumn("pos", F.col("pos").cast("bigint"))
     shared = postings.groupBy("gram").count().where("count > 1").select("gram")
     postings = scratch.save(postings.join(shared, "gram"), "postings")  # only those whose shingle some other set has in its prefix
     del shared
+    scratch.drop("reps")
     textops.free_shuffles(spark)
     step = math.log(den / num)
     postings = postings.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step))
@@ -257,7 +262,7 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
             known = textops.small(labels, broadcast_bytes)
             labelled = scratch.save(postings.join(known, postings["id"] == known["node"], "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component"), f"labelled{round_no}")
             per_gram = labelled.groupBy("gram", "comp").count().groupBy("gram").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-            open_grams = checkpointed(per_gram.select("gram", F.col("top.comp").alias("top"), ((F.col("all") - F.col("top.count")) * F.col("all")).alias("work")))
+            open_grams = scratch.save(per_gram.select("gram", F.col("top.comp").alias("top"), ((F.col("all") - F.col("top.count")) * F.col("all")).alias("work")), f"open{round_no}")
             before, work = work, open_grams.agg(F.sum("work")).first()[0] or 0
             if not work:
                 break
@@ -271,7 +276,7 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
                 return (both.where(few_odd_parts(num, den)) if more else both).select("id", "c_id")
 
             busy = labelled.where("crowded")
-            parity = within(made.select("id", "parity"), checkpointed(busy.select("id").distinct()), broadcast_bytes)
+            parity = within(made.select("id", "parity"), scratch.save(busy.select("id").distinct(), "busy"), broadcast_bytes)
             pairs = tests(labelled.where("not crowded")).union(tests(busy.join(parity, "id"), "parity"))
         else:
             pick = F.min(F.struct(F.xxhash64("comp", F.lit(round_no)), "comp", F.xxhash64("id", F.lit(round_no)), "id", "n", "pos")) if round_no else F.min(F.struct("id", "n", "pos", "comp"))
@@ -280,20 +285,22 @@ def join(docs: DataFrame, *, id_col="doc_id", text_col="text", n=4, num=85, den=
         pairs = ordered(pairs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        new = checkpointed(verified(pairs, texts, n, num, den, kind, broadcast_bytes))
+        pairs = scratch.save(pairs, f"pairs{round_no}")
+        textops.free_shuffles(spark)
+        new = verified(pairs, texts, n, num, den, kind, broadcast_bytes, scratch, f"links{round_no}")
         grew = bool(new.head(1))
         textops.free_shuffles(spark)
         tested = pairs if tested is None else tested.union(pairs)
-        links = new if links is None else checkpointed(links.union(new))
+        links = new if links is None else links.union(new)
         if round_no:
-            scratch.drop(f"labelled{round_no}")
+            scratch.drop(f"labelled{round_no}", f"open{round_no}")
         if grew:
-            labels = checkpointed(components(links))
+            labels = scratch.save(components(links), f"labels{round_no}")
+            textops.free_shuffles(spark)
         round_no += 1
         if final:
             break
-    scratch.drop("postings")
+    scratch.drop("postings", "busy", *(f"{x}{k}" for x in ("labelled", "open", "pairs", "links") for k in range(round_no + 1)))
     named = classes.select(*key, "rep").join(labels, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     result = base.select("id", *key).join(named, key, "left")
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))

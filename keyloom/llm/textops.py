@@ -192,7 +192,7 @@ def small(rows, most_bytes: int = 64 << 20):
 
 
 class Scratch:
-    """Tables written to the shared folder, compressed, and deleted when they have served. What a lazy result still reads stays."""
+    """Tables written to the shared folder, compressed, and deleted when they have served. What a lazy result still reads stays. Small files are read several in a task."""
 
     def __init__(self, spark):
         import uuid
